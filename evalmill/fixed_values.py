@@ -8,10 +8,10 @@ WHITESPACE = (
     "\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
 
-# One tagged channel of model output; (?s) lets the dot match newlines, (?U) makes \w Unicode.
-CHANNEL_PATTERN = r"(?sU)<\|channel\|>(\w+)<\|message\|>(.*?)(?:<\|end\|>|<\|return\|>)"
-MESSAGE_TAG = "<|message|>"
-CHANNEL_TAG = "<|channel|>"
+# Tags of model output: header of a channel and end of a channel. (?s) lets a dot match
+# newlines, (?U) makes \w Unicode.
+HEADER_PATTERN = r"(?sU)<\|channel\|>(\w+)<\|message\|>"
+END_PATTERN = r"<\|(?:end|return)\|>"
 
 # "Answer: B"; the space class is the one of Python's \s.
 ANSWER_PATTERN = r"(?U)[Aa]nswer[\s\x1c-\x1f]*:[\s\x1c-\x1f]*([ABCD])"
@@ -35,7 +35,7 @@ DOTTED_FLOAT_PATTERN = (
 )
 FLOAT_PATTERN = (
     r"^[+-]?([0-9]+(_[0-9]+)*(\.([0-9]+(_[0-9]+)*)?)?|\.[0-9]+(_[0-9]+)*)"
-    r"([eE][+-]?[0-9]+(_[0-9]+)*)?$"
+    r"([eE][+-]?[0-9]+(_[0-9]+)*)?$|^(?i:[+-]?(nan|inf|infinity))$"
 )
 
 # Parameters whose value may name a file to be sent as base64.

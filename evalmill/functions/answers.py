@@ -7,39 +7,49 @@ from pyspark.sql import functions as F
 
 from evalmill.fixed_values import (
     ANSWER_PATTERN,
-    CHANNEL_PATTERN,
-    CHANNEL_TAG,
     CHOICES,
-    MESSAGE_TAG,
+    END_PATTERN,
+    HEADER_PATTERN,
     NO_CHOICE,
 )
 from evalmill.functions.text import strip_text
 
 
 def channel_spans(raw: Column) -> Column:
-    """All complete channels of a raw output, in order, tags included."""
-    return F.regexp_extract_all(raw, F.lit(CHANNEL_PATTERN), 0)
+    """Texts that end with an end tag, in order.
 
+    A complete channel runs from the first header of such a text to its end, so each text holds
+    at most one: an earlier channel without an end tag swallows the headers that follow it. What
+    comes after the last end tag is left out, as it is not complete.
+    """
+    pieces = F.split(raw, END_PATTERN)
+    return F.slice(pieces, 1, F.size(pieces) - 1)
 
-def _channel_name(span: Column) -> Column:
-    head = F.substring_index(span, MESSAGE_TAG, 1)
-    return F.lower(F.substr(head, F.lit(len(CHANNEL_TAG) + 1)))
 
+def channel_names(spans: Column) -> Column:
+    """Lower-cased channel name of each text, empty where there is no header."""
+    return F.transform(spans, lambda span: F.lower(F.regexp_extract(span, HEADER_PATTERN, 1)))
 
-def last_channel(spans: Column, name: str) -> Column:
+
+def last_channel(spans: Column, names: Column, name: str) -> Column:
     """Stripped content of the last channel called ``name``, NULL if there is none."""
-    span = F.try_element_at(F.filter(spans, lambda s: _channel_name(s) == name), F.lit(-1))
-    return strip_text(F.regexp_extract(span, CHANNEL_PATTERN, 2))
+    from_end = F.array_position(F.reverse(names), name)
+    span = F.try_element_at(spans, F.when(from_end > 0, -from_end).cast("int"))
+    return strip_text(F.regexp_extract(span, HEADER_PATTERN + "(.*)", 2))
 
 
 def parse_channels(raw: Column) -> Column:
     """``struct(response, analysis, commentary)``; without a final channel the whole text
     is the response."""
     spans = channel_spans(raw)
+    return select_channels(raw, spans, channel_names(spans))
+
+
+def select_channels(raw: Column, spans: Column, names: Column) -> Column:
     return F.struct(
-        F.coalesce(last_channel(spans, "final"), strip_text(raw)).alias("response"),
-        last_channel(spans, "analysis").alias("analysis"),
-        last_channel(spans, "commentary").alias("commentary"),
+        F.coalesce(last_channel(spans, names, "final"), strip_text(raw)).alias("response"),
+        last_channel(spans, names, "analysis").alias("analysis"),
+        last_channel(spans, names, "commentary").alias("commentary"),
     )
 
 

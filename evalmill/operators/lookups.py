@@ -11,6 +11,14 @@ from pyspark.sql import functions as F
 HOT_ROWS = 1_000_000
 HOT_KEYS = 10_000
 
+# Rows without a key match nothing and are spread over this many salts.
+NULL_SALTS = 10_000
+
+
+def key_counts(df: DataFrame, on: list[str]) -> DataFrame:
+    """Rows per key, combined in each task before the shuffle; NULL keys are left out."""
+    return df.dropna(subset=on).groupBy(*on).agg(F.count(F.lit(1)).alias("_rows"))
+
 
 def salted_lookup(
     left: DataFrame,
@@ -18,37 +26,43 @@ def salted_lookup(
     on: list[str],
     spread: list[str],
     hot_rows: int = HOT_ROWS,
+    counts: DataFrame | None = None,
 ) -> DataFrame:
     """Left join to a lookup table that is unique on ``on``, safe against hot keys.
 
     Rows of a hot key, or without a key, get a salt from a hash of the ``spread`` columns
     (stable when a task is run again); the lookup row of a hot key is repeated once per salt.
+    ``counts`` gives the rows per key (``on``, ``_rows``) where the caller has them anyway; if
+    ``right`` has a column ``_rows`` too, its copies are made from that.
     """
-    size = F.count(F.lit(1))
+    if counts is None:
+        counts = key_counts(left, on)
+    salts = F.ceil(F.col("_rows") / hot_rows).cast("bigint")
     hot = (
-        left.groupBy(*on)
-        .agg(size.alias("_rows"))
-        .where(F.col("_rows") >= hot_rows)
+        counts.where(F.col("_rows") >= hot_rows)
         .orderBy(F.desc("_rows"))
         .limit(HOT_KEYS)
-        .select(
-            *[F.col(k).alias(f"_hot_{k}") for k in on],
-            F.ceil(F.col("_rows") / hot_rows).cast("bigint").alias("_salts"),
-        )
+        .select(*on, salts.alias("_salts"))
     )
-
-    def with_salts(df: DataFrame) -> DataFrame:
-        same = [df[k].eqNullSafe(hot[f"_hot_{k}"]) for k in on]
-        return df.join(F.broadcast(hot), same, "left").drop(*[f"_hot_{k}" for k in on])
-
-    salts = F.coalesce(F.col("_salts"), F.lit(1))
-    salted = with_salts(left).withColumn(
-        "_salt", F.pmod(F.xxhash64(*spread), salts)
-    ).drop("_salts")
-    copies = with_salts(right).withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), salts - 1))
+    keyless = F.lit(False)
+    for key in on:
+        keyless = keyless | F.col(key).isNull()
+    width = F.when(keyless, F.lit(NULL_SALTS)).otherwise(F.coalesce(F.col("_salts"), F.lit(1)))
+    salted = (
+        left.join(F.broadcast(hot), on, "left")
+        .withColumn("_salt", F.pmod(F.xxhash64(*spread), width.cast("bigint")))
+        .select(*left.columns, "_salt")
+    )
+    if "_rows" in right.columns:
+        sized = right.withColumn("_salts", salts).drop("_rows")
+    else:
+        sized = right.join(F.broadcast(hot), on, "left")
+    last = F.coalesce(F.col("_salts"), F.lit(1)) - 1
+    copies = sized.withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), last))
     ).drop("_salts")
-    return salted.join(copies, [*on, "_salt"], "left").drop("_salt")
+    joined = salted.join(copies, [*on, "_salt"], "left")
+    return joined.select(*left.columns, *[c for c in copies.columns if c not in (*on, "_salt")])
 
 
 def aligned_score_join(
@@ -172,18 +186,24 @@ def version_resolve(
     """Resolve references against a flat index ``(name, version, path, sha256, seq)``.
 
     Adds ``name``, ``version`` (as asked, else the latest written), ``path``, ``sha256`` and
-    ``status``: ``ok``, ``unknown name`` or ``unknown version``.
+    ``status``: ``ok``, ``unknown name`` or ``unknown version``. Each distinct reference is
+    resolved once; the requests themselves are shuffled once, by reference.
     """
     name, version = split_reference(F.col(ref))
-    asked = refs.withColumns({"name": name, "_asked": version})
+    counts = key_counts(refs, [ref])
+    asked = counts.select(ref, "_rows", name.alias("name"), version.alias("_asked"))
     latest = index.groupBy("name").agg(F.max_by("version", "seq").alias("_latest"))
-    named = salted_lookup(asked, latest, ["name"], spread, hot_rows)
-    wanted = named.withColumn("version", F.coalesce("_asked", "_latest"))
     entries = index.select("name", "version", "path", "sha256")
-    found = salted_lookup(wanted, entries, ["name", "version"], spread, hot_rows)
     status = (
         F.when(F.col("_latest").isNull(), "unknown name")
         .when(F.col("sha256").isNull(), "unknown version")
         .otherwise("ok")
     )
-    return found.withColumn("status", status).drop("_asked", "_latest")
+    resolved = (
+        asked.join(latest, "name", "left")
+        .withColumn("version", F.coalesce("_asked", "_latest"))
+        .join(entries, ["name", "version"], "left")
+        .select(ref, "_rows", "name", "version", "path", "sha256", status.alias("status"))
+    )
+    found = salted_lookup(refs, resolved, [ref], spread, hot_rows, counts)
+    return found.withColumn("status", F.coalesce("status", F.lit("unknown name")))

@@ -13,25 +13,29 @@ from pyspark.sql import functions as F
 
 RANGE_BITS = 21
 
-# Up to this many rows, each task keeps its own first n and one task merges them.
-TOP_ROWS = 10_000
+# Up to this many ids, each task keeps its own first n and one task merges them.
+TOP_IDS = 1_000
+
+NO_LIMIT = 2**63 - 1
 
 
 def running_totals(
     df: DataFrame, keys: list[str], order: str, sums: dict[str, Column], bits: int = RANGE_BITS
 ) -> DataFrame:
-    """Inclusive running sums per group in the order of ``order``, and ``is_last``.
+    """Keys, order column, inclusive running sums per group in that order, and ``is_last``.
 
-    Keep ``df`` narrow: its rows are shuffled once, by group and id range. The range totals read
-    the same shuffle.
+    The rows are shuffled once, by group and id range. The range totals and the totals above
+    them read the same shuffle, which is why they all ask it for the same columns.
     """
     names = list(sums)
     group = F.struct(*[F.col(k) for k in keys]) if keys else F.struct(F.lit(0).alias("all"))
+    # Never NULL, or else the joins below would filter their inputs, each in another way.
+    range_of = F.coalesce(F.shiftright(F.col(order), bits), F.lit(0))
     rows = df.select(
-        "*",
-        *[sums[n].cast("bigint").alias(f"_step_{n}") for n in names],
         group.alias("_group"),
-        F.shiftright(F.col(order), bits).alias("_range"),
+        range_of.alias("_range"),
+        F.col(order),
+        *[sums[n].cast("bigint").alias(f"_step_{n}") for n in names],
     ).repartition("_group", "_range")
 
     ranges = rows.groupBy("_group", "_range").agg(
@@ -58,7 +62,7 @@ def running_totals(
     ranges = ranges.join(blocks, ["_group", "_block"]).select(
         "_group",
         "_range",
-        "_group_last",
+        F.greatest("_last", "_group_last").alias("_group_last"),
         *[
             (F.col(f"_block_{n}") + before(["_group", "_block"], "_range", n)).alias(f"_range_{n}")
             for n in names
@@ -68,34 +72,43 @@ def running_totals(
         Window.unboundedPreceding, Window.currentRow
     )
     rows = rows.select(
-        *df.columns,
         "_group",
         "_range",
+        order,
         *[F.sum(f"_step_{n}").over(within).alias(f"_within_{n}") for n in names],
     )
     return rows.join(ranges, ["_group", "_range"]).select(
-        *df.columns,
+        *[F.col(f"_group.{k}").alias(k) for k in keys],
+        order,
         *[(F.col(f"_range_{n}") + F.col(f"_within_{n}")).alias(n) for n in names],
         (F.col(order) == F.col("_group_last")).alias("is_last"),
     )
 
 
+def nth_id(df: DataFrame, order: str, n: int, top_ids: int = TOP_IDS) -> Column:
+    """The ``n``-th smallest id, or no limit if there are fewer rows, as a scalar subquery that
+    reads only the ids."""
+    ids = df.select(order)
+    if n <= top_ids:
+        nth = ids.orderBy(order).limit(n)
+    else:
+        places = running_totals(ids, [], order, {"_place": F.lit(1)})
+        nth = places.where(F.col("_place") == n)
+    # A bare subquery, as only that is handed to the Parquet scan.
+    return nth.agg(F.coalesce(F.max(order), F.lit(NO_LIMIT))).scalar()
+
+
 def head_n(
-    df: DataFrame, order: str, n: int | None, lenient: bool = False, top_rows: int = TOP_ROWS
+    df: DataFrame, order: str, n: int | None, lenient: bool = False, top_ids: int = TOP_IDS
 ) -> DataFrame:
     """The first ``n`` rows in the order of ``order``; ``None`` and 0 keep all rows.
 
-    A negative ``n`` raises, or keeps all rows when ``lenient`` (the training cap). Beyond
-    ``top_rows`` the n-th id is found from the ids alone and the rows are then filtered by it,
-    so no task has to hold ``n`` rows.
+    A negative ``n`` raises, or keeps all rows when ``lenient`` (the training cap). The cap is
+    a filter on the order column, so wide rows are neither sorted nor gathered, and a Parquet
+    scan skips the row groups beyond the n-th id.
     """
     if n is not None and n < 0 and not lenient:
         raise ValueError(f"cap must not be negative: {n}")
     if not n or n < 0:
         return df
-    if n <= top_rows:
-        return df.orderBy(order).limit(n)
-    ids = df.select(order)
-    places = running_totals(ids, [], order, {"_place": F.lit(1)})
-    nth = places.where(F.col("_place") == n).select(order).scalar()
-    return df.where(F.col(order) <= F.coalesce(nth, F.lit(2**63 - 1)))
+    return df.where(F.col(order) <= nth_id(df, order, n, top_ids))

@@ -15,40 +15,47 @@ from evalmill.functions.numbers import parse_float, parse_integer
 from evalmill.functions.text import blank_to_null, strip_text
 
 
-def typed_value(text: Column) -> Column:
-    """``struct(kind, bool_value, int_value, float_value, text)`` of a parameter text.
+def typed_values(df: DataFrame, text: str) -> DataFrame:
+    """Type the texts of a column: it is stripped, and ``kind``, ``bool_value``, ``int_value``
+    and ``float_value`` are added.
 
     true/false in any case is a bool, text with a dot a float if it reads as one, other text an
-    int if it reads as one, everything else a string. ``text`` is always the stripped text, so
-    an integer too large for a long is still there (kind ``int``, ``int_value`` NULL).
+    int if it reads as one, everything else a string. The text stays, so an integer too large
+    for a long is not lost (kind ``int``, ``int_value`` NULL).
     """
-    body = strip_text(text)
+    body, kind = F.col(text), F.col("kind")
     digits = F.translate(body, "_", "")
-    kind = (
-        F.when(F.lower(body).isin("true", "false"), "bool")
-        .when(body.rlike(DOTTED_FLOAT_PATTERN), "float")
-        .when(body.rlike(INTEGER_PATTERN), "int")
-        .otherwise("string")
-    )
-    return F.struct(
-        kind.alias("kind"),
-        F.when(kind == "bool", F.lower(body) == "true").alias("bool_value"),
-        F.when(kind == "int", digits.try_cast("bigint")).alias("int_value"),
-        F.when(kind == "float", digits.try_cast("double")).alias("float_value"),
-        body.alias("text"),
+    # One step per projection, so that each text is stripped and matched once.
+    return (
+        df.withColumn(text, strip_text(body))
+        .withColumn(
+            "kind",
+            F.when(F.lower(body).isin("true", "false"), "bool")
+            .when(body.rlike(DOTTED_FLOAT_PATTERN), "float")
+            .when(body.rlike(INTEGER_PATTERN), "int")
+            .otherwise("string"),
+        )
+        .withColumns(
+            {
+                "bool_value": F.when(kind == "bool", F.lower(body) == "true"),
+                "int_value": F.when(kind == "int", digits.try_cast("bigint")),
+                "float_value": F.when(kind == "float", digits.try_cast("double")),
+            }
+        )
     )
 
 
 def kv_typed_parse(df: DataFrame, kv: str) -> DataFrame:
-    """Split ``key=value`` at the first ``=`` and type the value; texts without ``=`` are
-    dropped (see :func:`kv_malformed`)."""
+    """Split ``key=value`` at the first ``=`` into ``key`` and ``text`` and type the value; texts
+    without ``=`` are dropped (see :func:`kv_malformed`)."""
     at = F.locate("=", F.col(kv))
-    value = typed_value(F.substr(F.col(kv), at + 1))
-    return (
-        df.where(F.contains(F.col(kv), F.lit("=")))
-        .withColumns({"key": strip_text(F.substring_index(F.col(kv), "=", 1)), "_value": value})
-        .select(*df.columns, "key", "_value.*")
+    parts = df.where(F.contains(F.col(kv), F.lit("="))).withColumns(
+        {
+            "key": strip_text(F.substring_index(F.col(kv), "=", 1)),
+            "text": F.substr(F.col(kv), at + 1),
+        }
     )
+    return typed_values(parts, "text")
 
 
 def kv_malformed(df: DataFrame, kv: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from evalmill.functions.numbers import round_exact
 from evalmill.functions.text import blank_to_null, first_chars, last_chars
-from evalmill.operators.ordered import running_totals
+from evalmill.operators.ordered import head_n, running_totals
 
 SAMPLE_ROWS = 10
 
@@ -86,7 +86,7 @@ def sample_records(
 
     Needs ``prompt``, ``raw``, ``response``, ``analysis``, ``pred``, ``gold`` and ``subject``.
     """
-    return scored.orderBy(order).limit(n).select(
+    return head_n(scored, order, n).select(
         order,
         last_chars(F.col("prompt"), 200).alias("prompt_end"),
         first_chars(F.col("raw"), 200).alias("generated_raw"),

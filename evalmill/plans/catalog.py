@@ -228,10 +228,9 @@ def contract_check(spark, sf_dir):
 
 def _scored(spark, sf_dir):
     """Items, outputs and letters joined by id: what the scoring operators read."""
-    items = views.eval_items(spark, sf_dir)
     preds = evaluation.letters(views.raw_outputs(spark, sf_dir))
-    keyed = evaluation.golds(items).join(items.select("item_id", "prompt"), "item_id")
-    return lookups.aligned_score_join(preds, keyed, ["item_id"])
+    golds = evaluation.golds(views.eval_items(spark, sf_dir), ["prompt"])
+    return lookups.aligned_score_join(preds, golds, ["item_id"])
 
 
 def _letters_only(spark, sf_dir):

@@ -9,7 +9,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalmill.functions.answers import choice_letter, gold_error, gold_letter, parse_channels
+from evalmill.functions.answers import (
+    channel_names,
+    channel_spans,
+    choice_letter,
+    gold_error,
+    gold_letter,
+    select_channels,
+)
 from evalmill.operators.chat import eval_messages
 from evalmill.operators.ordered import head_n
 from evalmill.operators.predict import batch_predict
@@ -18,8 +25,13 @@ from evalmill.operators.scoring import subject_or_unknown
 
 def tagged_channels(outputs: DataFrame, raw: str = "raw") -> DataFrame:
     """Add ``response``, ``analysis`` and ``commentary`` to raw outputs."""
-    return outputs.withColumn("_channels", parse_channels(F.col(raw))).select(
-        *outputs.columns, "_channels.*"
+    text, spans, names = F.col(raw), F.col("_spans"), F.col("_names")
+    # One step per projection, so that each text is cut once.
+    return (
+        outputs.withColumn("_spans", channel_spans(text))
+        .withColumn("_names", channel_names(spans))
+        .withColumn("_channels", select_channels(text, spans, names))
+        .select(*outputs.columns, "_channels.*")
     )
 
 
@@ -28,8 +40,9 @@ def letters(outputs: DataFrame, raw: str = "raw") -> DataFrame:
     return tagged_channels(outputs, raw).withColumn("pred", choice_letter(F.col("response")))
 
 
-def golds(items: DataFrame) -> DataFrame:
-    """``(item_id, subject, gold, gold_error)`` from ``answer_idx`` and/or ``answer_str``."""
+def golds(items: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """``(item_id, subject, gold, gold_error)`` from ``answer_idx`` and/or ``answer_str``, and
+    the columns to ``keep``."""
     index = F.col("answer_idx") if "answer_idx" in items.columns else None
     text = F.col("answer_str") if "answer_str" in items.columns else None
     problem = gold_error(index) if index is not None else F.lit(None).cast("string")
@@ -38,6 +51,7 @@ def golds(items: DataFrame) -> DataFrame:
         subject_or_unknown(F.col("subject")).alias("subject"),
         gold_letter(index, text).alias("gold"),
         problem.alias("gold_error"),
+        *(keep or []),
     )
 
 
