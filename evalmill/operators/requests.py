@@ -83,13 +83,6 @@ def layer_defaults(requests: DataFrame, defaults: dict[str, str]) -> DataFrame:
     return requests.select("*", F.inline(entries))
 
 
-def wide_params(df: DataFrame, request: list[str], key: str, value: str, names: list[str]) -> DataFrame:
-    """Long form to one row per request with a column for each of the given parameter names."""
-    return df.groupBy(*request).agg(
-        *[F.max(F.when(F.col(key) == name, F.col(value))).alias(name) for name in names]
-    )
-
-
 def request_defaults(
     df: DataFrame,
     model: str,
@@ -99,40 +92,36 @@ def request_defaults(
     """Fill and cast the parameters of each model; NULL and absent take the default.
 
     ``defaults`` maps model to parameter to default and becomes a literal in the plan, so there
-    is no join. The default's type is the parameter's type (``lenient`` parameters are numbers).
-    Text that cannot be read gives NULL and an entry in ``error``; lenient parameters turn to
-    NULL without one. Columns of parameters that no input column supplies are added.
+    is no join. The default's type is the parameter's type (``epochs`` is a number with, and
+    ``max_train_samples`` one without fraction). Text that cannot be read counts as absent and
+    gives an entry in ``error``, except for ``lenient`` parameters. Columns of parameters that
+    no input column supplies are added; a parameter that a model does not have is NULL.
     """
     names = list(dict.fromkeys(name for table in defaults.values() for name in table))
-    present = set(df.columns)
     types = dict(df.dtypes)
     columns, problems = {}, []
     for name in names:
-        sample = next((t[name] for t in defaults.values() if t.get(name) is not None), None)
-        kind = "double" if sample is None and name == "epochs" else (
-            {str: "string", float: "double"}.get(type(sample), "bigint")
-        )
-        default = F.lit(None).cast(kind)
-        applies = F.lit(False)
-        for name_of_model, table in defaults.items():
-            if name in table:
-                here = F.col(model) == name_of_model
-                applies = applies | here
-                default = F.when(here, F.lit(table[name]).cast(kind)).otherwise(default)
-        if name not in present:
-            columns[name] = default
-            continue
-        given = F.col(name)
-        if types[name] == "string" and kind != "string":
-            read = parse_float(given) if kind == "double" else parse_integer(given)
-        else:
-            read = given.cast(kind)
-        if name in lenient:
-            columns[name] = F.when(applies, F.when(given.isNull(), default).otherwise(read))
-        else:
-            columns[name] = F.when(applies, F.when(given.isNull(), default).otherwise(read))
-            bad = applies & given.isNotNull() & read.isNull()
-            problems.append(F.when(bad, F.lit(f"{name}: cannot be read as {kind}")))
+        having = [m for m, table in defaults.items() if name in table]
+        known = {m: defaults[m][name] for m in having if defaults[m][name] is not None}
+        sample = next(iter(known.values()), 0.0 if name == "epochs" else 0)
+        kind = {str: "string", float: "double"}.get(type(sample), "bigint")
+        value = F.lit(None).cast(kind)
+        if known:
+            pairs = [F.lit(x) for pair in known.items() for x in pair]
+            value = F.try_element_at(F.create_map(*pairs), F.col(model)).cast(kind)
+        if name in types:
+            given = F.col(name)
+            if types[name] == "string" and kind != "string":
+                read = parse_float(given) if kind == "double" else parse_integer(given)
+                if name not in lenient:
+                    bad = F.col(model).isin(having) & given.isNotNull() & read.isNull()
+                    problems.append(F.when(bad, F.lit(f"{name}: cannot be read as {kind}")))
+            else:
+                read = given.cast(kind)
+            value = F.coalesce(read, value)
+            if len(having) < len(defaults):
+                value = F.when(F.col(model).isin(having), value)
+        columns[name] = value
     unknown = ~F.coalesce(F.col(model).isin(list(defaults)), F.lit(False))
     problems.append(F.when(unknown, F.lit("unknown model")))
     errors = blank_to_null(F.concat_ws("; ", *problems))

@@ -20,7 +20,7 @@ from evalmill.functions.text import (
 )
 from evalmill.operators import chat, contracts, listing, lookups, ordered, requests, scoring, state
 from evalmill.operators.predict import batch_predict as predict_batches
-from evalmill.plans import evaluation, training, views
+from evalmill.plans import evaluation, serving, training, views
 from evalmill.plans.views import table
 from evalmill.session import shared_folder
 from evalmill.sources import datasets, files, payloads
@@ -552,6 +552,29 @@ def benchmark_eval(spark, sf_dir):
     return scoring.accuracy_by_subject(scored)
 
 
+@query
+def run_requests(spark, sf_dir):
+    """Merged, checked and completed image requests, rejected ones with their error."""
+    return serving.image_requests(
+        views.json_requests(spark, sf_dir), views.request_overrides(spark, sf_dir)
+    )
+
+
+@query
+def training_recipe(spark, sf_dir):
+    """Recipe arguments per run: defaults, overlaid by the parameters of the run."""
+    runs = table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").cast("string").alias("codename"), F.col("c_mktsegment").alias("dataset_dir")
+    )
+    params = table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").cast("string").alias("codename"),
+        F.when(F.col("o_orderkey") % 2 == 0, "epochs").otherwise("note").alias("key"),
+        F.col("o_orderkey").cast("string").alias("value"),
+        F.col("o_orderkey").alias("pos"),
+    )
+    return training.recipe_arguments(runs, params, "/data", "/runs")
+
+
 @query
 def training_export(spark, sf_dir):
     samples = table(spark, sf_dir, "documents").withColumn("image", F.encode("source", "UTF-8"))

@@ -430,6 +430,53 @@ ORACLE: dict[str, str] = {
     "run_status_stream": STATUS_FOLD,
     "batch_predict": f"WITH {RAW_OUTPUTS} SELECT item_id, raw FROM raw_outputs",
     "benchmark_eval": f"{SCORED} SELECT subject, {TALLY} FROM scored GROUP BY subject",
+    "run_requests": f"""
+        WITH {REQUESTS},
+        given AS (
+          SELECT r.*, CAST(json_extract_string(e.props, '$.k') AS INT) AS k,
+            CAST(CAST(e.value AS DECIMAL(10, 2)) AS DOUBLE) AS guidance_scale
+          FROM requests r JOIN events e ON r.req_id = e.event_id
+        ),
+        filled AS (
+          SELECT req_id, model, prompt, coalesce(negative_prompt, {_case_by_model('negative_prompt')})
+              AS negative_prompt,
+            coalesce(steps, {_case_by_model('steps')}) AS full_steps, steps, guidance_scale, k
+          FROM given
+        )
+        SELECT req_id, model,
+          CASE WHEN model = 'sdxl-pixel-art' AND NOT starts_with(lower(trim(prompt)), 'pixel')
+               THEN 'pixel, ' || trim(prompt) ELSE trim(prompt) END AS prompt,
+          CASE WHEN model = 'sdxl-pixel-art' THEN negative_prompt
+               ELSE nullif(negative_prompt, '') END AS negative_prompt,
+          CAST(1024 AS BIGINT) AS width, CAST(1024 AS BIGINT) AS height, CAST(full_steps AS BIGINT) AS steps, guidance_scale,
+          CAST(CASE req_id % 3 WHEN 0 THEN req_id ELSE 42 END AS BIGINT) AS seed,
+          CASE req_id % 3 WHEN 2 THEN CAST(0.5 AS DOUBLE) END AS lora_strength,
+          CASE WHEN k > 90 OR req_id % 3 = 1 OR steps < 1 THEN
+              concat_ws('; ', CASE WHEN k > 90 THEN '$: unknown keys k' END,
+                CASE WHEN req_id % 3 = 1 THEN '$.width: not of type integer' END,
+                CASE WHEN steps < 1 THEN '$.steps: below minimum 1' END)
+            WHEN trim(prompt) = '' THEN 'prompt required' END AS error
+        FROM filled""",
+    "training_recipe": f"""
+        WITH runs AS (
+          SELECT CAST(c_custkey AS VARCHAR) AS codename, c_mktsegment AS dataset_dir FROM customer
+        ),
+        layers AS (
+          SELECT r.codename, d.key, d.value, 0 AS layer, 0 AS pos
+          FROM runs r, (VALUES {', '.join(f"({_quoted(k)}, {_quoted(v)})" for k, v in fixed.RECIPE_DEFAULTS.items())}) d(key, value)
+          UNION ALL SELECT codename, 'data_paths', '[/data/' || dataset_dir || ']', 0, 0 FROM runs
+          UNION ALL SELECT codename, '+run_name', codename, 0, 0 FROM runs
+          UNION ALL SELECT codename, 'hydra.run.dir', '/runs/' || codename || '/hydra-out', 0, 0 FROM runs
+          UNION ALL SELECT CAST(o_custkey AS VARCHAR),
+            CASE WHEN o_orderkey % 2 = 0 THEN 'epochs' ELSE 'note' END, CAST(o_orderkey AS VARCHAR), 1,
+            o_orderkey
+          FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer)
+        ),
+        ranked AS (
+          SELECT *, row_number() OVER (PARTITION BY codename, key ORDER BY layer DESC, pos DESC) AS n
+          FROM layers
+        )
+        SELECT codename, key || '=' || value AS argument FROM ranked WHERE n = 1""",
     "training_export": """
         SELECT source, count(*) AS examples, greatest(1, CAST(ceil(count(*) / 8.0) AS BIGINT)) AS steps
         FROM documents GROUP BY source""",

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalmill.fixed_values import TRAIN_INSTRUCTION
+from evalmill.fixed_values import RECIPE_DEFAULTS, TRAIN_INSTRUCTION
 from evalmill.operators.chat import conversation_messages
 from evalmill.operators.listing import training_steps
 from evalmill.operators.ordered import head_n
+from evalmill.operators.requests import layer_defaults, param_layering
+from evalmill.sources.datasets import dataset_dir
 
 
 def training_export(
@@ -47,3 +49,38 @@ def training_export(
     return counts.withColumn(
         "steps", training_steps(F.col("examples"), epochs, steps, batch_size, accumulation)
     )
+
+
+def recipe_arguments(
+    runs: DataFrame, params: DataFrame, data_root: str, run_root: str
+) -> DataFrame:
+    """``key=value`` arguments of full training runs, one row each.
+
+    ``runs`` has ``codename`` and ``dataset_dir``; ``params`` has ``codename``, ``key``, the
+    value as text and ``pos``, and wins over the recipe. Parameters of unknown runs are left out.
+    """
+    folder = F.concat(F.lit(run_root.rstrip("/") + "/"), F.col("codename"))
+    own = F.array(
+        *[
+            F.struct(F.lit(key).alias("key"), value.alias("value"))
+            for key, value in {
+                "data_paths": F.concat(
+                    F.lit("["), dataset_dir(F.col("dataset_dir"), data_root), F.lit("]")
+                ),
+                "+run_name": F.col("codename"),
+                "hydra.run.dir": F.concat(folder, F.lit("/hydra-out")),
+            }.items()
+        ]
+    )
+    bottom = {"layer": F.lit(0), "pos": F.lit(0).cast("bigint")}
+    shared = layer_defaults(runs.select("codename"), RECIPE_DEFAULTS).withColumns(bottom)
+    single = runs.select("codename", F.inline(own)).withColumns(bottom)
+    given = params.select("codename", "key", "value", F.lit(1).alias("layer"), "pos").join(
+        runs.select("codename").distinct(), "codename", "left_semi"
+    )
+    layered = param_layering(
+        shared.unionByName(single).unionByName(given), ["codename"], "key", ["value"], "layer", "pos"
+    )
+    return layered.select(
+        "codename", F.concat("key", F.lit("="), F.coalesce("value", F.lit("None"))).alias("argument")
+    )

@@ -92,6 +92,35 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def json_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same requests with their parameters in a JSON object, some with a key too many."""
+    rows = requests(spark, sf_dir).join(
+        table(spark, sf_dir, "events").select(
+            F.col("event_id").alias("req_id"), F.get_json_object("props", "$.k").cast("int").alias("k")
+        ),
+        "req_id",
+    )
+    params = F.to_json(
+        F.struct("prompt", "negative_prompt", "steps", F.when(F.col("k") > 90, F.col("k")).alias("k"))
+    )
+    return rows.select("req_id", "model", params.alias("params"))
+
+
+def request_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two ``key=value`` texts per event: a guidance scale, and a seed, a size or a strength."""
+    guidance = F.concat(
+        F.lit("guidance_scale="), F.col("value").cast("decimal(10,2)").cast("string")
+    )
+    other = (
+        F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("seed = "), F.col("event_id").cast("string")))
+        .when(F.col("event_id") % 3 == 1, F.lit("width=tall"))
+        .otherwise(F.lit("lora_strength=0.5"))
+    )
+    return table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("req_id"), F.posexplode(F.array(guidance, other)).alias("pos", "kv")
+    )
+
+
 def payload_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four parts per page: text, JSON, base64 and one without a content type."""
     def part(content_type: str | None, data: Column) -> Column:

@@ -77,8 +77,6 @@ def test_layering_takes_the_last_layer_and_position_and_is_idempotent(spark):
         once.withColumn("pos", F.lit(0)), ["req"], "key", ["value"], "layer", "pos"
     )
     assert {(r.req, r.key): (r.value, r.layer) for r in again.collect()} == rows
-    wide = requests.wide_params(once, ["req"], "key", "value", ["a", "b"]).orderBy("req").collect()
-    assert [tuple(r) for r in wide] == [(1, "last", "x"), (2, None, None)]
 
 
 def test_defaults_cast_fill_and_report(spark):
@@ -91,8 +89,8 @@ def test_defaults_cast_fill_and_report(spark):
     got = [(r.negative_prompt, r.steps, r.guidance_scale, r.width, r.lora_strength, r.error) for r in rows]
     assert got == [
         ("", 30, 7.5, 1024, None, None),
-        ("", None, 2.0, 1024, 1.2, "steps: cannot be read as bigint"),
-        ("n", 10, None, 1024, None, "guidance_scale: cannot be read as double"),
+        ("", 25, 2.0, 1024, 1.2, "steps: cannot be read as bigint"),
+        ("n", 10, 5.0, 1024, None, "guidance_scale: cannot be read as double"),
         (None, None, None, None, None, "unknown model"),
     ]
 
