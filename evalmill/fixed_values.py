@@ -78,7 +78,10 @@ TRAIN_DEFAULTS = {
         "instruction": TRAIN_INSTRUCTION,
     },
 }
-BENCHMARK_DEFAULTS = {"split": "test", "max_items": 100, "reasoning_level": "low"}
+BENCHMARK_DEFAULTS = {
+    "gpt-oss-20b": {"split": "test", "max_items": 100, "reasoning_level": "low"},
+}
+CACHE_DEFAULTS = {"qwen3-vl": {"dataset_uri": "hf:unsloth/LaTeX_OCR"}}
 
 # Recipe of a full training run; values are texts, overridden by stringified parameters.
 RECIPE_DEFAULTS = {

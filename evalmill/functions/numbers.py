@@ -59,4 +59,17 @@ def parse_float(text: Column) -> Column:
 def utc_iso(ts: Column, zoned: bool = True) -> Column:
     """``YYYY-MM-DDTHH:MM:SSZ`` of an instant; ``zoned=False`` for timestamps without a zone."""
     wall = F.to_utc_timestamp(ts, F.current_timezone()) if zoned else ts
-    return F.date_format(wall, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    text = F.translate(F.substring(wall.cast("timestamp_ntz").cast("string"), 1, 19), " ", "T")
+    return F.concat(text, F.lit("Z"))
+
+
+def seconds_between(start: Column, end: Column) -> Column:
+    """Seconds from one timestamp to a later one of the same type, whatever the session's zone."""
+    span = end - start
+    whole = sum(
+        (F.date_part(F.lit(unit), span).cast("bigint") * size
+         for unit, size in (("DAY", 86_400), ("HOUR", 3_600), ("MINUTE", 60))),
+        start=F.lit(0).cast("bigint"),
+    )
+    micros = (F.date_part(F.lit("SECOND"), span) * 1_000_000).cast("bigint")
+    return (whole * 1_000_000 + micros) / 1e6

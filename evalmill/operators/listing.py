@@ -10,14 +10,23 @@ LISTING_MEMBERS = 1024
 
 
 def training_steps(
+    examples: Column, epochs: Column, steps: Column, batch_size: Column, accumulation: Column
+) -> Column:
+    """Optimizer steps: from epochs if known and positive, else the given number; NULL where
+    the epochs are known but the examples are not."""
+    effective = F.greatest(F.lit(1), batch_size * accumulation)
+    needed = F.ceil(examples * epochs.cast("double") / effective).cast("bigint")
+    by_epochs = F.when(needed.isNotNull(), F.greatest(F.lit(1), needed))
+    return F.when(epochs > 0, by_epochs).otherwise(steps.cast("bigint"))
+
+
+def fixed_steps(
     examples: Column, epochs: float | None, steps: int, batch_size: int, accumulation: int
 ) -> Column:
-    """Optimizer steps: from epochs if given and positive, else the given number."""
-    if epochs is None or epochs <= 0:
-        return F.lit(steps).cast("bigint")
-    effective = float(max(1, batch_size * accumulation))
-    needed = F.ceil(examples.cast("double") * F.lit(float(epochs)) / F.lit(effective))
-    return F.greatest(F.lit(1).cast("bigint"), needed.cast("bigint"))
+    """The same for settings that all datasets share."""
+    return training_steps(
+        examples, F.lit(epochs).cast("double"), F.lit(steps), F.lit(batch_size), F.lit(accumulation)
+    )
 
 
 def batch_plan(
@@ -31,7 +40,7 @@ def batch_plan(
     """Examples and optimizer steps per dataset; cap the datasets first."""
     counts = df.groupBy(*dataset).agg(F.count(F.lit(1)).alias("examples"))
     return counts.withColumn(
-        "steps", training_steps(F.col("examples"), epochs, steps, batch_size, accumulation)
+        "steps", fixed_steps(F.col("examples"), epochs, steps, batch_size, accumulation)
     )
 
 

@@ -96,16 +96,23 @@ def with_coverage(sources: DataFrame, targets: DataFrame, on: list[str]) -> Data
 
 
 def coverage_listing(sources: DataFrame, targets: DataFrame, on: list[str]) -> DataFrame:
-    """Coverage with a status text, sorted by key."""
+    """Coverage with a status text, sorted by key; a listing has one source row per key."""
     status = F.when(F.col("built"), "built").otherwise("not built yet")
     return with_coverage(sources, targets, on).withColumn("status", status).orderBy(*on)
 
 
 def coverage_counts(sources: DataFrame, targets: DataFrame, on: list[str]) -> DataFrame:
-    return with_coverage(sources.select(*on), targets, on).agg(
-        F.count_if(F.col("built")).alias("built"),
-        F.count_if(~F.col("built")).alias("not_built"),
-        F.count(F.lit(1)).alias("total"),
+    """Source rows with and without a target. Rows are counted per key before the join, so a key
+    that many rows share costs one row per task."""
+    sizes = sources.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows"))
+
+    def rows_where(condition: Column) -> Column:
+        return F.coalesce(F.sum(F.when(condition, F.col("_rows"))), F.lit(0))
+
+    return with_coverage(sizes, targets, on).agg(
+        rows_where(F.col("built")).alias("built"),
+        rows_where(~F.col("built")).alias("not_built"),
+        rows_where(F.lit(True)).alias("total"),
     )
 
 

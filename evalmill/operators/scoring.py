@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evalmill.functions.numbers import round_exact
+from evalmill.functions.numbers import round_exact, seconds_between
 from evalmill.functions.text import blank_to_null, first_chars, last_chars
 from evalmill.operators.ordered import head_n, running_totals
 
@@ -98,14 +98,6 @@ def sample_records(
     )
 
 
-def elapsed_seconds(scored: DataFrame, ts: str) -> DataFrame:
-    """One row: seconds between the first and the last value of a timestamp column."""
-    seconds = F.unix_micros(F.max(ts).cast("timestamp")) - F.unix_micros(
-        F.min(ts).cast("timestamp")
-    )
-    return scored.agg((seconds / 1e6).alias("elapsed_seconds"))
-
-
 def eval_report(
     scored: DataFrame,
     order: str,
@@ -146,8 +138,7 @@ def eval_report(
         F.sort_array(F.collect_list(F.struct("*"))).alias("samples")
     )
     if stamps:
-        first = F.unix_micros(F.col("_first").cast("timestamp"))
-        seconds = (F.unix_micros(F.col("_last").cast("timestamp")) - first) / 1e6
+        seconds = seconds_between(F.col("_first"), F.col("_last"))
     else:
         seconds = F.lit(elapsed).cast("double")
     overall = F.col("correct") / F.greatest(F.lit(1), F.col("items"))

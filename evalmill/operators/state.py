@@ -59,8 +59,3 @@ def run_status_fold(updates: DataFrame, fields: list[str]) -> DataFrame:
     """One status record per run from partial updates ``(run_id, ts, seq, fields...)``."""
     usable, _ = split_updates(updates)
     return usable.groupBy("run_id").agg(*status_columns(fields))
-
-
-def duration_seconds(started: Column, finished: Column) -> Column:
-    micros = F.unix_micros(finished.cast("timestamp")) - F.unix_micros(started.cast("timestamp"))
-    return micros / 1e6

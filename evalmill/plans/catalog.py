@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from evalmill import fixed_values as fixed
 from evalmill.functions.answers import choice_letter, gold_error, gold_letter
-from evalmill.functions.numbers import gibibytes, minutes, round_exact, utc_iso
+from evalmill.functions.numbers import gibibytes, minutes, round_exact, seconds_between, utc_iso
 from evalmill.functions.text import (
     blank_to_null,
     first_chars,
@@ -481,7 +481,7 @@ def _status_rows(records: DataFrame) -> DataFrame:
     return records.select(
         "run_id", "status", iso("started_at"), iso("finished_at"), "metric", iso("updated_at"),
         "updates",
-        state.duration_seconds(F.col("started_at"), F.col("finished_at")).alias("duration"),
+        seconds_between(F.col("started_at"), F.col("finished_at")).alias("duration"),
     )
 
 
@@ -560,6 +560,19 @@ def run_requests(spark, sf_dir):
     )
 
 
+@query
+def training_requests(spark, sf_dir):
+    """Checked training requests with the optimizer steps of their dataset."""
+    examples = listing.batch_plan(table(spark, sf_dir, "documents"), ["source"])
+    planned = training.training_requests(
+        views.training_params(spark, sf_dir), None, examples.withColumnRenamed("source", "dataset")
+    )
+    return planned.select(
+        "req_id", "dataset", "examples", "epochs", "steps", "max_train_samples", "batch_size",
+        "gradient_accumulation_steps", "learning_rate", "instruction", "error",
+    )
+
+
 @query
 def training_recipe(spark, sf_dir):
     """Recipe arguments per run: defaults, overlaid by the parameters of the run."""

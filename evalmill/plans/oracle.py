@@ -457,6 +457,34 @@ ORACLE: dict[str, str] = {
                 CASE WHEN steps < 1 THEN '$.steps: below minimum 1' END)
             WHEN trim(prompt) = '' THEN 'prompt required' END AS error
         FROM filled""",
+    "training_requests": f"""
+        WITH given AS (
+          SELECT event_id AS req_id, 'src' || (event_id % 25) AS dataset,
+            CAST(json_extract_string(props, '$.k') AS BIGINT) AS k
+          FROM events
+        ),
+        counted AS (SELECT source, count(*) AS examples FROM documents GROUP BY source),
+        filled AS (
+          SELECT g.req_id, g.dataset,
+            CASE WHEN req_id % 2 = 0 THEN k / CAST(10 AS DOUBLE) END AS epochs,
+            CASE WHEN req_id % 4 = 1 THEN k ELSE 30 END AS given_steps,
+            CASE WHEN req_id % 3 = 0 THEN k - 5 END AS max_train_samples,
+            CASE WHEN req_id % 5 = 0 THEN 3 ELSE 2 END AS batch_size, c.examples AS all_examples
+          FROM given g LEFT JOIN counted c ON g.dataset = c.source
+        ),
+        used AS (
+          SELECT *, CASE WHEN max_train_samples > 0 AND all_examples > max_train_samples
+                         THEN max_train_samples ELSE all_examples END AS examples
+          FROM filled
+        )
+        SELECT req_id, dataset, examples, epochs,
+          CASE WHEN epochs > 0 AND examples IS NULL THEN NULL
+               WHEN epochs > 0 THEN greatest(1, CAST(ceil(examples * epochs / (batch_size * 4)) AS BIGINT))
+               ELSE given_steps END AS steps,
+          max_train_samples, CAST(batch_size AS BIGINT) AS batch_size,
+          CAST(4 AS BIGINT) AS gradient_accumulation_steps, CAST(0.0002 AS DOUBLE) AS learning_rate,
+          {_quoted(fixed.TRAIN_INSTRUCTION)} AS instruction, CAST(NULL AS VARCHAR) AS error
+        FROM used""",
     "training_recipe": f"""
         WITH runs AS (
           SELECT CAST(c_custkey AS VARCHAR) AS codename, c_mktsegment AS dataset_dir FROM customer

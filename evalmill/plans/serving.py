@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from evalmill import fixed_values as fixed
 from evalmill.functions.text import blank_to_null
-from evalmill.operators.chat import inject_level
+from evalmill.operators.chat import inject_level, vision_messages
 from evalmill.operators.contracts import TYPE_TESTS, Node, check_contract, kind_of, members_errors
+from evalmill.operators.lookups import lookup_with_fallback
 from evalmill.operators.predict import batch_predict
 from evalmill.operators.requests import (
     accepted,
@@ -21,7 +22,7 @@ from evalmill.operators.requests import (
     request_defaults,
     required_filter,
 )
-from evalmill.sources.payloads import payload_route
+from evalmill.sources.payloads import image_payload_decode, payload_route
 
 
 def json_literal(kind: Column, text: Column, integer: Column, number: Column) -> Column:
@@ -177,6 +178,36 @@ def chat_requests(requests: DataFrame, overrides: DataFrame | None = None) -> Da
     ).drop("_error")
 
 
+def vision_requests(
+    requests: DataFrame,
+    overrides: DataFrame | None = None,
+    files: DataFrame | None = None,
+    adapters: DataFrame | None = None,
+) -> DataFrame:
+    """Image question requests: decoded image, ``messages`` with a slot for it, and the adapter.
+
+    ``files`` (``path``, ``content``) are what an image may name instead of carrying base64;
+    ``adapters`` (``lora_run``, ``adapter``) are the adapters that exist, others fall back to
+    ``base``.
+    """
+    checked = checked_requests(
+        requests,
+        overrides,
+        {model: fixed.VISION_CONTRACT for model in fixed.VISION_DEFAULTS},
+        fixed.VISION_DEFAULTS,
+        {"image": "value"},
+    ).withColumnRenamed("error", "_error")
+    decoded = image_payload_decode(checked, "image", files, ["req_id"])
+    ready = decoded.withColumn("error", F.coalesce("_error", "error")).drop("_error", "image")
+    if adapters is None:
+        ready = ready.withColumns({"adapter": F.lit("base"), "provenance": F.lit("default")})
+    else:
+        ready = lookup_with_fallback(
+            ready, adapters, None, ["lora_run"], "adapter", ["req_id"], "base"
+        )
+    return ready.withColumn("messages", vision_messages(F.col("prompt")))
+
+
 def run_requests(
     checked: DataFrame,
     load: Callable[[], Any],

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalmill.fixed_values import RECIPE_DEFAULTS, TRAIN_INSTRUCTION
 from evalmill.operators.chat import conversation_messages
-from evalmill.operators.listing import training_steps
+from evalmill import fixed_values as fixed
+from evalmill.operators.listing import fixed_steps, training_steps
+from evalmill.operators.lookups import salted_lookup
 from evalmill.operators.ordered import head_n
 from evalmill.operators.requests import layer_defaults, param_layering
-from evalmill.sources.datasets import dataset_dir
+from evalmill.plans.serving import checked_requests
+from evalmill.sources.datasets import dataset_dir, dataset_name
 
 
 def training_export(
@@ -21,7 +23,7 @@ def training_export(
     text: str,
     path: str,
     max_train_samples: int | None = None,
-    instruction: str = TRAIN_INSTRUCTION,
+    instruction: str = fixed.TRAIN_INSTRUCTION,
     epochs: float | None = None,
     steps: int = 30,
     batch_size: int = 2,
@@ -47,10 +49,36 @@ def training_export(
     written = samples.sparkSession.read.schema(records.schema).parquet(path)
     counts = written.groupBy(dataset).agg(F.count(F.lit(1)).alias("examples"))
     return counts.withColumn(
-        "steps", training_steps(F.col("examples"), epochs, steps, batch_size, accumulation)
+        "steps", fixed_steps(F.col("examples"), epochs, steps, batch_size, accumulation)
     )
 
 
+def training_requests(
+    requests: DataFrame, overrides: DataFrame | None, examples: DataFrame
+) -> DataFrame:
+    """Training requests, checked and completed, with ``dataset`` and the ``steps`` to take.
+
+    ``examples`` has ``dataset`` and its number of ``examples``; the number counts up to
+    ``max_train_samples`` where that is positive. Steps are NULL for an unknown dataset that is
+    trained by epochs.
+    """
+    checked = checked_requests(
+        requests,
+        overrides,
+        {model: fixed.TRAIN_CONTRACT for model in fixed.TRAIN_DEFAULTS},
+        fixed.TRAIN_DEFAULTS,
+        {},
+    ).withColumn("dataset", dataset_name(F.col("dataset_uri")))
+    sized = salted_lookup(checked, examples.select("dataset", "examples"), ["dataset"], ["req_id"])
+    cap = F.when(F.col("max_train_samples") > 0, F.col("max_train_samples"))
+    used = F.when(F.col("examples").isNotNull(), F.least("examples", cap))
+    steps = training_steps(
+        F.col("examples"), F.col("epochs"), F.col("steps"),
+        F.col("batch_size"), F.col("gradient_accumulation_steps"),
+    )
+    return sized.withColumn("examples", used).withColumn("steps", steps)
+
+
 def recipe_arguments(
     runs: DataFrame, params: DataFrame, data_root: str, run_root: str
 ) -> DataFrame:
@@ -73,14 +101,13 @@ def recipe_arguments(
         ]
     )
     bottom = {"layer": F.lit(0), "pos": F.lit(0).cast("bigint")}
-    shared = layer_defaults(runs.select("codename"), RECIPE_DEFAULTS).withColumns(bottom)
+    shared = layer_defaults(runs.select("codename"), fixed.RECIPE_DEFAULTS).withColumns(bottom)
     single = runs.select("codename", F.inline(own)).withColumns(bottom)
-    given = params.select("codename", "key", "value", F.lit(1).alias("layer"), "pos").join(
-        runs.select("codename").distinct(), "codename", "left_semi"
-    )
+    given = params.select("codename", "key", "value", F.lit(1).alias("layer"), "pos")
+    # Joined after the layers are merged: then even a run with most parameters has few rows.
     layered = param_layering(
         shared.unionByName(single).unionByName(given), ["codename"], "key", ["value"], "layer", "pos"
-    )
+    ).join(runs.select("codename").distinct(), "codename", "left_semi")
     return layered.select(
         "codename", F.concat("key", F.lit("="), F.coalesce("value", F.lit("None"))).alias("argument")
     )

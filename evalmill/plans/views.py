@@ -121,6 +121,23 @@ def request_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def training_params(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Training requests per event: some by epochs, some by steps, some of an unknown dataset."""
+    k = F.get_json_object("props", "$.k").cast("int")
+    params = F.to_json(
+        F.struct(
+            F.concat(F.lit("hf:src"), (F.col("event_id") % 25).cast("string")).alias("dataset_uri"),
+            F.when(F.col("event_id") % 2 == 0, k / 10).alias("epochs"),
+            F.when(F.col("event_id") % 4 == 1, k).alias("steps"),
+            F.when(F.col("event_id") % 3 == 0, k - 5).alias("max_train_samples"),
+            F.when(F.col("event_id") % 5 == 0, F.lit(3)).alias("batch_size"),
+        )
+    )
+    return table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("req_id"), F.lit("qwen3-vl").alias("model"), params.alias("params")
+    )
+
+
 def payload_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four parts per page: text, JSON, base64 and one without a content type."""
     def part(content_type: str | None, data: Column) -> Column:

@@ -5,8 +5,10 @@ import json
 
 from pyspark.sql import functions as F
 
+from evalmill import fixed_values as fixed
 from evalmill.operators import chat
 from evalmill.plans import serving, training
+from evalmill.sources.files import read_files
 from evalmill.sources.payloads import payload_write
 
 
@@ -113,3 +115,65 @@ def test_recipe_arguments(spark):
             "hydra.run.dir=/runs/a/hydra-out"} <= a
     assert {"lr=1e-4", "data_paths=[/abs]", "arch.H_cycles=3"} <= b
     assert (len(a), len(b), len(rows)) == (16, 15, 31)
+
+
+def test_vision_requests(spark, tmp_path):
+    png = b"\x89PNG\r\n\x1a\n" + b"rest"
+    (tmp_path / "i.png").write_bytes(png)
+    path = str(tmp_path / "i.png")
+    requests = requests_of(spark, [
+        ("qwen3-vl", {"image": base64.b64encode(png).decode(), "prompt": "what?", "lora_run": "mine"}),
+        ("qwen3-vl", {"image": path, "prompt": "", "lora_run": "gone", "other": 1}),
+        ("qwen3-vl", {"image": "", "prompt": "x"}),
+        ("qwen3-vl", {"prompt": "x"}),
+        ("qwen3-vl", {"image": "/none", "prompt": "x", "max_tokens": 5}),
+    ])
+    adapters = spark.createDataFrame([("mine", "/runs/mine")], "lora_run string, adapter string")
+    out = serving.vision_requests(requests, None, read_files(spark, str(tmp_path)), adapters)
+    rows = {r.req_id: r for r in out.collect()}
+    assert [bytes(rows[i].image_bytes) for i in (0, 1)] == [png, png]
+    assert [(rows[i].adapter, rows[i].provenance) for i in (0, 1)] == [
+        ("/runs/mine", "primary"), ("base", "default")
+    ]
+    assert (rows[4].max_tokens, rows[0].max_tokens, rows[0].temperature, rows[0].min_p) == (5, 128, 1.5, 0.1)
+    assert [rows[i].error for i in range(5)] == [
+        None, None, "image required", "$: image is required", "could not decode image"
+    ]
+    assert rows[0].messages[0].content[1].text == "what?"
+    assert {r.adapter for r in serving.vision_requests(requests).collect()} == {"base"}
+
+
+def test_training_requests(spark):
+    requests = requests_of(spark, [
+        ("qwen3-vl", {"dataset_uri": "hf:org/set", "epochs": 1}),
+        ("qwen3-vl", {"dataset_uri": "org/set", "epochs": 2, "max_train_samples": 10, "batch_size": 0}),
+        ("qwen3-vl", {"dataset_uri": "none", "epochs": 1}),
+        ("qwen3-vl", {"dataset_uri": "none", "epochs": 0}),
+        ("qwen3-vl", {"epochs": 1}),
+        ("qwen3-vl", {"dataset_uri": "org/set", "epochs": "one"}),
+        ("qwen3-vl", {"dataset_uri": "org/set", "max_train_samples": -1}),
+    ])
+    examples = spark.createDataFrame([("org/set", 1000)], "dataset string, examples long")
+    rows = {r.req_id: r for r in training.training_requests(requests, None, examples).collect()}
+    assert [(rows[i].examples, rows[i].steps) for i in (0, 1, 2, 3, 6)] == [
+        (1000, 125), (10, 20), (None, None), (None, 30), (1000, 30)
+    ]
+    assert rows[4].error == "$: dataset_uri is required"
+    assert rows[5].error == "$.epochs: not of type number"
+    assert rows[0].instruction == "Write the LaTeX representation for this image."
+
+
+def test_benchmark_and_cache_parameters(spark):
+    requests = requests_of(spark, [("gpt-oss-20b", {}), ("gpt-oss-20b", {"max_items": 5, "split": "dev"}),
+                                   ("gpt-oss-20b", {"split": "train"})])
+    rows = serving.checked_requests(
+        requests, None, {"gpt-oss-20b": fixed.BENCHMARK_CONTRACT}, fixed.BENCHMARK_DEFAULTS, {}
+    ).orderBy("req_id").collect()
+    assert [(r.split, r.max_items, r.reasoning_level, r.error is None) for r in rows] == [
+        ("test", 100, "low", True), ("dev", 5, "low", True), ("train", 100, "low", False)
+    ]
+    cache = requests_of(spark, [("qwen3-vl", None), ("qwen3-vl", {"dataset_uri": "a/b"})])
+    rows = serving.checked_requests(
+        cache, None, {"qwen3-vl": fixed.CACHE_CONTRACT}, fixed.CACHE_DEFAULTS, {}
+    ).orderBy("req_id").collect()
+    assert [r.dataset_uri for r in rows] == ["hf:unsloth/LaTeX_OCR", "a/b"]
