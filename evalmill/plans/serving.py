@@ -14,6 +14,7 @@ from evalmill.functions.text import blank_to_null
 from evalmill.operators.chat import inject_level, vision_messages
 from evalmill.operators.contracts import TYPE_TESTS, Node, check_contract, kind_of, members_errors
 from evalmill.operators.lookups import lookup_with_fallback
+from evalmill.operators.once import computed_once
 from evalmill.operators.predict import batch_predict
 from evalmill.operators.requests import (
     accepted,
@@ -129,7 +130,7 @@ def checked_requests(
             lost = fits & F.col(name).isNull()
             unread.append(F.when(lost, F.lit(f"{name}: cannot be read as {kind}")))
     typed = (
-        merged.withColumns({**columns, "_contract": problem})
+        computed_once(merged, {**columns, "_contract": problem})
         .withColumn("_unread", F.coalesce(*unread, F.lit(None)))
         .select("req_id", "model", *columns, "_contract", "_unread")
     )
