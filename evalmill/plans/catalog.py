@@ -472,8 +472,7 @@ def index_upsert(spark, sf_dir):
     index = state.index_upsert(
         views.index_base(spark, sf_dir), views.index_updates(spark, sf_dir)
     )
-    latest = state.index_latest(index)
-    return lookups.salted_lookup(index, latest, ["name"], ["version"]).drop("versions")
+    return state.index_with_latest(index)
 
 
 def _status_rows(records: DataFrame) -> DataFrame:

@@ -350,3 +350,7 @@ def test_index_upsert_keeps_the_last_written(spark):
     ]
     assert rows_of(state.index_latest(merged)) == [("a", "1.0", 2), ("b", "1.0", 1)]
     assert rows_of(state.index_upsert(merged, updates)) == rows_of(merged)
+    for hot_rows in (1, 2, 1000):
+        assert rows_of(state.index_with_latest(merged, hot_rows).select("name", "version", "latest")) == [
+            ("a", "1.0", "1.0"), ("a", "2.0", "1.0"), ("b", "1.0", "1.0")
+        ]
