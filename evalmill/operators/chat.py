@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evalmill.fixed_values import EVAL_INSTRUCTION, LEVEL_MESSAGE, TRAIN_INSTRUCTION
+from evalmill.fixed_values import EVAL_INSTRUCTION, LEVEL_MESSAGE, LEVELS, TRAIN_INSTRUCTION
 from evalmill.functions.text import is_level, normalise_level
 
 
@@ -33,7 +33,7 @@ def system_message_inject(
 
     A conversation without a system turn gets one row more, placed one before its first turn.
     """
-    if level.lower() not in ("low", "medium", "high"):
+    if level.lower() not in LEVELS:
         return df
     heads = df.groupBy(conversation).agg(
         F.min(order).alias("_first"),

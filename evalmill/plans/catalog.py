@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalmill import fixed_values as fixed
-from evalmill.functions.answers import choice_letter, gold_error, gold_letter
+from evalmill.functions.answers import gold_error, gold_letter
 from evalmill.functions.numbers import gibibytes, minutes, round_exact, seconds_between, utc_iso
 from evalmill.functions.text import (
     blank_to_null,
@@ -83,8 +83,8 @@ def dataset_materialise(spark, sf_dir):
     return datasets.dataset_materialise(spark, "src3", source, path).drop("cache_dir")
 
 
-@query
-def file_payload_scan(spark, sf_dir):
+def _filled_params(spark, sf_dir):
+    """A parameter per event; two of three name a file of the small tables, half are prompts."""
     events = table(spark, sf_dir, "events")
     names = F.element_at(
         F.array(F.lit("region"), F.lit("nation"), F.lit("missing")),
@@ -96,12 +96,29 @@ def file_payload_scan(spark, sf_dir):
         F.concat(F.lit(f"{sf_dir}/"), names, F.lit(".parquet")).alias("value"),
     )
     found = files.read_files(spark, [f"{sf_dir}/region.parquet", f"{sf_dir}/nation.parquet"])
-    filled = files.file_payload_scan(params, found, "key", "value", ["req_id"])
-    return filled.select(
-        "req_id", "key", "from_file", F.length("value").alias("n_chars"), F.sha2("value", 256).alias("sha256")
+    return files.file_payload_scan(params, found, "key", "value", ["req_id"])
+
+
+@query
+def file_payload_scan(spark, sf_dir):
+    return _filled_params(spark, sf_dir).select(
+        "req_id", "key", "from_file", F.length("value").alias("n_chars"),
+        F.sha2("value", 256).alias("sha256"),
     )
 
 
+@query
+def file_payload_flags(spark, sf_dir):
+    """Which parameters were replaced, and whether by base64 or left as a path."""
+    base64_only = F.col("value").rlike("^[A-Za-z0-9+/]+=*$")
+    return _filled_params(spark, sf_dir).select(
+        "req_id", "key", "from_file",
+        F.when(F.col("from_file"), base64_only & (F.length("value") % 4 == 0)).alias("is_base64"),
+        F.substring_index("value", "/", -1).alias("_last"),
+    ).select("req_id", "key", "from_file", "is_base64",
+             F.when(~F.col("from_file"), F.col("_last")).alias("kept"))
+
+
 @query
 def content_manifest(spark, sf_dir):
     return files.content_manifest(table(spark, sf_dir, "documents"), ["doc_id"], "text")
@@ -415,9 +432,9 @@ def snippet(spark, sf_dir):
         first_chars(text, 100).alias("head"),
         last_chars(text, 200).alias("tail"),
         first_chars(text, 500, "...").alias("preview"),
-        blank_to_null(F.when(F.col("doc_id") % 2 == 0, F.lit("")).otherwise(first_chars(text, 100))).alias(
-            "analysis"
-        ),
+        blank_to_null(
+            F.when(F.col("doc_id") % 2 == 0, F.lit("")).otherwise(first_chars(text, 100))
+        ).alias("analysis"),
     )
 
 

@@ -67,8 +67,8 @@ def evaluate(
     """Run the predictor over the items and score each one.
 
     Gold letter and subject travel along with the item past the predictor, which sees only
-    ``item_id``, the length-unlimited ``messages`` and nothing of the answer; so predictions
-    need no join to their golds. The cap is applied before the predictor.
+    ``item_id`` and ``messages``; so predictions need no join to their golds. The cap is applied
+    before the predictor.
 
     Reports read the result several times: write it to a table first, so that the model runs
     once.

@@ -171,6 +171,16 @@ ORACLE: dict[str, str] = {
     "dataset_materialise": """
         SELECT true AS ok, 'src3' AS dataset, count(*) AS num_examples
         FROM documents WHERE source = 'src3'""",
+    "file_payload_flags": """
+        WITH params AS (
+          SELECT event_id AS req_id, CASE WHEN event_id % 2 = 0 THEN 'file' ELSE 'prompt' END AS key,
+            CASE event_id % 3 WHEN 0 THEN 'region' WHEN 1 THEN 'nation' ELSE 'missing' END AS name
+          FROM events
+        )
+        SELECT req_id, key, key = 'file' AND name <> 'missing' AS from_file,
+          CASE WHEN key = 'file' AND name <> 'missing' THEN true END AS is_base64,
+          CASE WHEN NOT (key = 'file' AND name <> 'missing') THEN name || '.parquet' END AS kept
+        FROM params""",
     "content_manifest": """
         SELECT doc_id, 'sha256:' || sha256(text) AS sha256, octet_length(encode(text)) AS length
         FROM documents""",
