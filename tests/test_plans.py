@@ -4,8 +4,9 @@ import re
 
 import pytest
 
-from evalmill.operators import ordered
+from evalmill.operators import lookups, ordered
 from evalmill.plans.catalog import QUERIES
+from evalmill.session import session_conf
 
 SF = "/root/testdata/sf0.01"
 
@@ -76,3 +77,11 @@ def test_rollup_expands_tallies_not_rows(spark):
     assert plan.index("Expand") < plan.index("Join")
     between = plan[plan.index("Expand"): plan.index("Join")]
     assert "HashAggregate" in between
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - WRITES))
+def test_only_the_bounded_list_of_hot_keys_is_broadcast_by_hint(spark, name):
+    with session_conf(spark, spark__sql__autoBroadcastJoinThreshold="-1"):
+        plan = plan_of(QUERIES[name](spark, SF))
+    limit = f"TakeOrderedAndProject(limit={lookups.HOT_KEYS}"
+    assert plan.count("BroadcastExchange") == plan.count(limit)

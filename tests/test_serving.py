@@ -3,6 +3,7 @@
 import base64
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from evalmill import fixed_values as fixed
@@ -177,3 +178,23 @@ def test_benchmark_and_cache_parameters(spark):
         cache, None, {"qwen3-vl": fixed.CACHE_CONTRACT}, fixed.CACHE_DEFAULTS, {}
     ).orderBy("req_id").collect()
     assert [r.dataset_uri for r in rows] == ["hf:unsloth/LaTeX_OCR", "a/b"]
+
+
+def test_yaml_parameters(spark):
+    pytest.importorskip("yaml")
+    from evalmill.sources.params import params_json
+
+    requests = requests_of(spark, [
+        ("sdxl", "prompt: a cat\nsteps: 12\nguidance_scale: 2.5\n"),
+        ("sdxl", '{"prompt": "json", "steps": 3}'),
+        ("sdxl", "- a\n- b\n"),
+        ("sdxl", "{broken: ["),
+        ("sdxl", None),
+    ]).withColumn("params", params_json(F.col("params")))
+    rows = {r.req_id: r for r in serving.image_requests(requests).collect()}
+    assert [(rows[i].prompt, rows[i].steps, rows[i].error) for i in (0, 1)] == [
+        ("a cat", 12, None), ("json", 3, None)
+    ]
+    assert [rows[i].error for i in (2, 3, 4)] == [
+        "params must be a JSON object", "params must be a JSON object", "$: prompt is required"
+    ]
