@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evalmill.llm import license, secrets
+from evalmill.llm import fingerprint, langid, license, packing, secrets, tokenout
 from evalmill.llm.common import documents
 
 
@@ -15,8 +15,12 @@ def _over_documents(operator: Callable[[DataFrame], DataFrame]) -> Callable[[Spa
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": _over_documents(langid.op1_language_id),
     "op4_license_scan": _over_documents(license.op4_license_scan),
+    "op5_best_fit_packing": _over_documents(packing.op5_best_fit_packing),
+    "op6_fingerprints": _over_documents(fingerprint.op6_fingerprints),
     "op9_secret_scan": _over_documents(secrets.op9_secret_scan),
+    "op10_token_files": _over_documents(tokenout.op10_token_files),
 }
 
 ORACLE: dict[str, str] = {}
