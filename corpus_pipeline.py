@@ -1,19 +1,52 @@
-"""The corpus pipeline: stages that clean a table of documents, one after another."""
+"""The corpus pipeline: stages that clean a table of documents and pack what is left.
+
+Every stage works on all that the one before it kept.  The first four return the columns of the
+documents; the last one returns the packed pieces.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from evalmill.llm import decontam, langid, packing, secrets, simhash
 from evalmill.llm.common import documents, stored
-from evalmill.llm.secrets import redact
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without a letter, or unlike every learned language, go; the others get their language."""
+    model = langid.train(docs.select("doc_id", "text", "lang"))
+    known = langid.identify(docs, model).where(~F.col("rejected"))
+    return known.select(*[F.col("lang_pred").alias(c) if c == "lang" else F.col(c) for c in docs.columns])
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of copies and near-duplicates stays."""
+    return simhash.drop_near_duplicates(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontam.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are masked; every document stays."""
-    return redact(docs)
+    """Secrets are masked and the length follows; every document stays."""
+    return secrets.redact(docs).withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in bins of the permitted lengths."""
+    return packing.op5_best_fit_packing(docs)
 
 
-STAGES = [("secret_scan", secret_scan)]
+STAGES = [
+    ("language_id", language_id),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("secret_scan", secret_scan),
+    ("best_fit_packing", best_fit_packing),
+]
 
 #: No SQL: languages are learned and bins are packed; tests hold the stages against brute force.
 ORACLE_SQL: str | None = None

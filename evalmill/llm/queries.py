@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evalmill.llm import fingerprint, langid, license, packing, secrets, tokenout
+from evalmill.llm import decontam, fingerprint, langid, license, packing, secrets, simhash, tokenout
 from evalmill.llm.common import documents
 
 
@@ -16,6 +16,10 @@ def _over_documents(operator: Callable[[DataFrame], DataFrame]) -> Callable[[Spa
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": _over_documents(langid.op1_language_id),
+    "op2_decontamination": lambda spark, sf_dir: decontam.op2_decontamination(
+        documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    ),
+    "op3_simhash": _over_documents(simhash.op3_simhash),
     "op4_license_scan": _over_documents(license.op4_license_scan),
     "op5_best_fit_packing": _over_documents(packing.op5_best_fit_packing),
     "op6_fingerprints": _over_documents(fingerprint.op6_fingerprints),
@@ -23,4 +27,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_token_files": _over_documents(tokenout.op10_token_files),
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op2_decontamination": decontam.ORACLE}
