@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evalmill.llm import decontam, fingerprint, langid, license, packing, secrets, simhash, tokenout
+from evalmill.llm import decontam, fingerprint, html, langid, license, packing, secrets, simhash, tokenout
 from evalmill.llm.common import documents
 
 
@@ -23,6 +23,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_license_scan": _over_documents(license.op4_license_scan),
     "op5_best_fit_packing": _over_documents(packing.op5_best_fit_packing),
     "op6_fingerprints": _over_documents(fingerprint.op6_fingerprints),
+    "op7_html_extraction": lambda spark, sf_dir: html.op7_html_extraction(
+        spark.read.parquet(f"{sf_dir}/pages.parquet")
+    ),
     "op9_secret_scan": _over_documents(secrets.op9_secret_scan),
     "op10_token_files": _over_documents(tokenout.op10_token_files),
 }
