@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evalmill.llm import decontam, fingerprint, html, langid, license, packing, secrets, simhash, tokenout
+from evalmill.llm import decontam, fingerprint, html, langid, license, packing, secrets, simhash, suffix, tokenout
 from evalmill.llm.common import documents
 
 
@@ -26,6 +26,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_html_extraction": lambda spark, sf_dir: html.op7_html_extraction(
         spark.read.parquet(f"{sf_dir}/pages.parquet")
     ),
+    "op8_suffix_dedup": _over_documents(suffix.op8_suffix_dedup),
     "op9_secret_scan": _over_documents(secrets.op9_secret_scan),
     "op10_token_files": _over_documents(tokenout.op10_token_files),
 }
