@@ -276,7 +276,8 @@ def components(links: DataFrame) -> DataFrame:
         small = small.select(F.col("e.u").alias("u"), F.col("e.m").alias("v"))
         edges = stored(small.where("u != v").distinct(), "small-star")
         before, now = now, mark(edges)
-    return edges.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node")
+    roots = edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
+    return edges.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node").union(roots)
 
 
 def op3_simhash(docs: DataFrame) -> DataFrame:

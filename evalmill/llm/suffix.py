@@ -87,7 +87,7 @@ def triggers(rolling: Rolling, length: int = LENGTH, gram: int = GRAM) -> tuple[
     """Position, hash, and first and last start of the strings that it stands for, of each trigger."""
     n = len(rolling.sums) - 1
     width = length - gram + 1
-    place_bits = np.uint64(CHUNK.bit_length())
+    place_bits = np.uint64((CHUNK + length).bit_length())
     low = (np.uint64(1) << place_bits) - np.uint64(1)
     found = []
     for at in range(0, max(n - length + 1, 0), CHUNK):
