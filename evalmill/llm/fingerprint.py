@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evalmill.llm.common import row_key, stored
+from evalmill.llm.common import row_key
 
 WORDS = 5
 BINS_LOG2, BITS = 7, 8
@@ -40,11 +40,15 @@ def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
     Each step is a column of its own, so that no step is computed once per element of the next.
     """
     t = f"_{out}_"
-    words, sorted_, mins = F.col(f"{t}words"), F.col(f"{t}sorted"), F.col(f"{t}mins")
-    shingles = F.transform(
-        F.sequence(F.lit(1), F.greatest(F.size(words) - (WORDS - 1), F.lit(1))),
-        lambda i: F.xxhash64(F.slice(words, i, F.lit(WORDS))),
-    )
+    one, two, four = F.col(f"{t}one"), F.col(f"{t}two"), F.col(f"{t}four")
+    sorted_, mins = F.col(f"{t}sorted"), F.col(f"{t}mins")
+
+    def with_later(hashes: Column, others: Column, steps: int) -> Column:
+        # Hashes of two neighbours; at the end, where there is no later one, of the first alone.
+        return F.zip_with(hashes, F.slice(others, F.lit(steps + 1), F.size(others)), lambda x, y: F.xxhash64(x, y))
+
+    count = F.greatest(F.size(one) - (WORDS - 1), F.least(F.size(one), F.lit(1)))
+    shingles = F.slice(with_later(four, one, 4), F.lit(1), count)
     first_of_bin = F.filter(
         sorted_, lambda h, i: (i == 0) | (_bin(h) != _bin(F.get(sorted_, i - 1)))
     )
@@ -66,12 +70,15 @@ def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
     lowered = F.lower(F.coalesce(F.col(text).cast("string"), F.lit("")))
     return (
         df.withColumn(f"{t}words", F.regexp_extract_all(lowered, F.lit(WORD), F.lit(0)))
-        .withColumn(f"{t}sorted", F.sort_array(F.when(F.size(words) > 0, shingles).otherwise(F.array().cast("array<bigint>"))))
+        .withColumn(f"{t}one", F.transform(f"{t}words", lambda w: F.xxhash64(w)))
+        .withColumn(f"{t}two", with_later(one, one, 1))
+        .withColumn(f"{t}four", with_later(two, two, 2))
+        .withColumn(f"{t}sorted", F.sort_array(shingles))
         .withColumn(f"{t}mins", first_of_bin)
         .withColumn(f"{t}held", F.map_from_arrays(F.transform(mins, _bin), mins))
         .withColumn(f"{t}dense", dense)
         .withColumn(out, F.when(F.size(mins) > 0, packed).otherwise(F.lit("")))
-        .drop(*[f"{t}{c}" for c in ("words", "sorted", "mins", "held", "dense")])
+        .drop(*[f"{t}{c}" for c in ("words", "one", "two", "four", "sorted", "mins", "held", "dense")])
     )
 
 
@@ -89,64 +96,65 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a == b, F.lit(1.0)).when((a == "") | (b == ""), F.lit(0.0)).otherwise(corrected)
 
 
-def neighbours(keys: DataFrame) -> DataFrame:
-    """For each key of ``keys`` (doc_id, key_a, key_b, n_chars, copies), the key before it in order.
+def _bucket(value: Column, bounds: list[int]) -> Column:
+    """How many of the sorted ``bounds`` lie at or below the value, by binary search."""
+    if not bounds:
+        return F.lit(0)
+    steps = [1 << k for k in reversed(range(len(bounds).bit_length()))]
+    held = F.lit(bounds).cast("array<bigint>")
+    return F.aggregate(
+        F.lit(steps),
+        F.lit(0),
+        lambda low, step: F.when(
+            (low + step <= len(bounds)) & (F.get(held, low + step - 1) <= value), low + step
+        ).otherwise(low),
+    )
+
+
+def with_next(rows: DataFrame, buckets: int, taken: list[str]) -> DataFrame:
+    """``rows`` (doc_id, key_a, key_b, ...) with ``next``, the ``taken`` columns of the next row.
 
-    Keys are dealt into ranges and stored; within a range the one before is a window's, and the
-    first of a range follows the last of the range before.  The first of all follows the last.
-    Only one row per range is gathered in one task.
+    The order is descending id, then the keys.  Rows are dealt into ranges of ids, so they are
+    shuffled once, and the next row is a window's over a range.  The first row of every range is
+    also sent to the range before it (of the first, to the last one), behind all others; these first
+    rows are found on the keys alone, one per range, and only their keys are broadcast.
     """
+    turned = F.coalesce(F.bitwise_not(F.col("doc_id")), F.lit((1 << 63) - 1))
+    rows = rows.withColumn("no_id", F.col("doc_id").isNull()).withColumn("turned", turned)
+    shares = [i / buckets for i in range(1, buckets)]
+    cuts = rows.select(F.percentile_approx("turned", shares or [0.5], 20_000)).first()[0] or []
+    bounds = sorted(set(cuts)) if shares else []
     order = ["no_id", "turned", "key_a", "key_b"]
-    ranged = keys.withColumn("no_id", F.col("doc_id").isNull()).withColumn(
-        "turned", F.bitwise_not(F.col("doc_id").cast("bigint"))
-    )
-    ordered = stored(ranged.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "order")
-    this = F.struct("key_a", "key_b", "n_chars")
-    by_part = Window.orderBy("part")
-    ends = ordered.groupBy("part").agg(F.max(F.struct(*order, "n_chars")).alias("end"))
-    all_parts = by_part.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    ends = ends.select("part", F.coalesce(F.lag("end").over(by_part), F.last("end").over(all_parts)).alias("end"))
-    inside = Window.partitionBy("part").orderBy(*order)
-    return (
-        ordered.withColumn("before", F.lag(this).over(inside))
-        .join(F.broadcast(ends), "part")
-        .select(
-            "key_a",
-            "key_b",
-            "copies",
-            F.coalesce("before", F.struct("end.key_a", "end.key_b", "end.n_chars")).alias("before"),
-        )
-    )
+    rows = rows.withColumn("bucket", _bucket(F.col("turned"), bounds))
+    firsts = rows.groupBy("bucket").agg(F.min(F.struct(*order)).alias("first"))
+    by_bucket = Window.orderBy("bucket")
+    every = by_bucket.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    before = F.coalesce(F.lag("bucket").over(by_bucket), F.last("bucket").over(every))
+    border = firsts.select("first.key_a", "first.key_b", before.alias("before"))
+    spread = rows.join(F.broadcast(border), ["key_a", "key_b"], "left")
+    own = F.struct(F.lit(False).alias("border"), F.col("bucket").alias("at"))
+    other = F.struct(F.lit(True).alias("border"), F.col("before").alias("at"))
+    dealt = spread.withColumn("to", F.explode(F.when(F.col("before").isNull(), F.array(own)).otherwise(F.array(own, other))))
+    following = Window.partitionBy("to.at").orderBy("to.border", *order)
+    return dealt.withColumn("next", F.lead(F.struct(*taken)).over(following)).where("not to.border")
 
 
 def op6_fingerprints(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text")).select(
-        "doc_id", "text", *row_key("doc_id", "text"), F.length("text").cast("bigint").alias("n_chars")
-    )
-    keys = rows.groupBy("doc_id", "key_a", "key_b", "n_chars").agg(F.count("*").alias("copies"))
-    order = neighbours(keys)
-    own = with_fingerprint(rows, "text", "fingerprint").join(order, ["key_a", "key_b"])
-    copy = Window.partitionBy("key_a", "key_b").orderBy("doc_id")
-    own = own.withColumn("copy", F.row_number().over(copy))
-    # What a document lends to the one before it: as much of its start as is replaced there.
-    lent = own.where("copy = 1").select(
-        F.col("before.key_a").alias("key_a"),
-        F.col("before.key_b").alias("key_b"),
-        F.substring("text", F.lit(1), F.floor(F.col("before.n_chars") / 3).cast("int")).alias("lent"),
-        F.col("fingerprint").alias("next_fingerprint"),
-    )
-    third = F.floor(F.col("n_chars") / 3).cast("int")
-    last = F.col("copy") == F.col("copies")
-    joined = own.join(lent, ["key_a", "key_b"]).select(
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"))
+    rows = rows.select("doc_id", "text", *row_key("doc_id", "text"))
+    marked = with_fingerprint(rows, "text", "fingerprint")
+    buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    third = F.floor(F.length("text") / 3).cast("int")
+    joined = with_next(marked, buckets, ["text", "fingerprint"]).select(
         "doc_id",
-        "n_chars",
+        F.length("text").cast("bigint").alias("n_chars"),
         "fingerprint",
         F.concat(
-            F.substring("text", F.lit(1), F.col("n_chars").cast("int") - third),
-            F.when(last, F.col("lent")).otherwise(F.substring("text", F.lit(1), third)),
+            F.substring("text", F.lit(1), F.length("text") - third),
+            F.substring(F.col("next.text"), F.lit(1), third),
         ).alias("edited"),
-        F.when(last, F.col("next_fingerprint")).otherwise(F.col("fingerprint")).alias("next_fingerprint"),
+        F.col("next.fingerprint").alias("next_fingerprint"),
     )
     return with_fingerprint(joined, "edited", "edited_fingerprint").select(
         "doc_id",
