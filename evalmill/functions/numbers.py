@@ -58,8 +58,14 @@ def parse_float(text: Column) -> Column:
 
 def utc_iso(ts: Column, zoned: bool = True) -> Column:
     """``YYYY-MM-DDTHH:MM:SSZ`` of an instant; ``zoned=False`` for timestamps without a zone."""
-    wall = F.to_utc_timestamp(ts, F.current_timezone()) if zoned else ts
-    text = F.translate(F.substring(wall.cast("timestamp_ntz").cast("string"), 1, 19), " ", "T")
+    # An instant is told by its microseconds, so no wall clock of the session's zone is asked.
+    wall = ts.cast("timestamp_ntz")
+    if zoned:
+        since = F.make_dt_interval(
+            F.lit(0), F.lit(0), F.lit(0), (F.unix_micros(ts) / F.lit(1_000_000).cast("decimal(18,0)")).cast("decimal(18,6)")
+        )
+        wall = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + since
+    text = F.translate(F.substring(wall.cast("string"), 1, 19), " ", "T")
     return F.concat(text, F.lit("Z"))
 
 

@@ -5,9 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Members per listing row; a larger group continues in the next part.
-LISTING_MEMBERS = 1024
-
 
 def training_steps(
     examples: Column, epochs: Column, steps: Column, batch_size: Column, accumulation: Column
@@ -50,21 +47,18 @@ def device_label(name: Column, device: Column) -> Column:
     return F.concat(name, F.lit(" ("), shown, F.lit(")"))
 
 
-def member_listing(
-    df: DataFrame,
-    group: list[str],
-    position: str,
-    label: Column,
-    members: int = LISTING_MEMBERS,
-) -> DataFrame:
-    """One text per group with its members in order, joined by a comma.
+def member_listing(df: DataFrame, group: list[str], position: str, label: Column) -> DataFrame:
+    """The members of each group in order, one row each: group, ``position`` and ``label``.
 
-    ``position`` counts from 0 and is unique in the group. A text holds at most ``members``
-    entries; ``part`` numbers the texts of a longer group, whose concatenation is the listing.
+    A group of any size stays spread over tasks; :func:`listing_text` joins the texts of groups
+    that fit a row.
     """
-    part = F.floor(F.col(position) / members).cast("bigint")
-    rows = df.select(*group, part.alias("part"), F.col(position).alias("_at"), label.alias("_label"))
-    return rows.groupBy(*group, "part").agg(
-        F.count("_label").alias("members"),
-        F.expr("listagg(_label, ', ') WITHIN GROUP (ORDER BY _at)").alias("listing"),
+    return df.select(*group, F.col(position).cast("bigint").alias("position"), label.alias("label"))
+
+
+def listing_text(members: DataFrame, group: list[str]) -> DataFrame:
+    """One text per group of a :func:`member_listing`, all its members joined by a comma."""
+    return members.groupBy(*group).agg(
+        F.count("label").alias("members"),
+        F.expr("listagg(label, ', ') WITHIN GROUP (ORDER BY position)").alias("listing"),
     )

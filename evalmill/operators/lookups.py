@@ -5,64 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# A key is hot when it holds at least this many rows; its rows are spread over tasks of that
-# size. At most HOT_KEYS keys are treated so: any other key holds less than 1/HOT_KEYS of all
-# rows, and the list of hot keys is always small enough to broadcast.
-HOT_ROWS = 1_000_000
-HOT_KEYS = 10_000
 
-# Rows without a key match nothing and are spread over this many salts.
-NULL_SALTS = 10_000
+def lookup(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """Left join to a lookup table that is unique on ``on``.
 
-
-def key_counts(df: DataFrame, on: list[str]) -> DataFrame:
-    """Rows per key, combined in each task before the shuffle; NULL keys are left out."""
-    return df.dropna(subset=on).groupBy(*on).agg(F.count(F.lit(1)).alias("_rows"))
-
-
-def salted_lookup(
-    left: DataFrame,
-    right: DataFrame,
-    on: list[str],
-    spread: list[str],
-    hot_rows: int = HOT_ROWS,
-    counts: DataFrame | None = None,
-) -> DataFrame:
-    """Left join to a lookup table that is unique on ``on``, safe against hot keys.
-
-    Rows of a hot key, or without a key, get a salt from a hash of the ``spread`` columns
-    (stable when a task is run again); the lookup row of a hot key is repeated once per salt.
-    ``counts`` gives the rows per key (``on``, ``_rows``) where the caller has them anyway; if
-    ``right`` has a column ``_rows`` too, its copies are made from that.
+    Only the left side can be skewed, and of a left join AQE splits the skewed partitions of that
+    side, whatever the number of hot keys; rows without a key are spread the same way. So each
+    side is computed once, nothing is counted beforehand and no key is broadcast by hint. AQE does
+    so where both sides are shuffled for the join: the hash of the key among the join's keys sees
+    to it that a table which was just grouped by the same key is dealt anew, too.
     """
-    if counts is None:
-        counts = key_counts(left, on)
-    salts = F.ceil(F.col("_rows") / hot_rows).cast("bigint")
-    hot = (
-        counts.where(F.col("_rows") >= hot_rows)
-        .orderBy(F.desc("_rows"))
-        .limit(HOT_KEYS)
-        .select(*on, salts.alias("_salts"))
+    mark = F.xxhash64(*on)
+    joined = left.withColumn("_key_hash", mark).join(
+        right.withColumn("_key_hash", mark), ["_key_hash", *on], "left"
     )
-    keyless = F.lit(False)
-    for key in on:
-        keyless = keyless | F.col(key).isNull()
-    width = F.when(keyless, F.lit(NULL_SALTS)).otherwise(F.coalesce(F.col("_salts"), F.lit(1)))
-    salted = (
-        left.join(F.broadcast(hot), on, "left")
-        .withColumn("_salt", F.pmod(F.xxhash64(*spread), width.cast("bigint")))
-        .select(*left.columns, "_salt")
-    )
-    if "_rows" in right.columns:
-        sized = right.withColumn("_salts", salts).drop("_rows")
-    else:
-        sized = right.join(F.broadcast(hot), on, "left")
-    last = F.coalesce(F.col("_salts"), F.lit(1)) - 1
-    copies = sized.withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), last))
-    ).drop("_salts")
-    joined = salted.join(copies, [*on, "_salt"], "left")
-    return joined.select(*left.columns, *[c for c in copies.columns if c not in (*on, "_salt")])
+    return joined.select(*left.columns, *[c for c in right.columns if c not in on])
 
 
 def aligned_score_join(
@@ -146,12 +103,10 @@ def lookup_with_fallback(
     fallback: DataFrame | None,
     on: list[str],
     value: str,
-    spread: list[str],
     default: str | None = None,
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """``value`` from the primary table if it holds the key, else from the fallback table, else
-    ``default``; ``provenance`` names the table used.
+    """``value`` from the primary table if it has one for the key, else from the fallback table,
+    else ``default``; ``provenance`` names the table used. Rows whose value is NULL count as absent.
 
     Both tables are merged to one row per key first, so the requests are shuffled once.
     """
@@ -160,13 +115,13 @@ def lookup_with_fallback(
     for rank, (name, table) in enumerate(tables):
         if table is None:
             continue
-        part = table.select(
+        part = table.where(F.col(value).isNotNull()).select(
             *on, F.struct(F.lit(rank).alias("rank"), F.lit(name).alias("name"),
                           F.col(value).alias("value")).alias("_hit")
         )
         merged = part if merged is None else merged.unionByName(part)
     best = merged.groupBy(*on).agg(F.min("_hit").alias("_hit"))
-    return salted_lookup(requests, best, on, spread, hot_rows).withColumns(
+    return lookup(requests, best, on).withColumns(
         {
             value: F.coalesce(F.col("_hit.value"), F.lit(default)),
             "provenance": F.coalesce(F.col("_hit.name"), F.lit("default")),
@@ -187,8 +142,6 @@ def version_resolve(
     refs: DataFrame,
     index: DataFrame,
     ref: str,
-    spread: list[str],
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Resolve references against a flat index ``(name, version, path, sha256, seq)``.
 
@@ -197,9 +150,11 @@ def version_resolve(
     resolved once; the requests themselves are shuffled once, by reference.
     """
     name, version = split_reference(F.col(ref))
-    counts = key_counts(refs, [ref])
-    asked = counts.select(ref, "_rows", name.alias("name"), version.alias("_asked"))
-    latest = index.groupBy("name").agg(F.max_by("version", "seq").alias("_latest"))
+    distinct = refs.select(ref).where(F.col(ref).isNotNull()).distinct()
+    asked = distinct.select(ref, name.alias("name"), version.alias("_asked"))
+    latest = index.groupBy("name").agg(
+        F.max_by("version", F.struct("seq", "version")).alias("_latest")
+    )
     entries = index.select("name", "version", "path", "sha256")
     status = (
         F.when(F.col("_latest").isNull(), "unknown name")
@@ -210,7 +165,7 @@ def version_resolve(
         asked.join(latest, "name", "left")
         .withColumn("version", F.coalesce("_asked", "_latest"))
         .join(entries, ["name", "version"], "left")
-        .select(ref, "_rows", "name", "version", "path", "sha256", status.alias("status"))
+        .select(ref, "name", "version", "path", "sha256", status.alias("status"))
     )
-    found = salted_lookup(refs, resolved, [ref], spread, hot_rows, counts)
+    found = lookup(refs, resolved, [ref])
     return found.withColumn("status", F.coalesce("status", F.lit("unknown name")))

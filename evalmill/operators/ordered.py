@@ -13,9 +13,6 @@ from pyspark.sql import functions as F
 
 RANGE_BITS = 21
 
-# Up to this many ids, each task keeps its own first n and one task merges them.
-TOP_IDS = 1_000
-
 NO_LIMIT = 2**63 - 1
 
 
@@ -85,30 +82,49 @@ def running_totals(
     )
 
 
-def nth_id(df: DataFrame, order: str, n: int, top_ids: int = TOP_IDS) -> Column:
+def nth_id(df: DataFrame, order: str, n: int) -> Column:
     """The ``n``-th smallest id, or no limit if there are fewer rows, as a scalar subquery that
-    reads only the ids."""
-    ids = df.select(order)
-    if n <= top_ids:
-        nth = ids.orderBy(order).limit(n)
-    else:
-        places = running_totals(ids, [], order, {"_place": F.lit(1)})
-        nth = places.where(F.col("_place") == n)
+    reads only the ids; NULL ids have no place."""
+    ids = df.select(order).where(F.col(order).isNotNull())
+    places = running_totals(ids, [], order, {"_place": F.lit(1)})
     # A bare subquery, as only that is handed to the Parquet scan.
-    return nth.agg(F.coalesce(F.max(order), F.lit(NO_LIMIT))).scalar()
+    return places.where(F.col("_place") == n).agg(F.coalesce(F.max(order), F.lit(NO_LIMIT))).scalar()
 
 
-def head_n(
-    df: DataFrame, order: str, n: int | None, lenient: bool = False, top_ids: int = TOP_IDS
-) -> DataFrame:
+def _all_rows(n: int | None, lenient: bool) -> bool:
+    if n is not None and n < 0 and not lenient:
+        raise ValueError(f"cap must not be negative: {n}")
+    return not n or n < 0
+
+
+def head_n(df: DataFrame, order: str, n: int | None, lenient: bool = False) -> DataFrame:
     """The first ``n`` rows in the order of ``order``; ``None`` and 0 keep all rows.
 
     A negative ``n`` raises, or keeps all rows when ``lenient`` (the training cap). The cap is
     a filter on the order column, so wide rows are neither sorted nor gathered, and a Parquet
-    scan skips the row groups beyond the n-th id.
+    scan skips the row groups beyond the n-th id. Rows without an id come last: they are left out
+    by a cap.
     """
-    if n is not None and n < 0 and not lenient:
-        raise ValueError(f"cap must not be negative: {n}")
-    if not n or n < 0:
+    return df if _all_rows(n, lenient) else df.where(F.col(order) <= nth_id(df, order, n))
+
+
+def head_per_group(
+    df: DataFrame, keys: list[str], order: str, n: int | None, lenient: bool = False
+) -> DataFrame:
+    """The first ``n`` rows of every group; otherwise as :func:`head_n`.
+
+    The groups' limits are found on keys and ids alone, one row per group, and joined back; a
+    group that holds most rows is split by AQE there. A NULL key is a group like any other.
+    """
+    if _all_rows(n, lenient):
         return df
-    return df.where(F.col(order) <= nth_id(df, order, n, top_ids))
+    ids = df.select(*keys, order).where(F.col(order).isNotNull())
+    places = running_totals(ids, keys, order, {"_place": F.lit(1)})
+    reached = F.when(F.col("_place") == n, F.col(order))
+    limits = places.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(
+        F.coalesce(F.max(reached), F.lit(NO_LIMIT)).alias("_limit")
+    )
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    return (
+        df.join(limits, same, "left").where(F.col(order) <= F.col("_limit")).select(*df.columns)
+    )

@@ -11,10 +11,6 @@ from evalmill.operators.ordered import head_n, running_totals
 
 SAMPLE_ROWS = 10
 
-# A nested report holds all subjects in one record; more subjects than this are refused there
-# and have to be read from accuracy_by_subject.
-REPORT_SUBJECTS = 10_000
-
 
 def subject_or_unknown(subject: Column) -> Column:
     return F.coalesce(subject, F.lit("unknown"))
@@ -104,36 +100,24 @@ def eval_report(
     config: dict[str, str | int],
     elapsed: Column | float | None = None,
     ts: str | None = None,
-    max_subjects: int = REPORT_SUBJECTS,
 ) -> DataFrame:
-    """One nested record: counts, rounded accuracies, samples, elapsed time and settings.
+    """The report in rows: one of ``section`` ``summary`` and one per subject.
 
-    Only per-subject tallies and the samples meet in one row. ``elapsed`` is a number measured
-    by the caller; with ``ts`` it is taken from that column.
+    The summary holds counts, rounded accuracy, samples, elapsed time and settings; a subject's
+    row its rounded accuracy and counts. Any number of subjects stays spread over tasks; only the
+    samples and one row of totals meet in one. ``elapsed`` is a number measured by the caller;
+    with ``ts`` it is taken from that column.
     """
     stamps = []
     if ts is not None:
         stamps = [F.min(ts).alias("_first"), F.max(ts).alias("_last")]
     subjects = scored.groupBy("subject").agg(*_tallies("pred", "gold"), *stamps)
     rounded = round_exact(F.col("correct") / F.greatest(F.lit(1), F.col("total")), 4)
-    entry = F.struct("subject", rounded.alias("accuracy"))
     totals = subjects.agg(
-        F.count(F.lit(1)).alias("_subjects"),
-        F.coalesce(F.sum("total"), F.lit(0)).alias("items"),
+        F.coalesce(F.sum("total"), F.lit(0)).alias("total"),
         F.coalesce(F.sum("correct"), F.lit(0)).alias("correct"),
         *([F.min("_first").alias("_first"), F.max("_last").alias("_last")] if stamps else []),
     )
-    guarded = totals.select(
-        "*",
-        F.when(
-            F.col("_subjects") > max_subjects,
-            F.raise_error(F.lit(f"more than {max_subjects} subjects: use accuracy_by_subject")),
-        ).cast("boolean").alias("_refused"),
-    )
-    # One row more than allowed is enough to notice that there are too many.
-    listed = subjects.limit(max_subjects + 1).agg(
-        F.map_from_entries(F.sort_array(F.collect_list(entry))).alias("per_subject_accuracy")
-    )
     samples = sample_records(scored, order).agg(
         F.sort_array(F.collect_list(F.struct("*"))).alias("samples")
     )
@@ -141,14 +125,23 @@ def eval_report(
         seconds = seconds_between(F.col("_first"), F.col("_last"))
     else:
         seconds = F.lit(elapsed).cast("double")
-    overall = F.col("correct") / F.greatest(F.lit(1), F.col("items"))
-    return guarded.where(F.col("_refused").isNull()).select(
+    summary = totals.select(
+        F.lit("summary").alias("section"),
+        F.lit(None).cast("string").alias("subject"),
         F.lit(True).alias("ok"),
-        "items",
-        round_exact(overall, 4).alias("overall_accuracy"),
+        F.col("total").alias("items"),
         "correct",
-        listed.scalar().alias("per_subject_accuracy"),
+        rounded.alias("accuracy"),
         samples.scalar().alias("samples"),
         round_exact(seconds, 1).alias("elapsed_seconds"),
         F.struct(*[F.lit(v).alias(k) for k, v in config.items()]).alias("config"),
     )
+    per_subject = subjects.select(
+        F.lit("subject").alias("section"),
+        "subject",
+        F.lit(True).alias("ok"),
+        F.col("total").alias("items"),
+        "correct",
+        rounded.alias("accuracy"),
+    )
+    return summary.unionByName(per_subject, allowMissingColumns=True)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evalmill.fixed_values import RUN_STATES
-from evalmill.operators.lookups import HOT_ROWS, salted_lookup
+from evalmill.operators.lookups import lookup
 
 
 def index_upsert(index: DataFrame | None, updates: DataFrame) -> DataFrame:
@@ -29,11 +29,9 @@ def index_latest(index: DataFrame) -> DataFrame:
     )
 
 
-def index_with_latest(index: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def index_with_latest(index: DataFrame) -> DataFrame:
     """The flat index with ``latest`` of its name in every row."""
-    latest = index_latest(index).withColumnRenamed("versions", "_rows")
-    counts = latest.select("name", "_rows")
-    return salted_lookup(index, latest, ["name"], ["version"], hot_rows, counts)
+    return lookup(index, index_latest(index).drop("versions"), ["name"])
 
 
 def split_updates(updates: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -96,7 +96,7 @@ def _filled_params(spark, sf_dir):
         F.concat(F.lit(f"{sf_dir}/"), names, F.lit(".parquet")).alias("value"),
     )
     found = files.read_files(spark, [f"{sf_dir}/region.parquet", f"{sf_dir}/nation.parquet"])
-    return files.file_payload_scan(params, found, "key", "value", ["req_id"])
+    return files.file_payload_scan(params, found, "key", "value")
 
 
 @query
@@ -143,9 +143,8 @@ def report_write(spark, sf_dir):
     report = scoring.eval_report(scored, "item_id", {"split": "test", "max_items": 0})
     written = payloads.report_write(report, shared_folder(spark, "report"))
     return written.select(
-        "ok", "items", "correct", "overall_accuracy",
-        F.size("samples").cast("bigint").alias("samples"),
-        F.size("per_subject_accuracy").cast("bigint").alias("subjects"),
+        "section", "subject", "ok", "items", "correct", "accuracy",
+        F.transform("samples", lambda s: s["item_id"]).cast("string").alias("samples"),
         F.col("config.split").alias("split"),
     )
 
@@ -289,7 +288,6 @@ def lookup_with_fallback(spark, sf_dir):
         customers.where(F.col("c_mktsegment") == "FURNITURE"),
         ["o_custkey"],
         "adapter",
-        ["o_orderkey"],
         "base",
     )
 
@@ -297,7 +295,7 @@ def lookup_with_fallback(spark, sf_dir):
 @query
 def version_resolve(spark, sf_dir):
     index = state.index_upsert(None, views.index_updates(spark, sf_dir))
-    return lookups.version_resolve(views.refs(spark, sf_dir), index, "ref", ["req_id"]).select(
+    return lookups.version_resolve(views.refs(spark, sf_dir), index, "ref").select(
         "req_id", "name", "version", "path", "sha256", "status"
     )
 
@@ -338,8 +336,8 @@ def eval_report(spark, sf_dir):
         _scored(spark, sf_dir), "item_id", {"split": "test", "max_items": 0, "reasoning_level": "low"}
     )
     return report.select(
-        "ok", "items", "overall_accuracy", "correct",
-        F.explode("per_subject_accuracy").alias("subject", "accuracy"),
+        "section", "subject", "ok", "items", "correct", "accuracy", F.size("samples").cast("bigint").alias("samples"),
+        F.col("config.reasoning_level").alias("level"),
     )
 
 
@@ -352,6 +350,11 @@ def member_listing(spark, sf_dir):
     return listing.member_listing(turns, ["conv_id"], "turn", label)
 
 
+@query
+def member_listing_text(spark, sf_dir):
+    return listing.listing_text(member_listing(spark, sf_dir), ["conv_id"])
+
+
 # --- Window, sorts, limits -----------------------------------------------------------
 
 
@@ -611,3 +614,13 @@ def training_export(spark, sf_dir):
         samples, "source", "doc_id", "image", "text", shared_folder(spark, "training"), epochs=1.0
     )
 
+
+@query
+def training_export_capped(spark, sf_dir):
+    """Each dataset capped by itself."""
+    samples = table(spark, sf_dir, "documents").withColumn("image", F.encode("source", "UTF-8"))
+    return training.training_export(
+        samples, "source", "doc_id", "image", "text", shared_folder(spark, "training"),
+        max_train_samples=7, epochs=1.0,
+    )
+

@@ -194,13 +194,6 @@ ORACLE: dict[str, str] = {
                  THEN octet_length(encode('{{' || chr(10) || '  "page_id": ' || page_id || chr(10) || '}}'))
                ELSE octet_length(from_base64(data)) END AS n_bytes
         FROM payload_parts WHERE content_type IS NOT NULL AND data IS NOT NULL""",
-    "report_write": f"""
-        {SCORED}
-        SELECT true AS ok, count(*) AS items, count(*) FILTER (WHERE pred = gold) AS correct,
-          CAST(printf('%.4f', count(*) FILTER (WHERE pred = gold) / greatest(1, count(*))) AS DOUBLE)
-            AS overall_accuracy,
-          least(count(*), 10) AS samples, count(DISTINCT subject) AS subjects, 'test' AS split
-        FROM scored""",
     "request_defaults": f"""
         WITH {REQUESTS}
         SELECT req_id, model, prompt,
@@ -330,19 +323,33 @@ ORACLE: dict[str, str] = {
           greatest(1, CAST(ceil(count(*) * 1.5 / 8.0) AS BIGINT)) AS steps
         FROM documents GROUP BY lang""",
     "eval_report": f"""
-        {SCORED},
-        overall AS (
-          SELECT count(*) AS items, count(*) FILTER (WHERE pred = gold) AS correct FROM scored
-        )
-        SELECT true AS ok, o.items, CAST(printf('%.4f', o.correct / o.items) AS DOUBLE) AS overall_accuracy,
-          o.correct, s.subject,
-          CAST(printf('%.4f', s.correct / s.total) AS DOUBLE) AS accuracy
-        FROM overall o, (SELECT subject, {TALLY} FROM scored GROUP BY subject) s""",
+        {SCORED}
+        SELECT 'summary' AS section, NULL AS subject, true AS ok, count(*) AS items,
+          count(*) FILTER (WHERE pred = gold) AS correct,
+          CAST(printf('%.4f', count(*) FILTER (WHERE pred = gold) / count(*)) AS DOUBLE) AS accuracy,
+          least(10, count(*)) AS samples, 'low' AS level FROM scored
+        UNION ALL
+        SELECT 'subject', subject, true, total, correct, CAST(printf('%.4f', accuracy) AS DOUBLE), NULL, NULL
+        FROM (SELECT subject, {TALLY} FROM scored GROUP BY subject)""",
+    "report_write": f"""
+        {SCORED}
+        SELECT 'summary' AS section, NULL AS subject, true AS ok, count(*) AS items,
+          count(*) FILTER (WHERE pred = gold) AS correct,
+          CAST(printf('%.4f', count(*) FILTER (WHERE pred = gold) / count(*)) AS DOUBLE) AS accuracy,
+          (SELECT '[' || string_agg(item_id, ', ' ORDER BY item_id) || ']'
+           FROM (SELECT item_id FROM scored ORDER BY item_id LIMIT 10)) AS samples, 'test' AS split FROM scored
+        UNION ALL
+        SELECT 'subject', subject, true, total, correct, CAST(printf('%.4f', accuracy) AS DOUBLE), NULL, NULL
+        FROM (SELECT subject, {TALLY} FROM scored GROUP BY subject)""",
     "member_listing": """
-        SELECT conv_id, turn // 1024 AS part, count(*) AS members,
+        SELECT conv_id, turn AS position,
+          role || CASE role WHEN 'assistant' THEN ' (A10G)' ELSE ' (CPU)' END AS label
+        FROM conversations""",
+    "member_listing_text": """
+        SELECT conv_id, count(*) AS members,
           string_agg(role || CASE role WHEN 'assistant' THEN ' (A10G)' ELSE ' (CPU)' END, ', '
                      ORDER BY turn) AS listing
-        FROM conversations GROUP BY conv_id, turn // 1024""",
+        FROM conversations GROUP BY conv_id""",
     "running_accuracy": f"""
         {SCORED},
         steps AS (
@@ -404,7 +411,7 @@ ORACLE: dict[str, str] = {
           FROM pages
         )
         SELECT page_id, image_format, octet_length(body) AS n_bytes, sha256(body) AS sha256,
-          CASE WHEN body IS NULL THEN 'could not decode image' END AS error
+          CASE page_id % 8 WHEN 3 THEN 'unknown image format' WHEN 7 THEN 'could not decode image' END AS error
         FROM stored""",
     "payload_encode": "SELECT page_id, base64(encode(html)) AS payload FROM pages",
     "utc_iso": "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS iso FROM events",
@@ -518,4 +525,10 @@ ORACLE: dict[str, str] = {
     "training_export": """
         SELECT source, count(*) AS examples, greatest(1, CAST(ceil(count(*) / 8.0) AS BIGINT)) AS steps
         FROM documents GROUP BY source""",
+    "training_export_capped": """
+        WITH capped AS (
+          SELECT source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents
+        )
+        SELECT source, count(*) AS examples, greatest(1, CAST(ceil(count(*) / 8.0) AS BIGINT)) AS steps
+        FROM capped WHERE n <= 7 GROUP BY source""",
 }

@@ -27,12 +27,13 @@ from evalmill.sources.payloads import image_payload_decode, payload_route
 
 
 def json_literal(kind: Column, text: Column, integer: Column, number: Column) -> Column:
-    """JSON text of a typed parameter value."""
+    """JSON text of a typed parameter value; a float beyond the finite numbers has none."""
     quoted = F.to_json(F.struct(text.alias("v")))
+    digits = F.regexp_replace(F.translate(text, "_+", ""), "^(-?)0+(?=[0-9])", "$1")
     return (
         F.when(kind == "bool", F.lower(text))
-        .when(kind == "int", F.coalesce(integer.cast("string"), F.translate(text, "_+", "")))
-        .when(kind == "float", number.cast("string"))
+        .when(kind == "int", F.coalesce(integer.cast("string"), digits))
+        .when(kind == "float", F.when(F.abs(number) < float("inf"), number.cast("string")))
         .otherwise(F.substr(quoted, F.lit(6), F.length(quoted) - 6))
     )
 
@@ -40,14 +41,16 @@ def json_literal(kind: Column, text: Column, integer: Column, number: Column) ->
 def request_params(
     requests: DataFrame, overrides: DataFrame | None, names: list[str]
 ) -> DataFrame:
-    """``(req_id, model, bad_json, unknown, _name...)``: merged parameters as VARIANT columns.
+    """``(req_id, model, bad_json, unknown, unread, _name...)``: merged parameters as VARIANT columns.
 
     ``requests`` has a unique ``req_id``, ``model`` and the JSON object ``params``;
     ``overrides`` has ``req_id``, ``pos`` and ``kv``, and wins over the object. The overrides of
     a request are folded to one column per given name before the join, so its keys are never
-    collected; ``unknown`` is some other key.
+    collected; ``unknown`` is an array of all other keys. An override always hides the object's value: where
+    it is no JSON value itself (an infinite number), the parameter is NULL and ``unread`` names it.
     """
     members, known = F.col("_members"), F.array(*[F.lit(n) for n in names])
+    none = F.array().cast("array<string>")
     base = (
         requests.select(
             "req_id",
@@ -60,7 +63,8 @@ def request_params(
             "req_id",
             "model",
             members.isNull().alias("bad_json"),
-            F.array_max(F.array_except(F.map_keys(members), known)).alias("unknown"),
+            F.coalesce(F.array_except(F.map_keys(members), known), none).alias("unknown"),
+            F.lit(None).cast("string").alias("unread"),
             *[F.try_element_at(members, F.lit(n)).alias(f"_{n}") for n in names],
         )
     )
@@ -68,18 +72,29 @@ def request_params(
         return base
     literal = json_literal(F.col("kind"), F.col("text"), F.col("int_value"), F.col("float_value"))
     given = kv_typed_parse(overrides, "kv").select("req_id", "key", "pos", literal.alias("json"))
+    # The last one of each name: a struct, also where its value is no JSON.
     last = F.struct("pos", "json")
     folded = given.groupBy("req_id").agg(
-        F.max(F.when(~F.col("key").isin(names), F.col("key"))).alias("_given_unknown"),
-        *[F.max(F.when(F.col("key") == n, last))["json"].alias(f"_given_{n}") for n in names],
+        F.collect_set(F.when(~F.col("key").isin(names), F.col("key"))).alias("_given_unknown"),
+        *[F.max(F.when(F.col("key") == n, last)).alias(f"_given_{n}") for n in names],
     )
-    return base.join(folded, "req_id", "left").select(
+    joined = base.drop("unread").join(folded, "req_id", "left")
+    values = {n: F.try_parse_json(F.col(f"_given_{n}.json")) for n in names}
+    unread = F.concat_ws(
+        "; ",
+        *[
+            F.when(F.col(f"_given_{n}").isNotNull() & values[n].isNull(), F.lit(f"{n}: not a JSON value"))
+            for n in names
+        ],
+    )
+    return joined.select(
         "req_id",
         "model",
         "bad_json",
-        F.coalesce("_given_unknown", "unknown").alias("unknown"),
+        F.concat("unknown", F.coalesce("_given_unknown", none)).alias("unknown"),
+        blank_to_null(unread).alias("unread"),
         *[
-            F.coalesce(F.try_parse_json(f"_given_{n}"), F.col(f"_{n}")).alias(f"_{n}")
+            F.when(F.col(f"_given_{n}").isNotNull(), values[n]).otherwise(F.col(f"_{n}")).alias(f"_{n}")
             for n in names
         ],
     )
@@ -117,6 +132,7 @@ def checked_requests(
     problem = F.coalesce(
         F.when(~known, "unknown model"),
         F.when(F.col("bad_json"), "params must be a JSON object"),
+        F.col("unread"),
         blank_to_null(F.array_join(broken, "; ")),
     )
     columns, unread = {}, []
@@ -198,13 +214,13 @@ def vision_requests(
         fixed.VISION_DEFAULTS,
         {"image": "value"},
     ).withColumnRenamed("error", "_error")
-    decoded = image_payload_decode(checked, "image", files, ["req_id"])
+    decoded = image_payload_decode(checked, "image", files)
     ready = decoded.withColumn("error", F.coalesce("_error", "error")).drop("_error", "image")
     if adapters is None:
         ready = ready.withColumns({"adapter": F.lit("base"), "provenance": F.lit("default")})
     else:
         ready = lookup_with_fallback(
-            ready, adapters, None, ["lora_run"], "adapter", ["req_id"], "base"
+            ready, adapters, None, ["lora_run"], "adapter", "base"
         )
     return ready.withColumn("messages", vision_messages(F.col("prompt")))
 

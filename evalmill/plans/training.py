@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from evalmill.operators.chat import conversation_messages
 from evalmill import fixed_values as fixed
 from evalmill.operators.listing import fixed_steps, training_steps
-from evalmill.operators.lookups import salted_lookup
-from evalmill.operators.ordered import head_n
+from evalmill.operators.lookups import lookup
+from evalmill.operators.ordered import head_per_group
 from evalmill.operators.requests import layer_defaults, param_layering
 from evalmill.plans.serving import checked_requests
 from evalmill.sources.datasets import dataset_dir, dataset_name
@@ -28,16 +28,17 @@ def training_export(
     steps: int = 30,
     batch_size: int = 2,
     accumulation: int = 4,
-    compact: bool = False,
+    compact: bool = True,
 ) -> DataFrame:
     """Write chat records as Parquet, one folder per dataset, and return the plan per dataset:
     ``(dataset, examples, steps)``.
 
-    Every task writes its own files, so a dataset that holds most rows is written by all tasks
-    and nothing is shuffled. ``compact`` rebalances first, for fewer and larger files. The
-    counts come from the footers of what was written.
+    ``max_train_samples`` caps each dataset by itself. ``compact`` rebalances by dataset before
+    the write, for few and large files; a dataset that holds most rows is split over tasks.
+    Without it every task writes its own files and nothing is shuffled. The counts come from the
+    footers of what was written.
     """
-    capped = head_n(samples, order, max_train_samples, lenient=True)
+    capped = head_per_group(samples, [dataset], order, max_train_samples, lenient=True)
     records = capped.select(
         F.col(dataset),
         F.col(order),
@@ -69,7 +70,7 @@ def training_requests(
         fixed.TRAIN_DEFAULTS,
         {},
     ).withColumn("dataset", dataset_name(F.col("dataset_uri")))
-    sized = salted_lookup(checked, examples.select("dataset", "examples"), ["dataset"], ["req_id"])
+    sized = lookup(checked, examples.select("dataset", "examples"), ["dataset"])
     cap = F.when(F.col("max_train_samples") > 0, F.col("max_train_samples"))
     used = F.when(F.col("examples").isNotNull(), F.least("examples", cap))
     steps = training_steps(

@@ -72,7 +72,8 @@ def kv_params(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+def requests(spark: SparkSession, sf_dir: str, *more: Column) -> DataFrame:
+    """One image request per event, with ``more`` columns of the event."""
     model = (
         F.when(F.col("event_id") % 3 == 0, "sdxl")
         .when(F.col("event_id") % 3 == 1, "sdxl-spo")
@@ -89,17 +90,13 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         prompt.alias("prompt"),
         F.when(F.col("event_id") % 2 == 0, F.lit("")).alias("negative_prompt"),
         F.when(F.col("event_id") % 4 != 0, F.floor("value").cast("int")).alias("steps"),
+        *more,
     )
 
 
 def json_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same requests with their parameters in a JSON object, some with a key too many."""
-    rows = requests(spark, sf_dir).join(
-        table(spark, sf_dir, "events").select(
-            F.col("event_id").alias("req_id"), F.get_json_object("props", "$.k").cast("int").alias("k")
-        ),
-        "req_id",
-    )
+    rows = requests(spark, sf_dir, F.get_json_object("props", "$.k").cast("int").alias("k"))
     params = F.to_json(
         F.struct("prompt", "negative_prompt", "steps", F.when(F.col("k") > 90, F.col("k")).alias("k"))
     )
@@ -163,7 +160,8 @@ def image_params(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("page_id") % 4 == 0, encode_base64(png))
         .when(F.col("page_id") % 4 == 1, F.concat(F.lit(" data:image/png;base64,"), encode_base64(png)))
         .when(F.col("page_id") % 4 == 2, F.rtrim(encode_base64(jpeg), F.lit("=")))
-        .otherwise(F.col("url"))
+        .when(F.col("page_id") % 8 == 3, encode_base64(F.encode("url", "UTF-8")))
+        .otherwise(F.lit("?A?"))
     )
     return table(spark, sf_dir, "pages").select("page_id", image.alias("image"))
 

@@ -42,6 +42,8 @@ def run_status_stream(
     def write_batch(changed: DataFrame, batch_id: int) -> None:
         changed.write.mode("overwrite").parquet(f"{table}/batch_id={batch_id}")
 
+    # A batch without rows gives the table its schema, also when no update ever comes.
+    spark.createDataFrame([], records.schema).write.mode("overwrite").parquet(f"{table}/batch_id=-1")
     with session_conf(spark, spark__sql__streaming__stateStore__providerClass=ROCKSDB):
         query = (
             records.writeStream.outputMode("update")

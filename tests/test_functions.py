@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evalmill.functions import answers, binary, numbers, text
+from evalmill.session import session_conf
 
 
 def values(spark, rows, column, schema="v string"):
@@ -218,3 +219,29 @@ def test_image_parameters(spark):
         binary.image_format,
         "v binary",
     ) == ["jpeg", "gif", "webp", "bmp", None, None]
+
+
+def test_utc_iso_around_clock_changes(spark):
+    instants = ["2024-03-10T02:30:00Z", "2024-03-10T07:00:00Z", "2024-11-03T05:30:00Z", "2024-11-03T06:30:00Z", "1969-12-31T23:59:59Z"]
+    with session_conf(spark, spark__sql__session__timeZone="America/New_York"):
+        df = spark.createDataFrame([(i,) for i in instants], "t string").select("t", F.col("t").cast("timestamp").alias("ts"))
+        assert all(r.t == r.iso for r in df.select("t", numbers.utc_iso(F.col("ts")).alias("iso")).collect())
+
+
+@pytest.mark.parametrize(
+    "text", ["QUJD=REVG", "QQ=Q", "Q=Q=Q=Q=", "=QUJD", "QUJ=D", "QUJDRA==", "QUJDRA=", "QQ=", "QQ==QQ==", "Q===",
+             "QUI=QUI=", "Q=UI=", "=QQ==", "QU=I", "QU=I=", "QUI=D", "", "=", "QU JD\n"]
+)
+def test_inner_padding_is_read_as_python_does(spark, text):
+    try:
+        want = base64.b64decode(text)
+    except ValueError:
+        want = None
+    got = spark.createDataFrame([(text,)], "t string").select(binary.decode_base64(F.col("t")).alias("b")).first().b
+    assert (None if got is None else bytes(got)) == want
+
+
+def test_more_image_formats(spark):
+    heads = {"tiff": b"II*\0", "ico": b"\0\0\1\0", "jpeg2000": b"\0\0\0\x0cjP  ", "avif": b"\0\0\0 ftypavif", "psd": b"8BPS"}
+    df = spark.createDataFrame([(k, v + b"0" * 20) for k, v in heads.items()], "k string, b binary")
+    assert all(r.k == r.f for r in df.select("k", binary.image_format(F.col("b")).alias("f")).collect())

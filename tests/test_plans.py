@@ -4,15 +4,15 @@ import re
 
 import pytest
 
-from evalmill.operators import lookups, ordered
+from evalmill.operators import ordered
 from evalmill.plans.catalog import QUERIES
 from evalmill.session import session_conf
 
 SF = "/root/testdata/sf0.01"
 
 # Queries whose functions already run jobs (they write); the rest only build a plan.
-WRITES = {"dataset_materialise", "payload_write", "report_write", "run_status_stream", "training_export"}
-PYTHON = {"batch_predict", "benchmark_eval", "payload_write"}
+WRITES = {"dataset_materialise", "payload_write", "report_write", "run_status_stream", "training_export", "training_export_capped"}
+PYTHON = {"batch_predict", "benchmark_eval", "payload_write", "file_payload_scan", "file_payload_flags"}
 
 
 def plan_of(df):
@@ -80,8 +80,13 @@ def test_rollup_expands_tallies_not_rows(spark):
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - WRITES))
-def test_only_the_bounded_list_of_hot_keys_is_broadcast_by_hint(spark, name):
+def test_nothing_is_broadcast_by_hint(spark, name):
     with session_conf(spark, spark__sql__autoBroadcastJoinThreshold="-1"):
         plan = plan_of(QUERIES[name](spark, SF))
-    limit = f"TakeOrderedAndProject(limit={lookups.HOT_KEYS}"
-    assert plan.count("BroadcastExchange") == plan.count(limit)
+    assert "BroadcastExchange" not in plan
+
+
+def test_requests_are_checked_once(spark):
+    plan = plan_of(QUERIES["training_requests"](spark, SF))
+    assert plan.split("(1)")[0].count("Generate") == 1
+    assert len(re.findall(r"Scan parquet[^\n]*\n", plan.split("\n\n")[0])) <= 2

@@ -21,6 +21,23 @@ def requests_of(spark, rows):
     return spark.createDataFrame(data, "req_id int, model string, params string")
 
 
+def test_no_override_is_lost(spark):
+    base = {"prompt": "x", "guidance_scale": 3.0, "seed": 5}
+    requests = requests_of(spark, [("sdxl", base)] * 5 + [("sdxl", base | {"zz": 1, "yy": 2})])
+    overrides = spark.createDataFrame(
+        [(0, 0, "guidance_scale=1.0e999"), (1, 0, "seed=0123456789012345678901234567890"), (2, 0, "seed=007"),
+         (3, 0, 'prompt=say "hi" \\ {x}'), (4, 0, "aa=1"), (4, 1, "bb=2"), (5, 0, "aa=3")],
+        "req_id int, pos int, kv string",
+    )
+    rows = {r.req_id: r for r in serving.image_requests(requests, overrides).collect()}
+    assert rows[0].error == "guidance_scale: not a JSON value" and rows[0].guidance_scale != 3.0
+    assert rows[1].error is not None and rows[1].seed != 5
+    assert (rows[2].seed, rows[2].error) == (7, None)
+    assert (rows[3].prompt, rows[3].error) == ('say "hi" \\ {x}', None)
+    assert rows[4].error == "$: unknown keys aa, bb"
+    assert rows[5].error == "$: unknown keys aa, yy, zz"
+
+
 def test_image_requests(spark):
     requests = requests_of(spark, [
         ("sdxl", {"prompt": " cat ", "steps": 30}),
@@ -50,7 +67,7 @@ def test_image_requests(spark):
     assert {i: rows[i].error for i in (2, 3, 4, 5, 6, 7, 9, 10, 11)} == {
         2: "prompt required",
         3: "$: prompt is required",
-        4: "$: unknown keys extra",
+        4: "$: unknown keys extra, lora_strength",
         5: "$.width: below minimum 64; $.lora_strength: above maximum 2",
         6: "params must be a JSON object",
         7: "params must be a JSON object",

@@ -69,12 +69,12 @@ def test_uri_parts(spark):
 
 def test_file_manifest_and_payloads(spark, tmp_path):
     big = bytes(range(256)) * 5000
-    for name, content in (("a.bin", big), ("b.txt", b"text")):
+    for name, content in (("a.bin", big), ("b.txt", b"text"), ("empty", b"")):
         (tmp_path / name).write_bytes(content)
     got = {r.path: (r.sha256, r.length) for r in files.file_manifest(spark, str(tmp_path)).collect()}
     assert got == {
         str(tmp_path / n): ("sha256:" + hashlib.sha256(c).hexdigest(), len(c))
-        for n, c in (("a.bin", big), ("b.txt", b"text"))
+        for n, c in (("a.bin", big), ("b.txt", b"text"), ("empty", b""))
     }
     path = str(tmp_path / "a.bin")
     params = spark.createDataFrame(
@@ -82,16 +82,27 @@ def test_file_manifest_and_payloads(spark, tmp_path):
         + [(30, "prompt", path), (31, "file", "/none"), (32, "attachment", f"file:{path}"), (33, "file", None)],
         "id int, key string, value string",
     )
-    for hot in (10, 1_000_000):
-        out = files.file_payload_scan(params, files.read_files(spark, str(tmp_path)), "key", "value", ["id"], hot)
-        assert out.columns == ["id", "key", "value", "from_file"]
-        rows = {r.id: r for r in out.collect()}
-        assert len(rows) == 34
-        encoded = base64.b64encode(big).decode()
-        assert all(rows[i].value == encoded and rows[i].from_file for i in [*range(30), 32])
-        assert [(rows[i].value, rows[i].from_file) for i in (30, 31, 33)] == [
-            (path, False), ("/none", False), (None, False)
-        ]
+    out = files.file_payload_scan(params, files.read_files(spark, str(tmp_path)), "key", "value")
+    assert out.columns == ["id", "key", "value", "from_file"]
+    rows = {r.id: r for r in out.collect()}
+    assert len(rows) == 34
+    encoded = base64.b64encode(big).decode()
+    assert all(rows[i].value == encoded and rows[i].from_file for i in [*range(30), 32])
+    assert [(rows[i].value, rows[i].from_file) for i in (30, 31, 33)] == [
+        (path, False), ("/none", False), (None, False)
+    ]
+
+
+def test_manifest_of_a_very_long_file(spark, tmp_path):
+    with (tmp_path / "long").open("wb") as out:
+        out.truncate(2**31 + 5)
+    digest = hashlib.sha256()
+    for _ in range(2**31 >> 24):
+        digest.update(bytes(1 << 24))
+    digest.update(bytes(5))
+    row = files.file_manifest(spark, str(tmp_path)).first()
+    assert (row.sha256, row.length, row.error) == ("sha256:" + digest.hexdigest(), 2**31 + 5, None)
+    assert files.read_files(spark, str(tmp_path)).first().content is None
 
 
 def test_payload_routing_and_writing(spark, folder):
@@ -137,7 +148,7 @@ def test_image_parameters_from_files(spark, tmp_path):
     params = [base64.b64encode(png).decode(), str(tmp_path / "i.png"), str(tmp_path / "no.txt"), "??", None]
     df = spark.createDataFrame(list(enumerate(params)), "id int, image string")
     for source in (None, files.read_files(spark, str(tmp_path))):
-        rows = {r.id: r for r in payloads.image_payload_decode(df, "image", source, ["id"]).collect()}
+        rows = {r.id: r for r in payloads.image_payload_decode(df, "image", source).collect()}
         found = [bytes(rows[i].image_bytes) if rows[i].image_bytes else None for i in range(5)]
         assert found == [png, png if source is not None else None, None, None, None]
         assert [rows[i].error is None for i in range(5)] == [f is not None for f in found]
@@ -159,8 +170,8 @@ def test_training_export(spark, folder, compact):
         [(i, "007" if i % 3 else "b", b"img%d" % i, f"t{i}") for i in range(40)],
         "id long, source string, image binary, text string",
     )
-    plan = training.training_export(df, "source", "id", "image", "text", folder, max_train_samples=30, epochs=2.0, compact=compact)
-    assert rows_of(plan) == [("007", 20, 5), ("b", 10, 3)]
+    plan = training.training_export(df, "source", "id", "image", "text", folder, max_train_samples=12, epochs=2.0, compact=compact)
+    assert rows_of(plan) == [("007", 12, 3), ("b", 12, 3)]
     row = spark.read.parquet(folder).where("id = 4").first()
     assert row.messages[0].content[1].image == b"img4" and row.messages[1].content[0].text == "t4"
 
@@ -209,3 +220,11 @@ def test_shared_folder_is_the_one_the_session_names(spark):
     if root:
         assert shared_root(spark) == root
         assert shared_folder(spark, "x").startswith(f"{root}/evalmill-x-")
+
+
+def test_status_stream_without_updates(spark, folder):
+    schema = "run_id string, ts timestamp, seq long, status string, started_at timestamp, finished_at timestamp, metric double"
+    spark.createDataFrame([], schema).write.parquet(f"{folder}/in")
+    updates = stream_files(spark, f"{folder}/in", spark.read.parquet(f"{folder}/in").schema)
+    got = run_status_stream(updates, views.STATUS_FIELDS, f"{folder}/table", f"{folder}/checkpoint")
+    assert got.columns == ["run_id", *views.STATUS_FIELDS, "updated_at", "updates"] and got.count() == 0
