@@ -101,7 +101,16 @@ def _filled_params(spark, sf_dir):
 
 @query
 def file_payload_scan(spark, sf_dir):
-    return _filled_params(spark, sf_dir).select(
+    """File parameters that name rows of a table of files; each third of them names none."""
+    path = F.concat(F.lit("/data/"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    stored = table(spark, sf_dir, "documents").select(path.alias("path"), F.encode("text", "UTF-8").alias("content"))
+    named = F.concat(F.lit("/data/"), (F.col("event_id") % 300).cast("string"), F.lit(".txt"))
+    params = table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("req_id"),
+        F.when(F.col("event_id") % 2 == 0, "file").otherwise("prompt").alias("key"),
+        F.when(F.col("event_id") % 3 == 0, F.lit("/none")).otherwise(named).alias("value"),
+    )
+    return files.file_payload_scan(params, stored, "key", "value").select(
         "req_id", "key", "from_file", F.length("value").alias("n_chars"),
         F.sha2("value", 256).alias("sha256"),
     )
@@ -571,6 +580,39 @@ def benchmark_eval(spark, sf_dir):
     return scoring.accuracy_by_subject(scored)
 
 
+def _benchmark(spark, sf_dir, report):
+    items = views.eval_items(spark, sf_dir)
+    splits = items.withColumn("split", F.when(F.col("item_id") % 4 == 0, "dev").otherwise("test"))
+    run = evaluation.benchmark_run(splits, '{"max_items": 0}', stub_load, stub_predict)
+    return evaluation.run_reports(*run)[report]
+
+
+@query
+def benchmark_by_subject(spark, sf_dir):
+    """The flagship from its parameters to the scores of the split."""
+    return _benchmark(spark, sf_dir, "by_subject")
+
+
+@query
+def benchmark_running(spark, sf_dir):
+    """Running accuracy over the one whole run."""
+    return _benchmark(spark, sf_dir, "running")
+
+
+@query
+def benchmark_samples(spark, sf_dir):
+    return _benchmark(spark, sf_dir, "samples")
+
+
+@query
+def benchmark_report(spark, sf_dir):
+    return _benchmark(spark, sf_dir, "report").select(
+        "section", "subject", "items", "correct", "accuracy", F.size("samples").cast("bigint").alias("samples"),
+        F.col("config.split").alias("split"), F.col("config.max_items").alias("max_items"),
+        F.col("config.reasoning_level").alias("level"),
+    )
+
+
 @query
 def run_requests(spark, sf_dir):
     """Merged, checked and completed image requests, rejected ones with their error."""

@@ -6,9 +6,10 @@ from collections.abc import Callable, Iterable
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evalmill import fixed_values as fixed
 from evalmill.functions.answers import (
     channel_names,
     channel_spans,
@@ -20,7 +21,10 @@ from evalmill.functions.answers import (
 from evalmill.operators.chat import eval_messages
 from evalmill.operators.ordered import head_n
 from evalmill.operators.predict import batch_predict
+from evalmill.operators import scoring
 from evalmill.operators.scoring import subject_or_unknown
+from evalmill.plans.serving import checked_requests
+from evalmill.session import shared_folder
 
 
 def tagged_channels(outputs: DataFrame, raw: str = "raw") -> DataFrame:
@@ -85,3 +89,52 @@ def evaluate(
     )
     keep = ["item_id", "subject", "gold", *(["prompt"] if keep_prompt else [])]
     return letters(batch_predict(prepared, load, predict, ["item_id", "messages"], keep, tasks=tasks))
+
+
+def run_settings(spark: SparkSession, params: str, model: str = "gpt-oss-20b") -> dict[str, object]:
+    """Settings of one benchmark run from its JSON parameters, checked and completed.
+
+    A run is one request, so its settings are one row; a rejected one raises with its error.
+    """
+    request = spark.createDataFrame([(0, model, params)], "req_id int, model string, params string")
+    checked = checked_requests(
+        request, None, {model: fixed.BENCHMARK_CONTRACT}, fixed.BENCHMARK_DEFAULTS, {}
+    )
+    row = checked.first()
+    if row["error"]:
+        raise ValueError(row["error"])
+    return {name: row[name] for name in fixed.BENCHMARK_DEFAULTS[model]}
+
+
+def benchmark_run(
+    splits: DataFrame,
+    params: str,
+    load: Callable[[], Any],
+    predict: Callable[[Any, pd.DataFrame], Iterable[str | None]],
+    tasks: int | None = None,
+) -> tuple[DataFrame, dict[str, object]]:
+    """The whole run: settings, the split's items, cap, predictor, parser and scores.
+
+    ``splits`` has the items with the ``split`` they belong to; only the wanted one is read. The
+    scored rows are written once to the shared folder, so the predictor runs once however many
+    reports read them. Returns that table and the settings.
+    """
+    spark = splits.sparkSession
+    settings = run_settings(spark, params)
+    items = splits.where(F.col("split") == settings["split"]).drop("split")
+    scored = evaluate(
+        items, load, predict, settings["reasoning_level"], settings["max_items"], tasks, keep_prompt=True
+    )
+    path = shared_folder(spark, "scored")
+    scored.write.parquet(path)
+    return spark.read.schema(scored.schema).parquet(path), settings
+
+
+def run_reports(scored: DataFrame, settings: dict[str, object]) -> dict[str, DataFrame]:
+    """What is reported of a run: by subject, running over the whole run, samples, the report."""
+    return {
+        "by_subject": scoring.accuracy_by_subject(scored),
+        "running": scoring.running_accuracy(scored, [], "item_id"),
+        "samples": scoring.sample_records(scored, "item_id"),
+        "report": scoring.eval_report(scored, "item_id", settings),
+    }

@@ -531,4 +531,44 @@ ORACLE: dict[str, str] = {
         )
         SELECT source, count(*) AS examples, greatest(1, CAST(ceil(count(*) / 8.0) AS BIGINT)) AS steps
         FROM capped WHERE n <= 7 GROUP BY source""",
+    "file_payload_scan": """
+        WITH params AS (
+          SELECT event_id AS req_id, CASE WHEN event_id % 2 = 0 THEN 'file' ELSE 'prompt' END AS key,
+            CASE WHEN event_id % 3 = 0 THEN '/none' ELSE '/data/' || (event_id % 300) || '.txt' END AS value
+          FROM events
+        ),
+        met AS (
+          SELECT p.*, base64(encode(d.text)) AS payload
+          FROM params p LEFT JOIN documents d ON p.key = 'file' AND p.value = '/data/' || d.doc_id || '.txt'
+        )
+        SELECT req_id, key, payload IS NOT NULL AS from_file, length(coalesce(payload, value)) AS n_chars,
+          sha256(coalesce(payload, value)) AS sha256
+        FROM met""",
+    "benchmark_by_subject": f"{SCORED} SELECT subject, {TALLY} FROM scored WHERE item_id % 4 <> 0 GROUP BY subject",
+    "benchmark_running": f"""
+        {SCORED},
+        steps AS (
+          SELECT item_id,
+            CAST(sum(CASE WHEN pred = gold THEN 1 ELSE 0 END) OVER w AS BIGINT) AS correct,
+            row_number() OVER w AS seen, count(*) OVER () AS total
+          FROM scored WHERE item_id % 4 <> 0 WINDOW w AS (ORDER BY item_id)
+        )
+        SELECT item_id, correct, seen, 100.0 * CAST(correct AS DOUBLE) / seen AS percent
+        FROM steps WHERE seen % 10 = 0 OR seen = total""",
+    "benchmark_samples": f"""
+        {SCORED}
+        SELECT item_id, right(prompt, 200) AS prompt_end, left(raw, 200) AS generated_raw,
+          left(response, 100) AS response, nullif(left(analysis, 100), '') AS analysis, pred,
+          gold AS gt, subject
+        FROM scored WHERE item_id % 4 <> 0 ORDER BY item_id LIMIT 10""",
+    "benchmark_report": f"""
+        {SCORED}
+        SELECT 'summary' AS section, NULL AS subject, count(*) AS items,
+          count(*) FILTER (WHERE pred = gold) AS correct,
+          CAST(printf('%.4f', count(*) FILTER (WHERE pred = gold) / count(*)) AS DOUBLE) AS accuracy,
+          least(10, count(*)) AS samples, 'test' AS split, CAST(0 AS BIGINT) AS max_items, 'low' AS level
+        FROM scored WHERE item_id % 4 <> 0
+        UNION ALL
+        SELECT 'subject', subject, total, correct, CAST(printf('%.4f', accuracy) AS DOUBLE), NULL, NULL, NULL, NULL
+        FROM (SELECT subject, {TALLY} FROM scored WHERE item_id % 4 <> 0 GROUP BY subject)""",
 }

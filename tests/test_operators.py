@@ -398,3 +398,40 @@ def test_index_upsert_keeps_the_last_written(spark):
     assert rows_of(state.index_with_latest(merged).select("name", "version", "latest")) == [
         ("a", "1.0", "1.0"), ("a", "2.0", "1.0"), ("b", "1.0", "1.0")
     ]
+
+
+# --- whole runs ----------------------------------------------------------------------
+
+
+def test_model_is_loaded_once_per_worker(spark, tmp_path):
+    def load():
+        import os
+
+        open(f"{tmp_path}/{os.getpid()}-{os.urandom(4).hex()}", "w").close()
+        return 1
+
+    df = spark.range(400).repartition(100)
+    predict = lambda model, batch: ["x"] * len(batch)
+    assert batch_predict(df, load, predict, ["id"], ["id"]).count() == 400
+    loads = [p.name.split("-")[0] for p in tmp_path.iterdir()]
+    assert len(loads) == len(set(loads)) < 30
+
+
+def test_benchmark_run_predicts_once(spark, tmp_path):
+    def predict(model, batch):
+        import os
+
+        with open(f"{tmp_path}/{os.urandom(8).hex()}", "w") as out:
+            out.write(str(len(batch)))
+        return ["<|channel|>final<|message|>Answer: A<|return|>"] * len(batch)
+
+    rows = [(i, f"s{i % 2}", f"q{i}", i % 4, "test" if i % 5 else "dev") for i in range(50)]
+    splits = spark.createDataFrame(rows, "item_id long, subject string, prompt string, answer_idx int, split string")
+    run = evaluation.benchmark_run(splits, '{"max_items": 30}', lambda: None, predict)
+    reports = {name: df.collect() for name, df in evaluation.run_reports(*run).items()}
+    assert sum(int(p.read_text()) for p in tmp_path.iterdir()) == 30
+    assert [r.seen for r in sorted(reports["running"], key=lambda r: r.seen)] == [10, 20, 30]
+    assert sum(r.total for r in reports["by_subject"]) == 30 and len(reports["samples"]) == 10
+    assert run[1] == {"split": "test", "max_items": 30, "reasoning_level": "low"}
+    with pytest.raises(ValueError, match="split"):
+        evaluation.benchmark_run(splits, '{"split": "other"}', lambda: None, predict)

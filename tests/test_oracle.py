@@ -8,7 +8,6 @@ from evalmill.plans.oracle import ORACLE
 from __spark_entry__ import entry, oracle_sql, queries
 
 SCALES = ["sf0.001", "sf0.01"]
-ROWS_ONLY = {"file_payload_scan"}
 
 
 @pytest.fixture(scope="module", params=SCALES)
@@ -25,14 +24,8 @@ def test_query_equals_oracle(spark, tables, name):
     assert compare(queries()[name](spark, sf_dir), con, oracle_sql()[name]) is None
 
 
-@pytest.mark.parametrize("name", sorted(ROWS_ONLY))
-def test_rows_only_query_returns_rows(spark, tables, name):
-    sf_dir, _ = tables
-    assert queries()[name](spark, sf_dir).count() > 0
-
-
 def test_every_query_has_an_oracle():
-    assert set(QUERIES) - set(ORACLE) == ROWS_ONLY
+    assert set(QUERIES) == set(ORACLE)
     assert set(oracle_sql()) <= set(queries())
 
 

@@ -11,8 +11,9 @@ from evalmill.session import session_conf
 SF = "/root/testdata/sf0.01"
 
 # Queries whose functions already run jobs (they write); the rest only build a plan.
-WRITES = {"dataset_materialise", "payload_write", "report_write", "run_status_stream", "training_export", "training_export_capped"}
-PYTHON = {"batch_predict", "benchmark_eval", "payload_write", "file_payload_scan", "file_payload_flags"}
+WRITES = {"dataset_materialise", "payload_write", "report_write", "run_status_stream", "training_export", "training_export_capped",
+          "benchmark_by_subject", "benchmark_running", "benchmark_samples", "benchmark_report"}
+PYTHON = {"batch_predict", "benchmark_eval", "payload_write", "file_payload_flags"}
 
 
 def plan_of(df):
