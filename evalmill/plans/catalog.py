@@ -621,6 +621,50 @@ def run_requests(spark, sf_dir):
     )
 
 
+@query
+def chat_requests(spark, sf_dir):
+    """Checked chat requests with the level's system message in front."""
+    checked = serving.chat_requests(views.chat_params(spark, sf_dir))
+    return checked.select(
+        "req_id", "model", "max_tokens", "temperature", "reasoning_level",
+        F.array_join(F.transform("messages", lambda m: F.concat_ws(":", m.role, m.content)), "|").alias("turns"),
+        "error",
+    )
+
+
+@query
+def vision_requests(spark, sf_dir):
+    """Checked vision requests: image read from text or file, adapter or the base model."""
+    adapters = spark.createDataFrame([("run0", "adapter0")], "lora_run string, adapter string")
+    ready = serving.vision_requests(
+        views.vision_params(spark, sf_dir), None, views.vision_files(spark, sf_dir), adapters
+    )
+    return ready.select(
+        "req_id", "prompt", "max_tokens", "image_format", F.sha2("image_bytes", 256).alias("image_sha256"),
+        "adapter", "provenance", "error",
+    )
+
+
+def chat_predict(model: list[str], batch: pd.DataFrame) -> list[str]:
+    """Stand-in for generation: an analysis and the last message's text back."""
+    return [
+        f"<|channel|>analysis<|message|>{item}<|end|><|channel|>final<|message|>{m[-1]['content']}<|return|>"
+        for item, m in zip(batch["req_id"], batch["messages"], strict=True)
+    ]
+
+
+@query
+def run_to_payloads(spark, sf_dir):
+    """Chat requests from parameters to the bytes that were written."""
+    written = serving.run_chat(
+        views.chat_params(spark, sf_dir), None, stub_load, chat_predict, shared_folder(spark, "chat")
+    )
+    return written.select(
+        "req_id", "model", "content_type", F.col("kind").cast("string").alias("kind"),
+        F.sha2("body", 256).alias("sha256"), "error",
+    )
+
+
 @query
 def training_requests(spark, sf_dir):
     """Checked training requests with the optimizer steps of their dataset."""

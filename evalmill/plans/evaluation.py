@@ -11,34 +11,20 @@ from pyspark.sql import functions as F
 
 from evalmill import fixed_values as fixed
 from evalmill.functions.answers import (
-    channel_names,
-    channel_spans,
     choice_letter,
     gold_error,
     gold_letter,
-    select_channels,
 )
 from evalmill.operators.chat import eval_messages
 from evalmill.operators.ordered import head_n
 from evalmill.operators.predict import batch_predict
 from evalmill.operators import scoring
 from evalmill.operators.scoring import subject_or_unknown
+from evalmill.plans.channels import tagged_channels
 from evalmill.plans.serving import checked_requests
 from evalmill.session import shared_folder
 
 
-def tagged_channels(outputs: DataFrame, raw: str = "raw") -> DataFrame:
-    """Add ``response``, ``analysis`` and ``commentary`` to raw outputs."""
-    text, spans, names = F.col(raw), F.col("_spans"), F.col("_names")
-    # One step per projection, so that each text is cut once.
-    return (
-        outputs.withColumn("_spans", channel_spans(text))
-        .withColumn("_names", channel_names(spans))
-        .withColumn("_channels", select_channels(text, spans, names))
-        .select(*outputs.columns, "_channels.*")
-    )
-
-
 def letters(outputs: DataFrame, raw: str = "raw") -> DataFrame:
     """Channels plus the chosen letter ``pred``."""
     return tagged_channels(outputs, raw).withColumn("pred", choice_letter(F.col("response")))

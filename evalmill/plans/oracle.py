@@ -571,4 +571,44 @@ ORACLE: dict[str, str] = {
         UNION ALL
         SELECT 'subject', subject, total, correct, CAST(printf('%.4f', accuracy) AS DOUBLE), NULL, NULL, NULL, NULL
         FROM (SELECT subject, {TALLY} FROM scored WHERE item_id % 4 <> 0 GROUP BY subject)""",
+    "chat_requests": """
+        WITH chat AS (
+          SELECT event_id AS req_id, event_type, CASE WHEN event_id % 2 = 0 THEN 'gpt-oss-20b' ELSE 'gpt-oss-120b' END AS model,
+            CASE WHEN event_id % 3 = 0 THEN 'high' ELSE 'medium' END AS reasoning_level,
+            CASE WHEN event_id % 7 = 0 THEN '$.temperature: above maximum 2'
+                 WHEN event_id % 5 = 0 THEN 'messages required' END AS error
+          FROM events
+        )
+        SELECT req_id, model, CAST(CASE model WHEN 'gpt-oss-20b' THEN 2048 ELSE 256 END AS BIGINT) AS max_tokens,
+          CAST(CASE WHEN req_id % 7 = 0 THEN 3 ELSE 0.7 END AS DOUBLE) AS temperature, reasoning_level,
+          CASE req_id % 5 WHEN 0 THEN 'system:Reasoning: ' || reasoning_level
+            WHEN 1 THEN 'system:' || event_type || '|user:' || event_type
+            ELSE 'system:Reasoning: ' || reasoning_level || '|user:' || event_type END AS turns, error
+        FROM chat""",
+    "vision_requests": """
+        WITH read AS (
+          SELECT page_id AS req_id, url AS prompt,
+            CASE WHEN page_id % 4 = 0 THEN from_hex('89504E470D0A1A0A') || encode(url)
+                 WHEN page_id % 8 = 1 THEN from_hex('FFD8FFE0') || encode(url) END AS body,
+            CASE WHEN page_id % 4 = 0 THEN 'png' WHEN page_id % 8 = 1 THEN 'jpeg' END AS image_format
+          FROM pages
+        )
+        SELECT req_id, prompt, CAST(128 AS BIGINT) AS max_tokens, image_format, sha256(body) AS image_sha256,
+          CASE WHEN req_id % 6 = 0 THEN 'adapter0' ELSE 'base' END AS adapter,
+          CASE WHEN req_id % 6 = 0 THEN 'primary' ELSE 'default' END AS provenance,
+          CASE WHEN req_id % 4 = 3 THEN '$: image is required' WHEN body IS NULL THEN 'could not decode image' END AS error
+        FROM read""",
+    "run_to_payloads": """
+        WITH chat AS (
+          SELECT event_id AS req_id, event_type, CASE WHEN event_id % 2 = 0 THEN 'gpt-oss-20b' ELSE 'gpt-oss-120b' END AS model,
+            CASE WHEN event_id % 3 = 0 THEN 'high' ELSE 'medium' END AS reasoning_level,
+            CASE WHEN event_id % 7 = 0 THEN '$.temperature: above maximum 2'
+                 WHEN event_id % 5 = 0 THEN 'messages required' END AS error
+          FROM events
+        )
+        SELECT req_id, model, 'application/json' AS content_type, 'json' AS kind,
+          sha256('{' || chr(10) || '  "response": "' || event_type || '",' || chr(10) || '  "analysis": "' || req_id
+            || '",' || chr(10) || '  "commentary": null,' || chr(10) || '  "reasoning_level": "' || reasoning_level
+            || '"' || chr(10) || '}') AS sha256, CAST(NULL AS VARCHAR) AS error
+        FROM chat WHERE error IS NULL""",
 }

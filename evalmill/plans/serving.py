@@ -23,7 +23,8 @@ from evalmill.operators.requests import (
     request_defaults,
     required_filter,
 )
-from evalmill.sources.payloads import image_payload_decode, payload_route
+from evalmill.plans.channels import CHANNELS, tagged_channels
+from evalmill.sources.payloads import image_payload_decode, payload_route, payload_write
 
 
 def json_literal(kind: Column, text: Column, integer: Column, number: Column) -> Column:
@@ -238,3 +239,31 @@ def run_requests(
         accepted(checked), load, predict, inputs, ["req_id", "model"], "data", tasks
     )
     return payload_route(results.withColumn("content_type", F.lit(content_type)))
+
+
+def chat_envelope(results: DataFrame, raw: str = "data", level: str = "reasoning_level") -> DataFrame:
+    """Chat results as JSON: response, analysis, commentary and the level they were asked at."""
+    parsed = tagged_channels(results, raw)
+    envelope = F.to_json(
+        F.struct(*CHANNELS, F.col(level).alias("reasoning_level")), {"ignoreNullFields": "false"}
+    )
+    return parsed.withColumn(raw, envelope).drop(*CHANNELS)
+
+
+def run_chat(
+    requests: DataFrame,
+    overrides: DataFrame | None,
+    load: Callable[[], Any],
+    predict: Callable[[Any, pd.DataFrame], Iterable[str | None]],
+    path: str,
+    tasks: int | None = None,
+) -> DataFrame:
+    """Chat requests from their parameters to written payloads: checked, predicted, parsed to their
+    envelope, routed as JSON and written. Rejected requests are left out (see :func:`chat_requests`).
+    """
+    ready = accepted(chat_requests(requests, overrides))
+    results = batch_predict(
+        ready, load, predict, ["req_id", "messages"], ["req_id", "model", "reasoning_level"], "data", tasks
+    )
+    shaped = chat_envelope(results).withColumn("content_type", F.lit("application/json"))
+    return payload_write(payload_route(shaped.drop("reasoning_level")), path)

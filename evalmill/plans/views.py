@@ -135,6 +135,49 @@ def training_params(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def chat_params(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chat requests per event: some without messages, some too hot, some at a level of their own."""
+    message = lambda role: F.struct(F.lit(role).alias("role"), F.col("event_type").alias("content"))
+    messages = (
+        F.when(F.col("event_id") % 5 == 0, F.array().cast("array<struct<role:string,content:string>>"))
+        .when(F.col("event_id") % 5 == 1, F.array(message("system"), message("user")))
+        .otherwise(F.array(message("user")))
+    )
+    params = F.to_json(
+        F.struct(
+            messages.alias("messages"),
+            F.when(F.col("event_id") % 3 == 0, F.lit("high")).alias("reasoning_level"),
+            F.when(F.col("event_id") % 7 == 0, F.lit(3)).alias("temperature"),
+        )
+    )
+    model = F.when(F.col("event_id") % 2 == 0, "gpt-oss-20b").otherwise("gpt-oss-120b")
+    return table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("req_id"), model.alias("model"), params.alias("params")
+    )
+
+
+def vision_params(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vision requests per page: images as text, paths of files, and none; some name an adapter."""
+    png = F.concat(F.unhex(F.lit("89504E470D0A1A0A")), F.encode("url", "UTF-8"))
+    image = (
+        F.when(F.col("page_id") % 4 == 0, encode_base64(png))
+        .when(F.col("page_id") % 4 == 1, F.concat(F.lit("/img/"), F.lpad(F.col("page_id").cast("string"), 10, "0"), F.lit("?")))
+        .when(F.col("page_id") % 4 == 2, F.lit("?A?"))
+    )
+    run = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("run"), (F.col("page_id") % 6).cast("string")))
+    params = F.to_json(F.struct(image.alias("image"), F.col("url").alias("prompt"), run.alias("lora_run")))
+    return table(spark, sf_dir, "pages").select(
+        F.col("page_id").alias("req_id"), F.lit("qwen3-vl").alias("model"), params.alias("params")
+    )
+
+
+def vision_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The image files that every second of those paths names."""
+    png = F.concat(F.unhex(F.lit("FFD8FFE0")), F.encode("url", "UTF-8"))
+    path = F.concat(F.lit("/img/"), F.lpad(F.col("page_id").cast("string"), 10, "0"), F.lit("?"))
+    return table(spark, sf_dir, "pages").where(F.col("page_id") % 8 == 1).select(path.alias("path"), png.alias("content"))
+
+
 def payload_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four parts per page: text, JSON, base64 and one without a content type."""
     def part(content_type: str | None, data: Column) -> Column:

@@ -12,7 +12,8 @@ SF = "/root/testdata/sf0.01"
 
 # Queries whose functions already run jobs (they write); the rest only build a plan.
 WRITES = {"dataset_materialise", "payload_write", "report_write", "run_status_stream", "training_export", "training_export_capped",
-          "benchmark_by_subject", "benchmark_running", "benchmark_samples", "benchmark_report"}
+          "benchmark_by_subject", "benchmark_running", "benchmark_samples", "benchmark_report",
+          "run_to_payloads"}
 PYTHON = {"batch_predict", "benchmark_eval", "payload_write", "file_payload_flags"}
 
 
@@ -91,3 +92,8 @@ def test_requests_are_checked_once(spark):
     plan = plan_of(QUERIES["training_requests"](spark, SF))
     assert plan.split("(1)")[0].count("Generate") == 1
     assert len(re.findall(r"Scan parquet[^\n]*\n", plan.split("\n\n")[0])) <= 2
+
+
+def test_vision_requests_are_decoded_once(spark):
+    plan = plan_of(QUERIES["vision_requests"](spark, SF))
+    assert len(re.findall("FileScan parquet", plan)) <= 3  # requests, files, and nothing twice
