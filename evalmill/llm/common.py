@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,6 +31,18 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def found_by_workers(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver did.
+
+    That is enough where they share its files; elsewhere the package is sent with ``--py-files``.
+    """
+    own = str(Path(__file__).resolve().parents[2])
+    environment = spark.sparkContext.environment
+    known = environment.get("PYTHONPATH", "").split(os.pathsep)
+    if own not in known:
+        environment["PYTHONPATH"] = os.pathsep.join([own, *filter(None, known)])
+
+
 def row_key(*columns: str) -> list[Column]:
     """Two 64-bit hashes that stand for a row's values; rows that are alike share them."""
     return [F.xxhash64(*columns).alias("key_a"), F.xxhash64(*reversed(columns), F.lit(1)).alias("key_b")]
@@ -39,6 +53,7 @@ def over_batches(
 ) -> DataFrame:
     """Apply ``work`` to Arrow batches of at most ``rows`` rows; it returns the result's columns."""
     fields = to_arrow_schema(schema)
+    found_by_workers(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

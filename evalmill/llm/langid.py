@@ -38,7 +38,7 @@ SAMPLE_GRAMS = 400_000
 CALIBRATION = 5
 #: Rejection: allowed excess over the calibration texts' largest standardised cross-entropy, and a
 #: floor in nats per letter, so that unusual but clean texts stay.
-SLACK, FLOOR = 1.5, 0.75
+SLACK, FLOOR = 1.5, 1.0
 UNKNOWN = "und"
 BLANK = 32
 _MIX = np.uint64(0x9E3779B97F4A7C15)

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evalmill.llm.common import stored
+from evalmill.llm.common import found_by_workers, stored
 
 #: Permitted sequence lengths.
 CAPACITIES = (1024, 2048, 4096, 8192)
@@ -92,6 +92,7 @@ def pack(
 ) -> DataFrame:
     """One row per piece: where it lies in its document, its bin, its offset there, the capacity."""
     capacities = tuple(sorted(capacities))
+    found_by_workers(docs.sparkSession)
     # The row number parts rows that are alike; it only spreads them and breaks ties.
     cut = stored(
         pieces(docs, length, capacities[-1]).withColumn("row_no", F.monotonically_increasing_id()), "pieces"
