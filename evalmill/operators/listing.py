@@ -47,13 +47,16 @@ def device_label(name: Column, device: Column) -> Column:
     return F.concat(name, F.lit(" ("), shown, F.lit(")"))
 
 
-def member_listing(df: DataFrame, group: list[str], position: str, label: Column) -> DataFrame:
+def member_listing(
+    df: DataFrame, group: list[str], position: str | Column, label: Column
+) -> DataFrame:
     """The members of each group in order, one row each: group, ``position`` and ``label``.
 
     A group of any size stays spread over tasks; :func:`listing_text` joins the texts of groups
     that fit a row.
     """
-    return df.select(*group, F.col(position).cast("bigint").alias("position"), label.alias("label"))
+    at = F.col(position) if isinstance(position, str) else position
+    return df.select(*group, at.cast("bigint").alias("position"), label.alias("label"))
 
 
 def listing_text(members: DataFrame, group: list[str]) -> DataFrame:

@@ -20,7 +20,7 @@ from evalmill.functions.text import (
 )
 from evalmill.operators import chat, contracts, listing, lookups, ordered, requests, scoring, state
 from evalmill.operators.predict import batch_predict as predict_batches
-from evalmill.plans import evaluation, serving, training, views
+from evalmill.plans import evaluation, indexing, serving, training, views
 from evalmill.plans.views import table
 from evalmill.session import shared_folder
 from evalmill.sources import datasets, files, payloads
@@ -665,6 +665,40 @@ def run_to_payloads(spark, sf_dir):
     )
 
 
+def _index(spark, sf_dir):
+    return indexing.index_build(
+        None, views.bundle_files(spark, sf_dir), ["config.json", "README.md"], {"weights-*.bin": r"^weights-.*\.bin$"}
+    )
+
+
+@query
+def index_build(spark, sf_dir):
+    """Complete bundles in the index."""
+    return _index(spark, sf_dir)[0]
+
+
+@query
+def index_rejects(spark, sf_dir):
+    """Incomplete bundles with what they lack."""
+    return _index(spark, sf_dir)[1]
+
+
+@query
+def full_listing(spark, sf_dir):
+    """Every source with status, bundle and members."""
+    documents = table(spark, sf_dir, "documents")
+    langs = documents.select("source", "lang").distinct()
+    device = F.when(F.col("lang") == "en", F.lit("A10G"))
+    members = listing.member_listing(
+        langs.withColumnRenamed("source", "name"), ["name"],
+        F.ascii(F.substring("lang", 1, 1)) * 256 + F.ascii(F.substring("lang", 2, 1)), listing.device_label(F.col("lang"), device),
+    )
+    sources = documents.select(F.col("source").alias("name")).union(
+        table(spark, sf_dir, "region").select(F.lower("r_name"))
+    ).distinct().withColumn("version", F.lit("1"))
+    return indexing.full_listing(sources, index_build(spark, sf_dir), members)
+
+
 @query
 def training_requests(spark, sf_dir):
     """Checked training requests with the optimizer steps of their dataset."""

@@ -611,4 +611,69 @@ ORACLE: dict[str, str] = {
             || '",' || chr(10) || '  "commentary": null,' || chr(10) || '  "reasoning_level": "' || reasoning_level
             || '"' || chr(10) || '}') AS sha256, CAST(NULL AS VARCHAR) AS error
         FROM chat WHERE error IS NULL""",
+    "index_build": """
+        WITH files AS (
+          SELECT source AS name, lang AS version, source || '/' || lang AS path, doc_id AS seq, sha256(text) AS sha256,
+            CASE doc_id % 5 WHEN 0 THEN 'config.json' WHEN 1 THEN 'weights-' || doc_id || '.bin' WHEN 2 THEN 'README.md'
+              WHEN 3 THEN 'handler.py' ELSE 'notes.txt' END AS member
+          FROM documents
+        ),
+        bundles AS (
+          SELECT name, version, max(path) AS path, max(seq) AS seq,
+            max(sha256) FILTER (WHERE member = 'config.json') AS config, max(sha256) FILTER (WHERE member = 'README.md') AS readme,
+            count(*) FILTER (WHERE member LIKE 'weights-%.bin') AS weights
+          FROM files GROUP BY name, version
+        ),
+        complete AS (
+          SELECT name, version, path, 'sha256:' || sha256(readme || chr(10) || config) AS sha256, seq
+          FROM bundles WHERE config IS NOT NULL AND readme IS NOT NULL AND weights > 0
+        ) SELECT * FROM complete""",
+    "index_rejects": """
+        WITH files AS (
+          SELECT source AS name, lang AS version, source || '/' || lang AS path, doc_id AS seq, sha256(text) AS sha256,
+            CASE doc_id % 5 WHEN 0 THEN 'config.json' WHEN 1 THEN 'weights-' || doc_id || '.bin' WHEN 2 THEN 'README.md'
+              WHEN 3 THEN 'handler.py' ELSE 'notes.txt' END AS member
+          FROM documents
+        ),
+        bundles AS (
+          SELECT name, version, max(path) AS path, max(seq) AS seq,
+            max(sha256) FILTER (WHERE member = 'config.json') AS config, max(sha256) FILTER (WHERE member = 'README.md') AS readme,
+            count(*) FILTER (WHERE member LIKE 'weights-%.bin') AS weights
+          FROM files GROUP BY name, version
+        ),
+        complete AS (
+          SELECT name, version, path, 'sha256:' || sha256(readme || chr(10) || config) AS sha256, seq
+          FROM bundles WHERE config IS NOT NULL AND readme IS NOT NULL AND weights > 0
+        )
+        SELECT name, version, concat_ws(', ', CASE WHEN readme IS NULL THEN 'missing: README.md' END,
+            CASE WHEN config IS NULL THEN 'missing: config.json' END,
+            CASE WHEN weights = 0 THEN 'missing: weights-*.bin (at least one)' END) AS problems
+        FROM bundles WHERE config IS NULL OR readme IS NULL OR weights = 0""",
+    "full_listing": """
+        WITH files AS (
+          SELECT source AS name, lang AS version, source || '/' || lang AS path, doc_id AS seq, sha256(text) AS sha256,
+            CASE doc_id % 5 WHEN 0 THEN 'config.json' WHEN 1 THEN 'weights-' || doc_id || '.bin' WHEN 2 THEN 'README.md'
+              WHEN 3 THEN 'handler.py' ELSE 'notes.txt' END AS member
+          FROM documents
+        ),
+        bundles AS (
+          SELECT name, version, max(path) AS path, max(seq) AS seq,
+            max(sha256) FILTER (WHERE member = 'config.json') AS config, max(sha256) FILTER (WHERE member = 'README.md') AS readme,
+            count(*) FILTER (WHERE member LIKE 'weights-%.bin') AS weights
+          FROM files GROUP BY name, version
+        ),
+        complete AS (
+          SELECT name, version, path, 'sha256:' || sha256(readme || chr(10) || config) AS sha256, seq
+          FROM bundles WHERE config IS NOT NULL AND readme IS NOT NULL AND weights > 0
+        ),
+        latest AS (SELECT name, arg_max(path, seq) AS bundle FROM complete GROUP BY name),
+        members AS (
+          SELECT source AS name, count(*) AS members,
+            string_agg(lang || CASE lang WHEN 'en' THEN ' (A10G)' ELSE ' (CPU)' END, ', ' ORDER BY lang) AS listing
+          FROM (SELECT DISTINCT source, lang FROM documents) GROUP BY source
+        ),
+        sources AS (SELECT DISTINCT source AS name FROM documents UNION SELECT lower(r_name) FROM region)
+        SELECT s.name, '1' AS version, CASE WHEN l.name IS NULL THEN 'not built yet' ELSE 'built' END AS status,
+          l.bundle, m.members, m.listing
+        FROM sources s LEFT JOIN latest l ON s.name = l.name LEFT JOIN members m ON s.name = m.name ORDER BY s.name""",
 }

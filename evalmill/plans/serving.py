@@ -24,6 +24,7 @@ from evalmill.operators.requests import (
     required_filter,
 )
 from evalmill.plans.channels import CHANNELS, tagged_channels
+from evalmill.session import session_conf
 from evalmill.sources.payloads import image_payload_decode, payload_route, payload_write
 
 
@@ -39,20 +40,9 @@ def json_literal(kind: Column, text: Column, integer: Column, number: Column) ->
     )
 
 
-def request_params(
-    requests: DataFrame, overrides: DataFrame | None, names: list[str]
-) -> DataFrame:
-    """``(req_id, model, bad_json, unknown, unread, _name...)``: merged parameters as VARIANT columns.
-
-    ``requests`` has a unique ``req_id``, ``model`` and the JSON object ``params``;
-    ``overrides`` has ``req_id``, ``pos`` and ``kv``, and wins over the object. The overrides of
-    a request are folded to one column per given name before the join, so its keys are never
-    collected; ``unknown`` is an array of all other keys. An override always hides the object's value: where
-    it is no JSON value itself (an infinite number), the parameter is NULL and ``unread`` names it.
-    """
-    members, known = F.col("_members"), F.array(*[F.lit(n) for n in names])
-    none = F.array().cast("array<string>")
-    base = (
+def _base_params(requests: DataFrame, names: list[str], members: Column, known: Column, none: Column) -> DataFrame:
+    """The parameters that the requests' own objects give."""
+    return (
         requests.select(
             "req_id",
             "model",
@@ -69,6 +59,24 @@ def request_params(
             *[F.try_element_at(members, F.lit(n)).alias(f"_{n}") for n in names],
         )
     )
+
+
+def request_params(
+    requests: DataFrame, overrides: DataFrame | None, names: list[str]
+) -> DataFrame:
+    """``(req_id, model, bad_json, unknown, unread, _name...)``: merged parameters as VARIANT columns.
+
+    ``requests`` has a unique ``req_id``, ``model`` and the JSON object ``params``;
+    ``overrides`` has ``req_id``, ``pos`` and ``kv``, and wins over the object. The overrides of
+    a request are folded to one column per given name before the join, so its keys are never
+    collected; ``unknown`` is an array of all other keys. An override always hides the object's value: where
+    it is no JSON value itself (an infinite number), the parameter is NULL and ``unread`` names it.
+    """
+    members, known = F.col("_members"), F.array(*[F.lit(n) for n in names])
+    none = F.array().cast("array<string>")
+    # Of keys that stand twice in an object, the last one counts.
+    with session_conf(requests.sparkSession, spark__sql__variant__allowDuplicateKeys="true"):
+        base = _base_params(requests, names, members, known, none)
     if overrides is None:
         return base
     literal = json_literal(F.col("kind"), F.col("text"), F.col("int_value"), F.col("float_value"))

@@ -178,6 +178,25 @@ def vision_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").where(F.col("page_id") % 8 == 1).select(path.alias("path"), png.alias("content"))
 
 
+def bundle_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of bundles: one per document, several of a name in most bundles, none in some."""
+    member = (
+        F.when(F.col("doc_id") % 5 == 0, "config.json")
+        .when(F.col("doc_id") % 5 == 1, F.concat(F.lit("weights-"), F.col("doc_id").cast("string"), F.lit(".bin")))
+        .when(F.col("doc_id") % 5 == 2, "README.md")
+        .when(F.col("doc_id") % 5 == 3, "handler.py")
+        .otherwise("notes.txt")
+    )
+    return table(spark, sf_dir, "documents").select(
+        F.col("source").alias("name"),
+        F.col("lang").alias("version"),
+        F.concat_ws("/", "source", "lang").alias("path"),
+        member.alias("member"),
+        F.sha2("text", 256).alias("sha256"),
+        F.col("doc_id").alias("seq"),
+    )
+
+
 def payload_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four parts per page: text, JSON, base64 and one without a content type."""
     def part(content_type: str | None, data: Column) -> Column:

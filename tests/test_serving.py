@@ -38,6 +38,12 @@ def test_no_override_is_lost(spark):
     assert rows[5].error == "$: unknown keys aa, yy, zz"
 
 
+def test_of_double_keys_the_last_one_counts(spark):
+    requests = requests_of(spark, [("sdxl", '{"prompt": "a", "steps": 3, "prompt": "b"}')])
+    row = serving.image_requests(requests).first()
+    assert (row.prompt, row.steps, row.error) == ("b", 3, None)
+
+
 def test_image_requests(spark):
     requests = requests_of(spark, [
         ("sdxl", {"prompt": " cat ", "steps": 30}),
