@@ -25,6 +25,7 @@ pyarrow reach can hold them.
 
 from __future__ import annotations
 
+import itertools
 import json
 import os
 import re
@@ -37,6 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from evalmill.llm.common import found_by_workers
 from evalmill.session import shared_folder
 
 MAGIC = b"BPLN0001"
@@ -44,6 +46,8 @@ MAGIC = b"BPLN0001"
 BLOCK, FILE_IDS = 1 << 16, 1 << 22
 #: Distinct pieces that a worker keeps encoded; beyond, it starts anew.
 MEMO = 3_000_000
+#: Buckets of the table of pieces.
+TABLE_LOG2 = 22
 #: Characters encoded at a time in a worker.
 CHUNK = 1 << 20
 END_ID = 2
@@ -129,24 +133,55 @@ class Encoder:
         return np.cumprod(out)
 
     def _clear(self) -> None:
-        self.keys = np.zeros(0, np.uint64)
-        self.offset, self.size = np.zeros(0, np.int64), np.zeros(0, np.int32)
+        # Pieces by number: hash, and where their ids lie. A table of one number per hash bucket
+        # finds most of them; those whose bucket was taken lie in sorted arrays.
+        self.count = 0
+        self.key = np.zeros(1 << 16, np.uint64)
+        self.offset, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
+        self.table = np.full(1 << TABLE_LOG2, -1, np.int32)
+        self.rest_key, self.rest = np.zeros(0, np.uint64), np.zeros(0, np.int32)
         self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
 
-    def _learn(self, keys: np.ndarray, pieces: list[str]) -> None:
-        if len(self.keys) + len(keys) > self.memo:
-            self._clear()
+    @staticmethod
+    def _room(array: np.ndarray, n: int) -> np.ndarray:
+        while n > len(array):
+            array = np.concatenate([array, np.zeros_like(array)])
+        return array
+
+    def _learn(self, keys: np.ndarray, pieces: list[str]) -> np.ndarray:
+        """Encode new pieces (by distinct ``keys``, sorted); their numbers."""
         encoded = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
         sizes = np.fromiter(map(len, encoded), np.int32, len(encoded))
-        flat = np.fromiter((i for e in encoded for i in e), np.uint32, int(sizes.sum()))
-        while self.used + len(flat) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        flat = np.fromiter(itertools.chain.from_iterable(encoded), np.uint32, int(sizes.sum()))
+        self.ids = self._room(self.ids, self.used + len(flat))
         self.ids[self.used : self.used + len(flat)] = flat
-        offsets = self.used + np.cumsum(sizes, dtype=np.int64) - sizes
+        number = np.arange(self.count, self.count + len(keys), dtype=np.int32)
+        self.count += len(keys)
+        self.key, self.offset, self.size = (self._room(x, self.count) for x in (self.key, self.offset, self.size))
+        self.key[number], self.size[number] = keys, sizes
+        self.offset[number] = self.used + np.cumsum(sizes, dtype=np.int64) - sizes
         self.used += len(flat)
-        at = np.searchsorted(self.keys, keys)
-        self.keys = np.insert(self.keys, at, keys)
-        self.offset, self.size = np.insert(self.offset, at, offsets), np.insert(self.size, at, sizes)
+        spot = self._spot(keys)
+        free = self.table[spot] < 0
+        self.table[spot[free]] = number[free]
+        left = self.table[spot] != number
+        at = np.searchsorted(self.rest_key, keys[left])
+        self.rest_key, self.rest = np.insert(self.rest_key, at, keys[left]), np.insert(self.rest, at, number[left])
+        return number
+
+    @staticmethod
+    def _spot(keys: np.ndarray) -> np.ndarray:
+        return (keys * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(64 - TABLE_LOG2)).astype(np.int64)
+
+    def _numbers(self, keys: np.ndarray) -> np.ndarray:
+        """The number of each key's piece, -1 where it is not known."""
+        number = self.table[self._spot(keys)]
+        wrong = np.flatnonzero((number < 0) | (self.key[number] != keys))
+        number[wrong] = -1
+        if len(self.rest_key):
+            at = np.minimum(np.searchsorted(self.rest_key, keys[wrong]), len(self.rest_key) - 1)
+            number[wrong] = np.where(self.rest_key[at] == keys[wrong], self.rest[at], -1)
+        return number
 
     def _whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
@@ -159,7 +194,7 @@ class Encoder:
         for i, text in enumerate(texts):
             if not text:
                 continue
-            if len(text) >= CHUNK or SPECIAL in text or not (text.isascii() or max(text) < chr(LATIN)):
+            if len(text) >= CHUNK or SPECIAL in text:
                 result[i] = self._whole(text)
                 continue
             if held + len(text) >= CHUNK:
@@ -173,43 +208,40 @@ class Encoder:
 
     def _group(self, texts: list, group: list[int], result: list[np.ndarray]) -> None:
         joined = chr(LATIN).join(texts[i] for i in group) + chr(LATIN)
-        points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+        points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+        if int((points >= LATIN).sum()) > len(group):
+            for i in group:
+                if max(texts[i]) >= chr(LATIN):
+                    result[i] = self._whole(texts[i])
+            if rest := [i for i in group if max(texts[i]) < chr(LATIN)]:
+                self._group(texts, rest, result)
+            return
         start = np.flatnonzero(piece_starts(points, self.classes))
         part = points[start] == LATIN
         stop = np.append(start[1:], len(points))
         total = np.zeros(len(points) + 1, np.uint64)
         np.cumsum(self.values[points] * self.up[: len(points)], out=total[1:])
-        key = (total[stop] - total[start]) * self.down[start]
-        begin, end, key_in = start[~part], stop[~part], key[~part]
-        at = self._places(key_in)
-        missing = at < 0
-        if missing.any():
-            new, first = np.unique(key_in[missing], return_index=True)
-            where = np.flatnonzero(missing)[first]
-            before = len(self.keys)
-            self._learn(new, [joined[a:b] for a, b in zip(begin[where], end[where])])
-            at = self._places(key_in)
-            if len(self.keys) < before + len(new) and (at < 0).any():  # the memo began anew
-                rest, first = np.unique(key_in[at < 0], return_index=True)
-                where = np.flatnonzero(at < 0)[first]
-                self._learn(rest, [joined[a:b] for a, b in zip(begin[where], end[where])])
-                at = self._places(key_in)
-        size = self.size[at].astype(np.int64)
+        begin, end = start[~part], stop[~part]
+        key = (total[end] - total[begin]) * self.down[begin]
+        number = self._numbers(key)
+        missing = np.flatnonzero(number < 0)
+        if len(missing):
+            new, first, place = np.unique(key[missing], return_index=True, return_inverse=True)
+            if self.count + len(new) > self.memo and self.count:
+                self._clear()
+                return self._group(texts, group, result)
+            where = missing[first]
+            pieces = [joined[a:b] for a, b in zip(begin[where].tolist(), end[where].tolist())]
+            number[missing] = self._learn(new, pieces)[place]
+        size = self.size[number].astype(np.int64)
         so_far = np.cumsum(size)
-        flat = np.repeat(self.offset[at] - (so_far - size), size) + np.arange(so_far[-1] if len(so_far) else 0)
+        flat = np.repeat(self.offset[number] - (so_far - size), size) + np.arange(so_far[-1] if len(so_far) else 0)
         ids = self.ids[flat]
         # Pieces up to each text's end, as places in the ids.
-        pieces = np.cumsum(~part)[part]
-        stops = np.concatenate([[0], so_far])[pieces]
+        stops = np.concatenate([[0], so_far])[np.cumsum(~part)[part]]
         for i, a, b in zip(group, np.concatenate([[0], stops[:-1]]), stops):
             result[i] = ids[a:b]
 
-    def _places(self, key: np.ndarray) -> np.ndarray:
-        if not len(self.keys):
-            return np.full(len(key), -1)
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[at] == key, at, -1)
-
 
 def shuffle_planes(ids: np.ndarray, bits: int, by: str = "byte") -> list[bytes]:
     """The planes of one block: bit or byte k of every id."""
@@ -311,6 +343,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END
     """
     schema = StructType.fromDDL("file string, part int, number int, docs bigint, tokens bigint, bytes bigint")
     fields = to_arrow_schema(schema)
+    found_by_workers(docs.sparkSession)
 
     def run(batches):
         from pyspark import TaskContext
@@ -358,6 +391,7 @@ def read_tokens(spark, folder: str) -> DataFrame:
         "file string, place bigint, doc_id bigint, offset bigint, n_tokens bigint, ids_crc32 bigint"
     )
     fields = to_arrow_schema(schema)
+    found_by_workers(spark)
 
     def run(batches):
         for batch in batches:
