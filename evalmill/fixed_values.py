@@ -46,6 +46,9 @@ PIXEL_PREFIX = "pixel, "
 
 RUN_STATES = ["not_started", "running", "completed", "errored"]
 
+# Status of a listed source.
+BUILT, NOT_BUILT = "built", "not built yet"
+
 # --- Fixed values: parameter defaults per model --------------------------------------
 
 IMAGE_DEFAULTS = {
@@ -83,6 +86,10 @@ BENCHMARK_DEFAULTS = {
 }
 CACHE_DEFAULTS = {"qwen3-vl": {"dataset_uri": "hf:unsloth/LaTeX_OCR"}}
 
+# Recipe arguments that each run has of its own: data, name and output folder.
+RECIPE_DATA, RECIPE_NAME, RECIPE_OUTPUT = "data_paths", "+run_name", "hydra.run.dir"
+RECIPE_OUTPUT_FOLDER = "/hydra-out"
+
 # Recipe of a full training run; values are texts, overridden by stringified parameters.
 RECIPE_DEFAULTS = {
     "arch": "trm",

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evalmill.fixed_values import BUILT, NOT_BUILT
+
 
 def lookup(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
     """Left join to a lookup table that is unique on ``on``.
@@ -54,7 +56,7 @@ def with_coverage(sources: DataFrame, targets: DataFrame, on: list[str]) -> Data
 
 def coverage_listing(sources: DataFrame, targets: DataFrame, on: list[str]) -> DataFrame:
     """Coverage with a status text, sorted by key; a listing has one source row per key."""
-    status = F.when(F.col("built"), "built").otherwise("not built yet")
+    status = F.when(F.col("built"), BUILT).otherwise(NOT_BUILT)
     return with_coverage(sources, targets, on).withColumn("status", status).orderBy(*on)
 
 

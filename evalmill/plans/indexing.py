@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evalmill.fixed_values import BUILT, NOT_BUILT
 from evalmill.operators.listing import listing_text
 from evalmill.operators.lookups import lookup, with_coverage
 from evalmill.operators.state import index_latest, index_upsert
@@ -57,5 +58,5 @@ def full_listing(sources: DataFrame, index: DataFrame, members: DataFrame) -> Da
     )
     covered = with_coverage(sources, index, ["name"])
     listed = lookup(lookup(covered, bundles, ["name"]), listing_text(members, ["name"]), ["name"])
-    status = F.when(F.col("built"), "built").otherwise("not built yet")
+    status = F.when(F.col("built"), BUILT).otherwise(NOT_BUILT)
     return listed.select("name", "version", status.alias("status"), "bundle", "members", "listing").orderBy("name")

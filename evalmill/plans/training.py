@@ -93,11 +93,11 @@ def recipe_arguments(
         *[
             F.struct(F.lit(key).alias("key"), value.alias("value"))
             for key, value in {
-                "data_paths": F.concat(
+                fixed.RECIPE_DATA: F.concat(
                     F.lit("["), dataset_dir(F.col("dataset_dir"), data_root), F.lit("]")
                 ),
-                "+run_name": F.col("codename"),
-                "hydra.run.dir": F.concat(folder, F.lit("/hydra-out")),
+                fixed.RECIPE_NAME: F.col("codename"),
+                fixed.RECIPE_OUTPUT: F.concat(folder, F.lit(fixed.RECIPE_OUTPUT_FOLDER)),
             }.items()
         ]
     )
