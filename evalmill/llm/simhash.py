@@ -14,7 +14,7 @@ folder.
 
 ``op3_simhash``: 64 bits of three-word shingles, links at two bits, as its contract says.
 ``near_duplicates``: for a similarity over five words of 0.8, 64-bit fingerprints of such texts lie
-up to 14 bits apart, where no tree can prune.  There, each text has twelve independent sketches of 28
+up to 14 bits apart, where no tree can prune.  There, each text has ten independent sketches of 28
 bits.  Texts of which one sketch lies within two bits are compared by all their bits; of those that
 may be similar, each shard's forest of the closest pairs is compared exactly, by whole texts.
 
@@ -37,10 +37,11 @@ from evalmill.llm.common import over_batches, stored
 
 #: Contract of op3.
 WORDS, RADIUS = 3, 2
-#: Fingerprints in a shard, those in a leaf of its tree, and the sample that the shards' tree takes.
-SHARD, LEAF, SAMPLE = 20_000, 96, 16_384
+#: Fingerprints in a shard (about 20 MB in a task; borders between shards cost visitors, so there
+#: are few), those in a leaf of its tree, and the sample that the shards' tree takes.
+SHARD, LEAF, SAMPLE = 250_000, 96, 16_384
 #: Near-duplicates: sketches per text, bits of each, and the share of unlike bits that still links.
-SKETCHES, SKETCH_BITS, UNLIKE = 12, 28, 0.18
+SKETCHES, SKETCH_BITS, UNLIKE = 10, 28, 0.18
 
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -74,15 +75,15 @@ def majority_bits(hashes: np.ndarray) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
 
 
-def signature(hashes: np.ndarray, sketches: int) -> bytes:
-    """``sketches`` independent 32-bit majority sketches of the same shingles, as bytes."""
+def signature(hashes: np.ndarray) -> list[int]:
+    """Independent majority sketches of the same shingles, two to a signed 64-bit number."""
     words = []
-    for k in range((sketches + 1) // 2):
+    for k in range(SKETCHES // 2):
         mixed = hashes + np.uint64((k + 1) * 0x9E3779B97F4A7C15 % 2**64)
         mixed = (mixed ^ (mixed >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         mixed = (mixed ^ (mixed >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
         words.append(majority_bits(mixed ^ (mixed >> np.uint64(31))))
-    return np.array(words, ">u8").tobytes()[: 4 * sketches]
+    return np.array(words, np.uint64).view(np.int64).tolist()
 
 
 def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -223,39 +224,42 @@ def shard_links(
     return forest
 
 
-def vp_links(nodes: DataFrame, count: int, radius: int, unlike_bits: int | None = None) -> DataFrame:
-    """Links (a, b) among ``nodes`` (family, code, node, signature) of a family within ``radius``.
+def vp_links(
+    nodes: DataFrame, count: int, radius: int, marks: list[str] = (), unlike_bits: int = 0
+) -> DataFrame:
+    """Links (a, b) among ``nodes`` (family, code, node) of a family within ``radius``.
 
-    ``count`` is the number of nodes of a family.  With ``unlike_bits``, a pair is linked only if
-    its signatures differ in no more bits.
+    ``count`` is the number of nodes of a family.  With ``marks``, 64-bit columns that make up a
+    signature, a pair is linked only if its signatures differ in at most ``unlike_bits`` bits.
     """
+    kept = ["family", "code", "node", *marks]
     depth = max(0, math.ceil(math.log2(max(1, count / SHARD))))
     few = nodes.orderBy(F.xxhash64("code", "family")).limit(SAMPLE).select("code").toPandas()
     tree = _top_tree(np.unique(few["code"].to_numpy().view(np.uint64)), depth, [0])
-    routed = StructType.fromDDL("family int, shard int, home boolean, code bigint, node bigint, signature binary")
+    routed = StructType.fromDDL(
+        "family int, shard int, home boolean, " + ", ".join(f"{c} bigint" for c in kept[1:])
+    )
 
     def route(batch: pa.RecordBatch) -> dict:
         columns = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
         codes = columns["code"].to_numpy().view(np.uint64)
         parts = _route(tree, codes, radius)
         places = np.concatenate([p for _, p, _ in parts]) if parts else np.zeros(0, np.int64)
-        taken = {n: columns[n].take(pa.array(places)) for n in ("family", "code", "node", "signature")}
+        taken = {n: columns[n].take(pa.array(places)) for n in kept}
         return taken | {
             "shard": np.concatenate([np.full(len(p), s) for s, p, _ in parts]) if parts else [],
             "home": np.concatenate([h for _, _, h in parts]) if parts else [],
         }
 
     def link(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        bits = None
-        if unlike_bits is not None:
-            bits = np.frombuffer(b"".join(frame["signature"]), np.uint32).reshape(len(frame), -1)
+        bits = frame[list(marks)].to_numpy().view(np.uint64) if marks else None
         node = frame["node"].to_numpy()
         codes, home = frame["code"].to_numpy().view(np.uint64), frame["home"].to_numpy()
-        found = shard_links(codes, home, radius, bits, unlike_bits or 0)
+        found = shard_links(codes, home, radius, bits, unlike_bits)
         pairs = np.array(found, np.int64).reshape(-1, 2)
         return pd.DataFrame({"a": node[pairs[:, 0]], "b": node[pairs[:, 1]]})
 
-    spread = over_batches(nodes, route, routed, rows=20_000)
+    spread = over_batches(nodes.select(*kept), route, routed, rows=20_000)
     return spread.groupBy("family", "shard").applyInPandas(link, "a bigint, b bigint")
 
 
@@ -284,9 +288,8 @@ def op3_simhash(docs: DataFrame) -> DataFrame:
     marked = stored(fingerprints(docs), "fingerprints")
     distinct = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
     nodes = distinct.select(
-        F.lit(0).alias("family"), F.col("fp").alias("code"), F.col("fp").alias("node"),
-        F.lit(None).cast("binary").alias("signature"),
-    )
+        F.lit(0).alias("family"), F.col("fp").alias("code"), F.col("fp").alias("node")
+    )
     found = components(vp_links(nodes, distinct.count(), RADIUS))
     named = distinct.join(found, distinct.fp == found.node, "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root")
@@ -327,16 +330,19 @@ def near_duplicates(docs: DataFrame, likeness: float = 0.8, words: int = 5, unli
     texts = _texts(docs)
 
     def work(batch: pa.RecordBatch) -> dict:
-        marks = [signature(shingle_hashes(t, WORDS), SKETCHES) for t in batch.column(1).to_pylist()]
-        return {"node": batch.column(0), "signature": marks}
+        found = [signature(shingle_hashes(t, WORDS)) for t in batch.column(1).to_pylist()]
+        columns = np.array(found, np.int64).reshape(-1, len(marks))
+        return {"node": batch.column(0)} | {m: columns[:, i] for i, m in enumerate(marks)}
 
-    marked = over_batches(texts, work, StructType.fromDDL("node bigint, signature binary"))
-    distinct = stored(marked.groupBy("node").agg(F.min("signature").alias("signature")), "signatures")
-    code = F.conv(F.substring(F.hex("signature"), F.col("family") * 8 + 1, F.lit(SKETCH_BITS // 4)), 16, 10)
-    nodes = distinct.select(
-        F.explode(F.sequence(F.lit(0), F.lit(SKETCHES - 1))).alias("family"), "node", "signature"
-    ).select("family", code.cast("bigint").alias("code"), "node", "signature")
-    found = vp_links(nodes, distinct.count(), RADIUS, int(unlike * 32 * SKETCHES))
+    marks = [f"mark{k}" for k in range(SKETCHES // 2)]
+    marked = over_batches(
+        texts, work, StructType.fromDDL("node bigint, " + ", ".join(f"{m} bigint" for m in marks))
+    )
+    distinct = stored(marked.groupBy("node").agg(*[F.min(m).alias(m) for m in marks]), "signatures")
+    mask = F.lit((1 << SKETCH_BITS) - 1)
+    codes = [F.shiftrightunsigned(m, shift).bitwiseAND(mask) for m in marks for shift in (0, 32)]
+    nodes = distinct.select(F.posexplode(F.array(*codes)).alias("family", "code"), "node", *marks)
+    found = vp_links(nodes, distinct.count(), RADIUS, marks, int(unlike * 32 * SKETCHES))
     pairs = stored(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
     # Only the linked texts are shuffled, one row for each, to be compared whole.
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
@@ -355,14 +361,16 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """
     columns = docs.columns
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.xxhash64(text).alias("text_hash"), F.struct(*columns).alias("row"))
-    # First one row per text, which combines before the shuffle: (id, row) of the smallest id.
-    slim = docs.select(F.xxhash64(text).alias("text_hash"), F.col("doc_id").isNull().alias("no_id"), "doc_id")
-    firsts = slim.groupBy("text_hash").agg(F.min(F.struct("no_id", "doc_id", "text_hash")).alias("first"))
+    key = [F.xxhash64(text).alias("text_hash"), F.xxhash64(F.col("doc_id").isNull(), "doc_id").alias("id_hash")]
+    slim = docs.select(*key, F.col("doc_id").isNull().alias("no_id"), "doc_id")
+    firsts = slim.groupBy("text_hash").agg(F.min(F.struct("no_id", "doc_id", "text_hash", "id_hash")).alias("first"))
     named = firsts.join(near_duplicates(docs), "text_hash", "left").withColumn("root", F.coalesce("root", "text_hash"))
-    kept = stored(named.groupBy("root").agg(F.min("first").alias("first")).select("first.*"), "kept-documents")
-    match = (rows.text_hash == kept.text_hash) & rows.row.doc_id.eqNullSafe(kept.doc_id)
-    once = rows.join(kept, match, "left_semi")
-    # Rows alike in id and text are one document as well.
-    copy = Window.partitionBy("text_hash", "row.doc_id").orderBy("text_hash")
+    kept = stored(
+        named.groupBy("root").agg(F.min("first").alias("first")).select("first.text_hash", "first.id_hash"),
+        "kept-documents",
+    )
+    rows = docs.select(*key, F.struct(*columns).alias("row"))
+    once = rows.join(kept.hint("shuffle_hash"), ["text_hash", "id_hash"], "left_semi")
+    # Rows alike in id and text are one document as well; they lie together already.
+    copy = Window.partitionBy("text_hash", "id_hash").orderBy("text_hash")
     return once.withColumn("copy", F.row_number().over(copy)).where("copy = 1").select("row.*")
