@@ -2,8 +2,8 @@
 
 Each five-word shingle is hashed once.  The top bits of the hash name one of ``BINS`` bins, and a bin
 keeps its smallest hash.  An empty bin takes the value of a filled one: every bin has its own random
-order of the others, and the first filled one in that order is copied, so two texts that share a
-filled bin early in the order agree.  Of each value, the low ``BITS`` bits are stored, two hexadecimal
+sequence of bins, and the first filled one in it is copied, so two texts that share a bin early in
+the sequence agree.  Of each value, the low ``BITS`` bits are stored, two hexadecimal
 digits per bin.  Unlike values agree in those bits by chance once in 2^BITS, which the likeness
 takes off again.
 
@@ -26,6 +26,8 @@ from evalmill.llm.common import row_key
 WORDS = 5
 BINS_LOG2, BITS = 7, 8
 BINS = 1 << BINS_LOG2
+#: Random bins that an empty bin asks before it orders all filled ones.
+ASKED = 4
 WORD = r"[\p{L}\p{N}]+"
 
 
@@ -52,18 +54,23 @@ def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
     first_of_bin = F.filter(
         sorted_, lambda h, i: (i == 0) | (_bin(h) != _bin(F.get(sorted_, i - 1)))
     )
-    held = F.col(f"{t}held")
+    held, slots = F.col(f"{t}held"), F.col(f"{t}slots")
     bins = F.sequence(F.lit(0), F.lit(BINS - 1))
 
-    def densified(b: Column) -> Column:
-        choice = F.array_min(F.transform(mins, lambda h: F.struct(F.xxhash64(b, _bin(h)).alias("at"), h.alias("h"))))
-        return F.coalesce(F.element_at(held, b), choice["h"])
+    def densified(own: Column, b: Column) -> Column:
+        # The bins that an empty one asks in turn; then all filled ones, in a random order of its own.
+        asked = [F.get(slots, F.pmod(F.xxhash64(b, F.lit(k)), F.lit(BINS)).cast("int")) for k in range(ASKED)]
+        places = F.transform(
+            F.map_keys(held), lambda j: F.xxhash64(b, j).bitwiseAND(F.lit(-BINS)).bitwiseOR(j.cast("bigint"))
+        )
+        first = F.array_min(places).bitwiseAND(F.lit(BINS - 1)).cast("int")
+        return F.coalesce(own, *asked, F.get(slots, first))
 
     def low_bits(h: Column, b: Column) -> Column:
         # Hashed with the bin, so that the copies of one value differ from bin to bin.
         return F.xxhash64(h, b).bitwiseAND(F.lit((1 << BITS) - 1))
 
-    dense = F.when(F.size(mins) == BINS, mins).otherwise(F.transform(bins, densified))
+    dense = F.when(F.size(mins) == BINS, mins).otherwise(F.transform(slots, densified))
     packed = F.array_join(
         F.transform(F.col(f"{t}dense"), lambda h, b: F.lpad(F.lower(F.hex(low_bits(h, b))), BITS // 4, "0")), ""
     )
@@ -76,9 +83,10 @@ def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
         .withColumn(f"{t}sorted", F.sort_array(shingles))
         .withColumn(f"{t}mins", first_of_bin)
         .withColumn(f"{t}held", F.map_from_arrays(F.transform(mins, _bin), mins))
+        .withColumn(f"{t}slots", F.transform(bins, lambda b: F.element_at(held, b)))
         .withColumn(f"{t}dense", dense)
         .withColumn(out, F.when(F.size(mins) > 0, packed).otherwise(F.lit("")))
-        .drop(*[f"{t}{c}" for c in ("words", "one", "two", "four", "sorted", "mins", "held", "dense")])
+        .drop(*[f"{t}{c}" for c in ("words", "one", "two", "four", "sorted", "mins", "held", "slots", "dense")])
     )
 
 
