@@ -8,8 +8,8 @@ n-gram, and further ones only where that was never seen.  The language of the lo
 length-normalised cross-entropy wins.
 
 Rejection and confidence are calibrated on labelled texts kept out of the counts: a text is
-rejected if its cross-entropy lies further above its language's mean than any of them did, allowing
-for its length, and the score is a softmax of the log likelihoods at the temperature that fits them.
+rejected if its cross-entropy lies further above its language's mean than nearly all of them did,
+allowing for its length, and the score is a softmax of the log likelihoods at the temperature that fits them.
 
 Null texts and texts without a letter are ``und`` with score 0 and are rejected.  Rows with a null
 language are not learned from.  A table without any labelled text leaves every text ``und``.
@@ -36,9 +36,9 @@ SAMPLE_TEXTS = 1500
 SAMPLE_GRAMS = 400_000
 #: One in so many sample texts calibrates instead of being counted.
 CALIBRATION = 5
-#: Rejection: allowed excess over the calibration texts' largest standardised cross-entropy, and a
-#: floor in nats per letter, so that unusual but clean texts stay.
-SLACK, FLOOR = 1.5, 1.0
+#: Rejection: allowed multiple of the standardised cross-entropy that this share of the calibration
+#: texts stays below, and a floor in nats per letter, so that unusual but clean texts stay.
+COVERED, SLACK, FLOOR = 0.99, 1.5, 1.0
 UNKNOWN = "und"
 BLANK = 32
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -103,7 +103,7 @@ class Model:
     keys: list[np.ndarray]
     logp: list[np.ndarray]
     backoff: list[np.ndarray]
-    floor: float
+    floor: np.ndarray
     mean: np.ndarray
     spread: np.ndarray
     limit: np.ndarray
@@ -169,7 +169,7 @@ def _sums(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return distinct, np.bincount(place, values, len(distinct))
 
 
-def _smoothed(counts: dict[str, np.ndarray]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def _smoothed(counts: dict[str, np.ndarray], symbols_known: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Interpolated Kneser-Ney of one language: per order hashes, probabilities, contexts, weights.
 
     ``counts`` holds a row per longest n-gram: the hashes of its suffixes of every order (``s1`` to
@@ -194,7 +194,8 @@ def _smoothed(counts: dict[str, np.ndarray]) -> list[tuple[np.ndarray, np.ndarra
         kinds = np.bincount(place)
         weight = discount * kinds / total
         if lower is None:
-            base = np.full(len(gram), 1.0 / (len(gram) + 1))
+            # Uniform over the symbols of all languages and one more, for those never seen.
+            base = np.full(len(gram), 1.0 / (symbols_known + 1))
         else:
             base = lower[1][np.searchsorted(lower[0], counts[f"s{order - 1}"][first])]
         probability = np.maximum(count - discount, 0) / total[place] + weight[place] * base
@@ -207,9 +208,10 @@ def _smoothed(counts: dict[str, np.ndarray]) -> list[tuple[np.ndarray, np.ndarra
 def _model(counts: dict[str, dict[str, np.ndarray]]) -> Model:
     """One shared set of n-grams with every language's log probabilities."""
     languages = sorted(counts)
-    parts = [_smoothed(counts[lang]) for lang in languages]
+    known = len(set().union(*[np.unique(counts[lang]["s1"]).tolist() for lang in languages])) if languages else 0
+    parts = [_smoothed(counts[lang], known) for lang in languages]
     keys, logp, backoff = [], [], []
-    floor = np.log(1e-7)
+    floor = np.log([part[0][3][0] / (known + 1) for part in parts])
     for order in range(1, ORDER + 1):
         key = np.unique(np.concatenate([p[order - 1][0] for p in parts])) if parts else np.zeros(0, np.uint64)
         # The hash of each n-gram's suffix and context, one order below.
@@ -222,7 +224,7 @@ def _model(counts: dict[str, dict[str, np.ndarray]]) -> Model:
         for column, part in enumerate(parts):
             gram, probability, contexts, weight = part[order - 1]
             if order == 1:
-                table[:, column] = np.log(1.0 / (len(gram) + 1) / 10)
+                table[:, column] = floor[column]
             else:
                 below = logp[-1][np.searchsorted(keys[-1], shorter[0]), column]
                 at = np.minimum(np.searchsorted(contexts, shorter[1]), len(contexts) - 1)
@@ -239,7 +241,7 @@ def _model(counts: dict[str, dict[str, np.ndarray]]) -> Model:
         logp.append(table)
         backoff.append(weights)
     n = len(languages)
-    return Model(languages, keys, logp, backoff, float(floor), np.zeros(n), np.ones(n), np.full(n, np.inf), 1.0)
+    return Model(languages, keys, logp, backoff, floor, np.zeros(n), np.ones(n), np.full(n, np.inf), 1.0)
 
 
 def _gram_counts(texts: list[str | None]) -> dict[str, np.ndarray]:
@@ -339,7 +341,7 @@ def _calibrate(model: Model, held_out: DataFrame) -> None:
         model.mean[i] = np.average(own[mine], weights=sizes[mine])
         standard = (own[mine] - model.mean[i]) * np.sqrt(sizes[mine])
         model.spread[i] = max(float(np.sqrt(np.mean(standard**2))), 1e-6)
-        model.limit[i] = max(float(standard.max() / model.spread[i]), 3.0) * SLACK
+        model.limit[i] = max(float(np.quantile(standard, COVERED) / model.spread[i]), 3.0) * SLACK
     best = None
     for temperature in (1.0, 2.0, 4.0, 8.0, 16.0, 32.0, 64.0):
         scaled = sums / temperature
