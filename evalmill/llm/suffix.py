@@ -134,7 +134,8 @@ def parse(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
             rolling = Rolling(data)
             position, mark, first, last = triggers(rolling, length, gram)
             around = contexts(rolling, first, last, position, length)
-            for part, values in zip(parts, (np.full(len(position), row), mark.view(np.int64), around.view(np.int64), position, first, last)):
+            found = (np.full(len(position), row), mark.view(np.int64), around.view(np.int64), position, first, last)
+            for part, values in zip(parts, found):
                 part.append(values)
         names = ("row", "trigger", "context", "place", "first", "last")
         return {n: np.concatenate(p) if p else [] for n, p in zip(names, parts)}
@@ -143,16 +144,28 @@ def parse(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     return over_batches(docs.select("row", "text"), work, schema, rows=128)
 
 
+def dictionary(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """trigger and n, how often it occurs in ``docs`` (text)."""
+
+    def work(batch: pa.RecordBatch) -> dict:
+        marks = [triggers(Rolling(d), length, gram)[1] for d in map(_bytes, batch.column(0).to_pylist()) if len(d) >= length]
+        mark, count = np.unique(np.concatenate(marks), return_counts=True) if marks else ([], [])
+        return {"trigger": np.asarray(mark, np.uint64).view(np.int64), "n": count}
+
+    found = over_batches(docs.select("text"), work, StructType.fromDDL("trigger bigint, n bigint"))
+    return found.groupBy("trigger").agg(F.sum("n").alias("n"))
+
+
 def repeated_strings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """For each row of ``docs`` (row, text) with any: row, and the runs of starts of repeated strings.
 
     A run is (first, last, mark): all strings that start there; ``mark`` is a hash of what they
     cover, by which a reader can tell a row's own runs.
     """
-    seen = stored(parse(docs, length, gram), "parse")
-    repeated = seen.groupBy("trigger").agg(F.count("*").alias("n")).where("n > 1").select("trigger")
+    # The texts are read again for the parse: that is less than to keep all triggers until then.
+    repeated = stored(dictionary(docs, length, gram).where("n > 1").select("trigger"), "dictionary")
     # A join on a set of hashes: building its side is cheaper than sorting all triggers.
-    several = stored(seen.join(repeated.hint("shuffle_hash"), "trigger"), "repeated-triggers")
+    several = stored(parse(docs, length, gram).join(repeated.hint("shuffle_hash"), "trigger"), "parse")
     one = F.struct("row", "place", "first", "last")
     classes = stored(
         several.groupBy("context", "trigger").agg(F.count("*").alias("n"), F.min(one).alias("one")), "contexts"
@@ -177,9 +190,11 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     schema = StructType.fromDDL("row bigint, start int, string bigint")
     compared = stored(over_batches(to_compare.select("row", "text", "runs"), strings, schema, rows=128), "strings")
     equal = compared.groupBy("string").agg(F.count("*").alias("n")).where("n > 1").select("string")
+    equal = stored(equal, "repeated-strings")
     single = compared.join(equal.hint("shuffle_hash"), "string").select(
         "row", F.col("start").alias("first"), F.col("start").alias("last"), F.col("string").alias("mark")
     )
+    single = stored(single, "single-runs")
     copied = classes.where("n > 1").select("context", "trigger")
     whole = several.join(copied.hint("shuffle_hash"), ["context", "trigger"]).select(
         "row", "first", "last", F.col("context").alias("mark")
