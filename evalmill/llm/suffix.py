@@ -37,7 +37,7 @@ from pyspark.sql.types import StructType
 from evalmill.llm.common import over_batches, stored
 
 #: Length of the repeated strings, and of the grams that the rolling hash covers.
-LENGTH, GRAM = 200, 96
+LENGTH, GRAM = 200, 128
 #: Bytes of a text whose triggers are found at a time.
 CHUNK = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
