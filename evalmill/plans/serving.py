@@ -88,7 +88,9 @@ def request_params(
         *[F.max(F.when(F.col("key") == n, last)).alias(f"_given_{n}") for n in names],
     )
     joined = base.drop("unread").join(folded, "req_id", "left")
-    values = {n: F.try_parse_json(F.col(f"_given_{n}.json")) for n in names}
+    parsed = {f"_value_{n}": F.try_parse_json(F.col(f"_given_{n}.json")) for n in names}
+    joined = computed_once(joined, parsed)
+    values = {n: F.col(f"_value_{n}") for n in names}
     unread = F.concat_ws(
         "; ",
         *[
