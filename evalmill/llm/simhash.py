@@ -15,8 +15,11 @@ folder.
 ``op3_simhash``: 64 bits of three-word shingles, links at two bits, as its contract says.
 ``near_duplicates``: for a similarity over five words of 0.8, 64-bit fingerprints of such texts lie
 up to 14 bits apart, where no tree can prune.  There, each text has ten independent sketches of 28
-bits.  Texts of which one sketch lies within two bits are compared by all their bits; of those that
-may be similar, each shard's forest of the closest pairs is compared exactly, by whole texts.
+bits.  Texts of which one sketch lies within two bits are compared by all their bits; those that may
+be similar are candidates.  First each shard's forest of the closest candidates is compared exactly,
+by whole texts.  A forest that fails there says nothing of the candidates it left out, so where it
+did, candidates between parts that are not linked yet are compared as well, the closest of each text
+first and more in each round, until none is left.
 
 Null and empty texts, and those without words, have fingerprint zero.  Null ids never become a
 component's name unless all its ids are null.  Repeated rows share a fingerprint and so a component.
@@ -42,6 +45,8 @@ WORDS, RADIUS = 3, 2
 SHARD, LEAF, SAMPLE = 250_000, 96, 16_384
 #: Near-duplicates: sketches per text, bits of each, and the share of unlike bits that still links.
 SKETCHES, SKETCH_BITS, UNLIKE = 10, 28, 0.18
+#: Candidates of a text that the first round after the forest compares, and the growth by round.
+CLOSEST, GROWTH = 4, 8
 
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -184,14 +189,40 @@ def _leaf_links(
     return out
 
 
-def shard_links(
-    codes: np.ndarray, home: np.ndarray, radius: int, bits: np.ndarray | None = None, unlike: int = 0
-) -> list[tuple[int, int]]:
-    """Links among a shard's fingerprints over their places: a forest of the closest pairs.
+def _leaf_open(
+    codes: np.ndarray, bits: np.ndarray, members: np.ndarray, visitors: np.ndarray, radius: int, unlike: int,
+    part: np.ndarray, rest: np.ndarray, closest: int,
+) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Candidates (owner, other) of a leaf between different parts, and whether any were left out.
 
-    With ``bits``, signatures, a pair is linked only if they differ in at most ``unlike`` bits.
+    Each owner, a text outside its group's largest part, keeps the ``closest`` of them.
     """
-    found_links: list[tuple[int, int, int]] = []
+    queries = np.concatenate([members, visitors])
+    block = max(1, (1 << 18) // len(members))
+    owner, other, apart, more = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), False
+    for at in range(0, len(queries), block):
+        some = queries[at : at + block]
+        near = np.bitwise_count(codes[some][:, None] ^ codes[members][None, :]) <= radius
+        rows, columns = np.nonzero(near & (part[some][:, None] != part[members][None, :]))
+        once = (rows + at >= len(members)) | (columns < rows + at)
+        x, y = some[rows[once]], members[columns[once]]
+        gap = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64)
+        x, y, gap = x[gap <= unlike], y[gap <= unlike], gap[gap <= unlike]
+        if not len(x):
+            continue
+        owner = np.concatenate([owner, np.where(rest[x], x, y)])
+        other = np.concatenate([other, np.where(rest[x], y, x)])
+        apart = np.concatenate([apart, gap])
+        order = np.lexsort((other, apart, owner))
+        owner, other, apart = owner[order], other[order], apart[order]
+        kept = np.arange(len(owner)) - np.searchsorted(owner, owner) < closest
+        more = more or not kept.all()
+        owner, other, apart = owner[kept], other[kept], apart[kept]
+    return owner, other, more
+
+
+def _leaves(codes: np.ndarray, home: np.ndarray, radius: int):
+    """(members, visitors) of every leaf of a shard's own tree."""
     stack = [(np.flatnonzero(home), np.flatnonzero(~home), 0)]
     while stack:
         members, visitors, depth = stack.pop()
@@ -199,7 +230,7 @@ def shard_links(
             continue
         found = _split(codes[members], depth) if len(members) > LEAF else None
         if found is None:
-            found_links += _leaf_links(codes, bits, members, visitors, radius, unlike)
+            yield members, visitors
             continue
         point, edge = found
         near = np.bitwise_count(codes[members] ^ point).astype(int)
@@ -207,6 +238,18 @@ def shard_links(
         crossing = members[(near <= edge) & (near > edge - radius)]
         stack.append((members[near <= edge], visitors[far <= edge + radius], depth + 1))
         stack.append((members[near > edge], np.concatenate([visitors[far > edge - radius], crossing]), depth + 1))
+
+
+def shard_links(
+    codes: np.ndarray, home: np.ndarray, radius: int, bits: np.ndarray | None = None, unlike: int = 0
+) -> list[tuple[int, int]]:
+    """Links among a shard's fingerprints over their places: a forest of the closest pairs.
+
+    With ``bits``, signatures, a pair is linked only if they differ in at most ``unlike`` bits.
+    """
+    found_links: list[tuple[int, int, int]] = []
+    for members, visitors in _leaves(codes, home, radius):
+        found_links += _leaf_links(codes, bits, members, visitors, radius, unlike)
     parent: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -225,14 +268,17 @@ def shard_links(
 
 
 def vp_links(
-    nodes: DataFrame, count: int, radius: int, marks: list[str] = (), unlike_bits: int = 0
+    nodes: DataFrame, count: int, radius: int, marks: list[str] = (), unlike_bits: int = 0, closest: int = 0
 ) -> DataFrame:
     """Links (a, b) among ``nodes`` (family, code, node) of a family within ``radius``.
 
     ``count`` is the number of nodes of a family.  With ``marks``, 64-bit columns that make up a
     signature, a pair is linked only if its signatures differ in at most ``unlike_bits`` bits.
+    With ``closest``, nodes have a ``part`` and ``rest`` (0 in their group's largest part, else 1):
+    instead of a forest come the ``closest`` pairs of each node that join two parts, and ``more``,
+    whether there are others.
     """
-    kept = ["family", "code", "node", *marks]
+    kept = ["family", "code", "node", *marks, *(["part", "rest"] if closest else [])]
     depth = max(0, math.ceil(math.log2(max(1, count / SHARD))))
     few = nodes.orderBy(F.xxhash64("code", "family")).limit(SAMPLE).select("code").toPandas()
     tree = _top_tree(np.unique(few["code"].to_numpy().view(np.uint64)), depth, [0])
@@ -255,12 +301,23 @@ def vp_links(
         bits = frame[list(marks)].to_numpy().view(np.uint64) if marks else None
         node = frame["node"].to_numpy()
         codes, home = frame["code"].to_numpy().view(np.uint64), frame["home"].to_numpy()
+        if closest:
+            part, rest = frame["part"].to_numpy(), frame["rest"].to_numpy() > 0
+            leaves = [
+                _leaf_open(codes, bits, m, v, radius, unlike_bits, part, rest, closest)
+                for m, v in _leaves(codes, home, radius)
+            ]
+            a, b = (np.concatenate([np.zeros(0, np.int64), *(x[i] for x in leaves)]) for i in (0, 1))
+            more = np.repeat(np.array([x[2] for x in leaves], bool), [len(x[0]) for x in leaves])
+            return pd.DataFrame({"a": node[a], "b": node[b], "more": more})
         found = shard_links(codes, home, radius, bits, unlike_bits)
         pairs = np.array(found, np.int64).reshape(-1, 2)
         return pd.DataFrame({"a": node[pairs[:, 0]], "b": node[pairs[:, 1]]})
 
     spread = over_batches(nodes.select(*kept), route, routed, rows=20_000)
-    return spread.groupBy("family", "shard").applyInPandas(link, "a bigint, b bigint")
+    return spread.groupBy("family", "shard").applyInPandas(
+        link, "a bigint, b bigint" + (", more boolean" if closest else "")
+    )
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -321,11 +378,36 @@ def _similar(pairs: DataFrame, least: float, words: int) -> DataFrame:
     return over_batches(pairs, work, StructType.fromDDL("a bigint, b bigint"), rows=64)
 
 
+def _checked(texts: DataFrame, pairs: DataFrame, likeness: float, words: int) -> DataFrame:
+    """The pairs (a, b) whose whole texts have at least that likeness."""
+    # Only the linked texts are shuffled, one row for each, to be compared whole.
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    held = stored(texts.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("text").alias("text")), "linked-texts")
+    both = pairs.join(held.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
+    both = both.join(held.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+    return stored(_similar(both.select("a", "b", "text_a", "text_b"), likeness, words), "similar")
+
+
+def _open_nodes(grouped: DataFrame, links: DataFrame) -> DataFrame:
+    """node, part and rest of the nodes whose group of candidates is not one part by its links."""
+    named = grouped.join(components(links), "node", "left").select(
+        "node", "group", F.coalesce("root", "node").alias("part")
+    )
+    named = stored(named, "parts")
+    sizes = named.groupBy("group", "part").agg(F.count("*").alias("n"))
+    # The one pair of a group of two was compared already.
+    groups = sizes.groupBy("group").agg(
+        F.max(F.struct("n", "part")).alias("largest"), F.count("*").alias("parts"), F.sum("n").alias("n")
+    ).where("parts > 1 and n > 2")
+    rest = (F.col("part") != F.col("largest.part")).cast("bigint").alias("rest")
+    return stored(named.join(groups, "group").select("node", "part", rest), "open-nodes")
+
+
 def near_duplicates(docs: DataFrame, likeness: float = 0.8, words: int = 5, unlike: float = UNLIKE) -> DataFrame:
     """For each distinct text that is linked to another: text_hash and root, its group's least hash.
 
-    Sketches find candidates, the closest ones of each shard; a link holds if the shingles of
-    ``words`` words of the two texts have at least that Jaccard likeness.
+    Sketches find candidates; a link holds if the shingles of ``words`` words of the two texts have
+    at least that Jaccard likeness.  At the end each candidate was compared or lies in one group.
     """
     texts = _texts(docs)
 
@@ -341,15 +423,25 @@ def near_duplicates(docs: DataFrame, likeness: float = 0.8, words: int = 5, unli
     distinct = stored(marked.groupBy("node").agg(*[F.min(m).alias(m) for m in marks]), "signatures")
     mask = F.lit((1 << SKETCH_BITS) - 1)
     codes = [F.shiftrightunsigned(m, shift).bitwiseAND(mask) for m in marks for shift in (0, 32)]
-    nodes = distinct.select(F.posexplode(F.array(*codes)).alias("family", "code"), "node", *marks)
-    found = vp_links(nodes, distinct.count(), RADIUS, marks, int(unlike * 32 * SKETCHES))
-    pairs = stored(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    # Only the linked texts are shuffled, one row for each, to be compared whole.
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    held = stored(texts.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("text").alias("text")), "linked-texts")
-    both = pairs.join(held.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-    both = both.join(held.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-    links = _similar(both.select("a", "b", "text_a", "text_b"), likeness, words)
+    families = F.posexplode(F.array(*codes)).alias("family", "code")
+    most = int(unlike * 32 * SKETCHES)
+    ends = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
+    found = vp_links(distinct.select(families, "node", *marks), distinct.count(), RADIUS, marks, most)
+    pairs = stored(found.select(*ends).distinct(), "pairs")
+    links = _checked(texts, pairs, likeness, words)
+    grouped = stored(components(pairs).withColumnRenamed("root", "group"), "candidate-groups")
+    compared, closest, more = pairs, CLOSEST, True
+    while more:
+        still = _open_nodes(grouped, links)
+        if not (count := still.count()):
+            break
+        nodes = distinct.join(still, "node").select(families, "node", *marks, "part", "rest")
+        found = vp_links(nodes, count, RADIUS, marks, most, closest)
+        found = stored(found.select(*ends, "more").groupBy("a", "b").agg(F.max("more").alias("more")), "candidates")
+        more = found.where("more").limit(1).count() > 0
+        fresh = stored(found.select("a", "b").join(compared, ["a", "b"], "left_anti"), "pairs")
+        links = links.union(_checked(texts, fresh, likeness, words))
+        compared, closest = compared.union(fresh), closest * GROWTH
     return components(links).withColumnRenamed("node", "text_hash")
 
 
