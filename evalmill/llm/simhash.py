@@ -14,7 +14,7 @@ folder.
 
 ``op3_simhash``: 64 bits of three-word shingles, links at two bits, as its contract says.
 ``near_duplicates``: for a similarity over five words of 0.8, 64-bit fingerprints of such texts lie
-up to 14 bits apart, where no tree can prune.  There, each text has ten independent sketches of 28
+up to 14 bits apart, where no tree can prune.  There, each text has twelve independent sketches of 28
 bits.  Texts of which one sketch lies within two bits are compared by all their bits; those that may
 be similar are candidates.  First each shard's forest of the closest candidates is compared exactly,
 by whole texts.  A forest that fails there says nothing of the candidates it left out, so where it
@@ -44,7 +44,7 @@ WORDS, RADIUS = 3, 2
 #: are few), those in a leaf of its tree, and the sample that the shards' tree takes.
 SHARD, LEAF, SAMPLE = 250_000, 96, 16_384
 #: Near-duplicates: sketches per text, bits of each, and the share of unlike bits that still links.
-SKETCHES, SKETCH_BITS, UNLIKE = 10, 28, 0.18
+SKETCHES, SKETCH_BITS, UNLIKE = 12, 28, 0.18
 #: Candidates of a text that the first round after the forest compares, and the growth by round.
 CLOSEST, GROWTH = 4, 8
 
@@ -91,6 +91,11 @@ def signature(hashes: np.ndarray) -> list[int]:
     return np.array(words, np.uint64).view(np.int64).tolist()
 
 
+def sketch(bits: np.ndarray, family: int) -> np.ndarray:
+    """The code of every signature (a row of ``bits``) in that family."""
+    return bits[:, family // 2] >> np.uint64(32 * (family % 2)) & np.uint64((1 << SKETCH_BITS) - 1)
+
+
 def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """doc_id and fp, the fingerprint as a signed 64-bit number."""
     source = docs.select("doc_id", F.col("text").cast("string").alias("text"))
@@ -279,11 +284,13 @@ def vp_links(
     whether there are others.
     """
     kept = ["family", "code", "node", *marks, *(["part", "rest"] if closest else [])]
+    # A sketch is bits of its signature, which travels anyway.
+    sent = [c for c in kept if c != "code"] if marks else kept
     depth = max(0, math.ceil(math.log2(max(1, count / SHARD))))
     few = nodes.orderBy(F.xxhash64("code", "family")).limit(SAMPLE).select("code").toPandas()
     tree = _top_tree(np.unique(few["code"].to_numpy().view(np.uint64)), depth, [0])
     routed = StructType.fromDDL(
-        "family int, shard int, home boolean, " + ", ".join(f"{c} bigint" for c in kept[1:])
+        "family int, shard int, home boolean, " + ", ".join(f"{c} bigint" for c in sent[1:])
     )
 
     def route(batch: pa.RecordBatch) -> dict:
@@ -291,7 +298,7 @@ def vp_links(
         codes = columns["code"].to_numpy().view(np.uint64)
         parts = _route(tree, codes, radius)
         places = np.concatenate([p for _, p, _ in parts]) if parts else np.zeros(0, np.int64)
-        taken = {n: columns[n].take(pa.array(places)) for n in kept}
+        taken = {n: columns[n].take(pa.array(places)) for n in sent}
         return taken | {
             "shard": np.concatenate([np.full(len(p), s) for s, p, _ in parts]) if parts else [],
             "home": np.concatenate([h for _, _, h in parts]) if parts else [],
@@ -300,7 +307,7 @@ def vp_links(
     def link(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         bits = frame[list(marks)].to_numpy().view(np.uint64) if marks else None
         node = frame["node"].to_numpy()
-        codes, home = frame["code"].to_numpy().view(np.uint64), frame["home"].to_numpy()
+        codes, home = sketch(bits, int(key[0])) if marks else frame["code"].to_numpy().view(np.uint64), frame["home"].to_numpy()
         if closest:
             part, rest = frame["part"].to_numpy(), frame["rest"].to_numpy() > 0
             leaves = [

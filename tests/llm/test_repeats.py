@@ -177,6 +177,13 @@ def test_near_duplicates_are_all_candidates_that_hold(spark, monkeypatch, closes
     assert kept == {root(i) for i in range(len(texts))}
 
 
+def test_signatures_hold_twelve_sketches():
+    marks = np.array([simhash.signature(simhash.shingle_hashes(f"a b c d {n}", 3)) for n in range(50)], np.int64).view(np.uint64)
+    codes = [simhash.sketch(marks, k) for k in range(simhash.SKETCHES)]
+    assert len(codes) == 12 and all(len(np.unique(c)) > 1 and c.max() < 1 << 28 for c in codes)
+    assert len(np.unique(np.stack(codes), axis=0)) == 12
+
+
 def test_near_duplicate_edges(odd):
     kept = simhash.drop_near_duplicates(odd)
     assert kept.columns == odd.columns
