@@ -204,6 +204,18 @@ def test_page_template_takes_out_boilerplate(spark):
     assert texts == {i: f"text of page {i}" for i in range(12)} | {50: "Our shop\n\nalone"}
 
 
+def test_copies_and_shared_passages_are_no_template(spark):
+    """A third of a host's unmarked pages are copies; a third of another's hold one passage."""
+    page = lambda *t: "<div id=top>Our shop</div>" + "".join(f"<p>{x}</p>" for x in t) + "<div id=end>About us</div>"
+    own = lambda i: [f"first of {i}", f"second of {i}"]
+    bodies = {i: ["copied one", "copied two"] if i < 10 else own(i) for i in range(30)}
+    bodies |= {i: [*own(i), "shared one", "shared two"] if i < 110 else own(i) for i in range(100, 130)}
+    bodies |= {i: [f"edit {i}", "near one", "near two", "near three"] if i < 210 else [*own(i), f"third of {i}"] for i in range(200, 230)}
+    rows = [(i, f"http://h{i // 100}.x/{i}", page(*b)) for i, b in bodies.items()]
+    found = html.op7_html_extraction(spark.createDataFrame(rows, "page_id bigint, url string, html string"))
+    assert {r.page_id: r.text for r in found.collect()} == {i: "\n\n".join(b) for i, b in bodies.items()}
+
+
 def test_page_edges(spark):
     rows = [(None, None, None, 1), (1, "u", "", 2), (1, "u", "", 2), (2, "http://a.b", "<p>x" + " y" * 100_000, 3)]
     pages = spark.createDataFrame(rows, "page_id bigint, url string, html string, host int")
