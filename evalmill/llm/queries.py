@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evalmill.llm import decontam, fingerprint, html, langid, license, packing, secrets, simhash, suffix, tokenout
+from evalmill.llm import decontam, fingerprint, html, langid, license, packing, periodic, secrets, simhash, suffix, tokenout
 from evalmill.llm.common import documents
 
 
@@ -29,6 +29,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_dedup": _over_documents(suffix.op8_suffix_dedup),
     "op9_secret_scan": _over_documents(secrets.op9_secret_scan),
     "op10_token_files": _over_documents(tokenout.op10_token_files),
+    "op12_periodic_runs": _over_documents(periodic.op12_periodic_runs),
 }
 
 ORACLE: dict[str, str] = {"op2_decontamination": decontam.ORACLE}
