@@ -8,6 +8,8 @@ summed the same way one level up, and their prefix is added back by a join.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,6 +84,30 @@ def running_totals(
     )
 
 
+def numbered_rows(
+    df: DataFrame, order: list[Column], name: str, store: Callable[[DataFrame], DataFrame]
+) -> DataFrame:
+    """``df`` with ``name``, each row's number from 0 in that order over the whole table.
+
+    The rows are sorted by ranges and written by ``store``, which returns what it wrote: a row's
+    place in its task is then fixed, and adding up the rows of the tasks before gives its number. Only one
+    count per task is gathered. Rows alike in ``order`` are numbered in any order.
+    """
+    spot = F.monotonically_increasing_id()  # the task in the upper bits, the row in the lower 33
+    rows = store(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_spot", spot))
+    return _from_spots(rows, name)
+
+
+def _from_spots(rows: DataFrame, name: str) -> DataFrame:
+    task, within = F.shiftright("_spot", 33), F.col("_spot").bitwiseAND((1 << 33) - 1)
+    counts = rows.groupBy(task.alias("_task")).agg(F.count(F.lit(1)).alias("_rows"))
+    earlier = Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select("_task", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"))
+    # One row per task that wrote: bounded by the number of partitions.
+    numbered = rows.withColumn("_task", task).join(F.broadcast(before), "_task")
+    return numbered.withColumn(name, F.col("_before") + within).drop("_task", "_before", "_spot")
+
+
 def nth_id(df: DataFrame, order: str, n: int) -> Column:
     """The ``n``-th smallest id, or no limit if there are fewer rows, as a scalar subquery that
     reads only the ids; NULL ids have no place."""
