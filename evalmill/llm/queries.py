@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evalmill.llm import decontam, fingerprint, html, langid, license, packing, periodic, secrets, simhash, suffix, tokenout
+from evalmill.llm import (
+    convtrie, decontam, fingerprint, html, langid, license, packing, periodic, secrets, simhash, suffix, tokenout,
+)
 from evalmill.llm.common import documents
 
 
@@ -30,6 +32,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_secret_scan": _over_documents(secrets.op9_secret_scan),
     "op10_token_files": _over_documents(tokenout.op10_token_files),
     "op12_periodic_runs": _over_documents(periodic.op12_periodic_runs),
+    "op13_conversation_trie": lambda spark, sf_dir: convtrie.op13_conversation_trie(
+        spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    ),
 }
 
 ORACLE: dict[str, str] = {"op2_decontamination": decontam.ORACLE}
