@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from evalmill.llm import (
     convtrie, decontam, fingerprint, html, langid, license, packing, periodic, secrets, simhash, suffix, tokenout,
+    toxicity,
 )
 from evalmill.llm.common import documents
 
@@ -31,6 +32,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_dedup": _over_documents(suffix.op8_suffix_dedup),
     "op9_secret_scan": _over_documents(secrets.op9_secret_scan),
     "op10_token_files": _over_documents(tokenout.op10_token_files),
+    "op11_toxicity": lambda spark, sf_dir: toxicity.op11_toxicity(
+        documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    ),
     "op12_periodic_runs": _over_documents(periodic.op12_periodic_runs),
     "op13_conversation_trie": lambda spark, sf_dir: convtrie.op13_conversation_trie(
         spark.read.parquet(f"{sf_dir}/conversations.parquet")
