@@ -108,13 +108,39 @@ def _from_spots(rows: DataFrame, name: str) -> DataFrame:
     return numbered.withColumn(name, F.col("_before") + within).drop("_task", "_before", "_spot")
 
 
+def _nth_per_group(ids: DataFrame, keys: list[str], order: str, n: int, bits: int = RANGE_BITS) -> DataFrame:
+    """Keys and ``_limit``, the ``n``-th smallest id, of every group that has as many.
+
+    Ids are counted by range, before any shuffle; windows over the counts tell which range holds the
+    ``n``-th, and only the ids of that range (``2**bits`` at most, as they are unique) are sorted.
+    """
+    group = F.struct(*[F.col(k) for k in keys]) if keys else F.struct(F.lit(0).alias("all"))
+    spread = ids.select(group.alias("_group"), F.col(order).alias("_id"), F.shiftright(F.col(order), bits).alias("_range"))
+    counts = spread.groupBy("_group", "_range").agg(F.count(F.lit(1)).alias("_rows"))
+    counts = counts.withColumn("_block", F.shiftright("_range", bits))
+
+    def before(by: list[str], position: str) -> Column:
+        earlier = Window.partitionBy(*by).orderBy(position).rowsBetween(Window.unboundedPreceding, -1)
+        return F.coalesce(F.sum("_rows").over(earlier), F.lit(0))
+
+    blocks = counts.groupBy("_group", "_block").agg(F.sum("_rows").alias("_rows"))
+    blocks = blocks.withColumn("_ahead", before(["_group"], "_block"))
+    blocks = blocks.where((F.col("_ahead") < n) & (F.col("_ahead") + F.col("_rows") >= n)).drop("_rows")
+    ranges = counts.join(blocks, ["_group", "_block"])
+    ranges = ranges.withColumn("_ahead", F.col("_ahead") + before(["_group", "_block"], "_range"))
+    ranges = ranges.where((F.col("_ahead") < n) & (F.col("_ahead") + F.col("_rows") >= n))
+    inside = spread.join(ranges.select("_group", "_range", "_ahead"), ["_group", "_range"])
+    place = F.row_number().over(Window.partitionBy("_group", "_range").orderBy("_id"))
+    reached = inside.withColumn("_place", place + F.col("_ahead")).where(F.col("_place") == n)
+    return reached.select(*[F.col(f"_group.{k}").alias(k) for k in keys], F.col("_id").alias("_limit"))
+
+
 def nth_id(df: DataFrame, order: str, n: int) -> Column:
     """The ``n``-th smallest id, or no limit if there are fewer rows, as a scalar subquery that
     reads only the ids; NULL ids have no place."""
     ids = df.select(order).where(F.col(order).isNotNull())
-    places = running_totals(ids, [], order, {"_place": F.lit(1)})
     # A bare subquery, as only that is handed to the Parquet scan.
-    return places.where(F.col("_place") == n).agg(F.coalesce(F.max(order), F.lit(NO_LIMIT))).scalar()
+    return _nth_per_group(ids, [], order, n).agg(F.coalesce(F.max("_limit"), F.lit(NO_LIMIT))).scalar()
 
 
 def _all_rows(n: int | None, lenient: bool) -> bool:
@@ -145,12 +171,7 @@ def head_per_group(
     if _all_rows(n, lenient):
         return df
     ids = df.select(*keys, order).where(F.col(order).isNotNull())
-    places = running_totals(ids, keys, order, {"_place": F.lit(1)})
-    reached = F.when(F.col("_place") == n, F.col(order))
-    limits = places.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(
-        F.coalesce(F.max(reached), F.lit(NO_LIMIT)).alias("_limit")
-    )
+    limits = _nth_per_group(ids, keys, order, n).withColumnsRenamed({k: f"_{k}" for k in keys})
     same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
-    return (
-        df.join(limits, same, "left").where(F.col(order) <= F.col("_limit")).select(*df.columns)
-    )
+    within = F.col(order) <= F.coalesce("_limit", F.lit(NO_LIMIT))
+    return df.join(limits, same, "left").where(within).select(*df.columns)

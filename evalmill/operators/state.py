@@ -46,14 +46,19 @@ def split_updates(updates: DataFrame) -> tuple[DataFrame, DataFrame]:
     return updates.where(usable), updates.where(~usable)
 
 
+def last_known(field: str) -> Column:
+    """Last non-missing value with its time and sequence number, or NULL; such can be merged."""
+    known = F.struct("ts", "seq", F.col(field).alias("value"))
+    return F.max(F.when(F.col(field).isNotNull(), known))
+
+
 def last_value(field: str) -> Column:
     """Last non-missing value by time, then sequence number."""
-    known = F.struct("ts", "seq", F.col(field).alias("value"))
-    return F.max(F.when(F.col(field).isNotNull(), known))["value"]
+    return last_known(field)["value"]
 
 
 def status_columns(fields: list[str]) -> list[Column]:
-    """Aggregates of one run's status record; the same for batch and stream."""
+    """Aggregates of one run's status record from its updates."""
     return [
         *[last_value(f).alias(f) for f in fields],
         F.max("ts").alias("updated_at"),
@@ -61,6 +66,29 @@ def status_columns(fields: list[str]) -> list[Column]:
     ]
 
 
+def status_parts(fields: list[str]) -> list[Column]:
+    """Aggregates of some of a run's updates that :func:`merged_parts` can join to others."""
+    return [
+        *[last_known(f).alias(f) for f in fields],
+        F.max("ts").alias("updated_at"),
+        F.count(F.lit(1)).alias("updates"),
+    ]
+
+
+def merged_parts(fields: list[str]) -> list[Column]:
+    """Aggregates of parts that make one part of them."""
+    return [
+        *[F.max(f).alias(f) for f in fields],
+        F.max("updated_at").alias("updated_at"),
+        F.sum("updates").alias("updates"),
+    ]
+
+
+def status_of(parts: DataFrame, fields: list[str]) -> DataFrame:
+    """The status records that parts stand for."""
+    return parts.select("run_id", *[F.col(f)["value"].alias(f) for f in fields], "updated_at", "updates")
+
+
 def run_status_fold(updates: DataFrame, fields: list[str]) -> DataFrame:
     """One status record per run from partial updates ``(run_id, ts, seq, fields...)``."""
     usable, _ = split_updates(updates)

@@ -24,8 +24,8 @@ from evalmill.plans import evaluation, indexing, serving, training, views
 from evalmill.plans.views import table
 from evalmill.session import shared_folder
 from evalmill.sources import datasets, files, payloads
+from evalmill.streaming.run_status import read_rejects, stream_files
 from evalmill.streaming.run_status import run_status_stream as stream_status
-from evalmill.streaming.run_status import stream_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -532,6 +532,19 @@ def run_status_stream(spark, sf_dir):
     )
 
 
+@query
+def run_status_rejects(spark, sf_dir):
+    """The malformed updates of the same stream, some of whose rows lack a run, a time or a known status."""
+    path = f"{sf_dir}/events.parquet"
+    updates = views.spoilt_updates(stream_files(spark, path, spark.read.parquet(path).schema))
+    folder = shared_folder(spark, "status")
+    stream_status(updates, views.STATUS_FIELDS, f"{folder}/table", f"{folder}/checkpoint")
+    iso = lambda name: utc_iso(F.col(name), zoned=False).alias(name)
+    return read_rejects(spark, f"{folder}/table", updates.schema).select(
+        "run_id", iso("ts"), "seq", "status", iso("started_at"), iso("finished_at"), "metric"
+    )
+
+
 # --- Predictor and composed plans ----------------------------------------------------
 
 

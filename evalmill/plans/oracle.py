@@ -445,6 +445,24 @@ ORACLE: dict[str, str] = {
         FROM entries""",
     "run_status_fold": STATUS_FOLD,
     "run_status_stream": STATUS_FOLD,
+    "run_status_rejects": """
+        WITH run_updates AS (
+          SELECT CASE WHEN event_id % 7 <> 0 THEN user_id END AS run_id,
+            CASE WHEN event_id % 11 <> 0 THEN ts END AS ts, event_id AS seq,
+            CASE WHEN event_id % 13 = 0 THEN 'lost' ELSE
+              CASE event_type WHEN 'signup' THEN 'not_started' WHEN 'view' THEN 'running'
+                WHEN 'click' THEN 'running' WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'errored' END
+            END AS status,
+            CASE WHEN event_type = 'signup' THEN events.ts END AS started_at,
+            CASE WHEN event_type IN ('purchase', 'error') THEN events.ts END AS finished_at,
+            CASE WHEN event_type = 'purchase' THEN value END AS metric
+          FROM events
+        )
+        SELECT run_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS ts, seq, status,
+          strftime(started_at, '%Y-%m-%dT%H:%M:%SZ') AS started_at,
+          strftime(finished_at, '%Y-%m-%dT%H:%M:%SZ') AS finished_at, metric
+        FROM run_updates
+        WHERE run_id IS NULL OR ts IS NULL OR status = 'lost'""",
     "batch_predict": f"WITH {RAW_OUTPUTS} SELECT item_id, raw FROM raw_outputs",
     "benchmark_eval": f"{SCORED} SELECT subject, {TALLY} FROM scored GROUP BY subject",
     "run_requests": f"""

@@ -274,6 +274,18 @@ def to_run_updates(events: DataFrame) -> DataFrame:
     )
 
 
+def spoilt_updates(events: DataFrame) -> DataFrame:
+    """The updates of :func:`to_run_updates`, some of them without a run, a time or a known status."""
+    updates = to_run_updates(events)
+    return updates.select(
+        F.when(F.col("seq") % 7 != 0, F.col("run_id")).alias("run_id"),
+        F.when(F.col("seq") % 11 != 0, F.col("ts")).alias("ts"),
+        "seq",
+        F.when(F.col("seq") % 13 == 0, F.lit("lost")).otherwise(F.col("status")).alias("status"),
+        "started_at", "finished_at", "metric",
+    )
+
+
 def run_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return to_run_updates(table(spark, sf_dir, "events"))
 

@@ -8,15 +8,22 @@ import uuid
 import pytest
 from pyspark.sql import functions as F
 
-from evalmill.operators.state import run_status_fold
+from evalmill.operators.state import run_status_fold, split_updates
 from evalmill.plans import training, views
 from evalmill.session import session_conf, shared_folder, shared_root
 from evalmill.sources import datasets, files, payloads
-from evalmill.streaming.run_status import read_status, run_status_stream, stream_files
+from evalmill.sources.commits import commit, content, names, remove
+from evalmill.streaming.run_status import (
+    read_rejects,
+    read_status,
+    run_status_stream,
+    status_folders,
+    stream_files,
+)
 
 
 def rows_of(df):
-    return sorted(tuple(r) for r in df.collect())
+    return sorted((tuple(r) for r in df.collect()), key=str)
 
 
 @pytest.fixture
@@ -228,3 +235,46 @@ def test_status_stream_without_updates(spark, folder):
     updates = stream_files(spark, f"{folder}/in", spark.read.parquet(f"{folder}/in").schema)
     got = run_status_stream(updates, views.STATUS_FIELDS, f"{folder}/table", f"{folder}/checkpoint")
     assert got.columns == ["run_id", *views.STATUS_FIELDS, "updated_at", "updates"] and got.count() == 0
+
+
+def test_stream_rejects_are_those_of_the_batch_split(spark, folder):
+    path, events = events_in_parts(spark, folder, 4)
+    updates = views.spoilt_updates(stream_files(spark, path, events.schema, 1))
+    records = run_status_stream(updates, views.STATUS_FIELDS, f"{folder}/t", f"{folder}/c", snapshot_every=3)
+    whole = views.spoilt_updates(events)
+    _, malformed = split_updates(whole)
+    assert rows_of(read_rejects(spark, f"{folder}/t", updates.schema)) == rows_of(malformed) and malformed.count() > 0
+    assert rows_of(records) == rows_of(run_status_fold(whole, views.STATUS_FIELDS).select(records.columns))
+
+
+def test_status_table_stays_small_over_many_batches(spark, folder):
+    path, events = events_in_parts(spark, folder, 50)
+    args = (views.STATUS_FIELDS, f"{folder}/t", f"{folder}/c")
+    stream = lambda: views.to_run_updates(stream_files(spark, path, events.schema, 1))
+    with session_conf(spark, spark__sql__shuffle__partitions="1"):
+        got = run_status_stream(stream(), *args)
+    assert len([n for n in names(spark, f"{folder}/c/commits") if n.isdigit()]) >= 50
+    assert len(status_folders(spark, f"{folder}/t")) <= 10
+    assert len(names(spark, f"{folder}/t/changes")) <= 20 and len(names(spark, f"{folder}/t/snapshot")) == 2
+    want = run_status_fold(views.to_run_updates(events), views.STATUS_FIELDS)
+    assert rows_of(got.select(want.columns)) == rows_of(want)
+
+
+def test_batch_without_its_marker_is_ignored_and_written_again(spark, folder):
+    path, events = events_in_parts(spark, folder, 3)
+    table, fields = f"{folder}/t", views.STATUS_FIELDS
+    stream = lambda: views.to_run_updates(stream_files(spark, path, events.schema, 1))
+    whole = rows_of(run_status_stream(stream(), fields, table, f"{folder}/c"))
+    # As if the writer had been lost between the rows and the marker of the last batch.
+    remove(spark, f"{table}/commits/batch-2")
+    remove(spark, f"{folder}/c/commits/2")
+    assert len(status_folders(spark, table)) == 2 and rows_of(read_status(spark, table, fields)) != whole
+    assert rows_of(run_status_stream(stream(), fields, table, f"{folder}/c")) == whole
+    with pytest.raises(Exception, match="another checkpoint"):
+        run_status_stream(stream(), fields, table, f"{folder}/other")
+
+
+def test_the_first_commit_wins(spark, folder):
+    assert names(spark, f"{folder}/none") == []
+    assert commit(spark, f"{folder}/m/one", {"a": [1, "é"]}) and not commit(spark, f"{folder}/m/one", 2)
+    assert content(spark, f"{folder}/m/one") == {"a": [1, "é"]} and names(spark, f"{folder}/m") == ["one"]
