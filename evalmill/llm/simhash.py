@@ -8,21 +8,23 @@ that one is sent across as a visitor; a visitor is sent to every side that its b
 shard the same rule goes on down a tree of its own until few fingerprints are left, which are
 compared.  So every pair is found, and equal fingerprints are one before any of it.
 
-Links leave a shard as a forest (a tree per group of the shard), never as all pairs, and connected
+A median of distances leaves uneven shards, and each level sends more visitors across.  So the tree
+is at most ``DEPTH`` deep, and a shard of more than ``SHARD`` rows is cut into blocks by a hash; a
+task gets two blocks (or one with itself), so it never holds more than about ``2 * SHARD`` rows, and
+every pair of rows meets in some task.
+
+Links leave a task as a forest (a tree per group), never as all pairs, and connected
 components are found by alternating large-star and small-star steps, each written to the shared
 folder.
 
-``op3_simhash``: 64 bits of three-word shingles, links at two bits, as its contract says.
-``near_duplicates``: for a similarity over five words of 0.8, 64-bit fingerprints of such texts lie
-up to 14 bits apart, where no tree can prune.  There, each text has twelve independent sketches of 28
-bits.  Texts of which one sketch lies within two bits are compared by all their bits; those that may
-be similar are candidates.  First each shard's forest of the closest candidates is compared exactly,
-by whole texts.  A forest that fails there says nothing of the candidates it left out, so where it
-did, candidates between parts that are not linked yet are compared as well, the closest of each text
-first and more in each round, until none is left.
+``op3_simhash`` gives groups, ``drop_near_duplicates`` keeps one document of each; both take 64 bits
+of three-word shingles and link at two bits, as the contract says.
 
 Null and empty texts, and those without words, have fingerprint zero.  Null ids never become a
 component's name unless all its ids are null.  Repeated rows share a fingerprint and so a component.
+A very long text is hashed whole, in memory of some 100 bytes a word.  Ties of a border go inside.
+An empty table gives an empty result.  Columns beside id and text play no part in the groups, and
+``drop_near_duplicates`` keeps them all, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,21 +34,17 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from evalmill.llm.common import over_batches, stored
 
-#: Contract of op3.
+#: Contract: words of a shingle, and bits that linked fingerprints may differ in.
 WORDS, RADIUS = 3, 2
-#: Fingerprints in a shard (about 20 MB in a task; borders between shards cost visitors, so there
-#: are few), those in a leaf of its tree, and the sample that the shards' tree takes.
-SHARD, LEAF, SAMPLE = 250_000, 96, 16_384
-#: Near-duplicates: sketches per text, bits of each, and the share of unlike bits that still links.
-SKETCHES, SKETCH_BITS, UNLIKE = 12, 28, 0.18
-#: Candidates of a text that the first round after the forest compares, and the growth by round.
-CLOSEST, GROWTH = 4, 8
+#: Fingerprints in a shard or block, levels of the shards' tree, fingerprints in a leaf of a shard's
+#: own tree, and the sample that the shards' tree takes.
+SHARD, DEPTH, LEAF, SAMPLE = 60_000, 8, 96, 16_384
 
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -80,22 +78,6 @@ def majority_bits(hashes: np.ndarray) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
 
 
-def signature(hashes: np.ndarray) -> list[int]:
-    """Independent majority sketches of the same shingles, two to a signed 64-bit number."""
-    words = []
-    for k in range(SKETCHES // 2):
-        mixed = hashes + np.uint64((k + 1) * 0x9E3779B97F4A7C15 % 2**64)
-        mixed = (mixed ^ (mixed >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        mixed = (mixed ^ (mixed >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        words.append(majority_bits(mixed ^ (mixed >> np.uint64(31))))
-    return np.array(words, np.uint64).view(np.int64).tolist()
-
-
-def sketch(bits: np.ndarray, family: int) -> np.ndarray:
-    """The code of every signature (a row of ``bits``) in that family."""
-    return bits[:, family // 2] >> np.uint64(32 * (family % 2)) & np.uint64((1 << SKETCH_BITS) - 1)
-
-
 def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """doc_id and fp, the fingerprint as a signed 64-bit number."""
     source = docs.select("doc_id", F.col("text").cast("string").alias("text"))
@@ -163,9 +145,7 @@ def _route(tree, codes: np.ndarray, radius: int) -> list[tuple[int, np.ndarray,
     return out
 
 
-def _leaf_links(
-    codes: np.ndarray, bits: np.ndarray | None, members: np.ndarray, visitors: np.ndarray, radius: int, unlike: int
-) -> list[tuple[int, int, int]]:
+def _leaf_links(codes: np.ndarray, members: np.ndarray, visitors: np.ndarray, radius: int) -> list[tuple[int, int, int]]:
     """Links (unlike bits, a, b) of a leaf: each of its parts meets each of its queries once at most."""
     out: list[tuple[int, int, int]] = []
     label = np.arange(len(members))
@@ -179,12 +159,9 @@ def _leaf_links(
             place = at + int(row)
             if place < len(members):
                 found = found[found < place]
-            apart = near[row, found].astype(int)
-            if bits is not None and len(found):
-                apart = np.bitwise_count(bits[members[found]] ^ bits[queries[place]]).sum(axis=1, dtype=np.int64)
-                found, apart = found[apart <= unlike], apart[apart <= unlike]
             if not len(found):
                 continue
+            apart = near[row, found].astype(int)
             closest = np.argsort(apart, kind="stable")
             parts, first = np.unique(label[found[closest]], return_index=True)
             for i in closest[first].tolist():
@@ -194,38 +171,6 @@ def _leaf_links(
     return out
 
 
-def _leaf_open(
-    codes: np.ndarray, bits: np.ndarray, members: np.ndarray, visitors: np.ndarray, radius: int, unlike: int,
-    part: np.ndarray, rest: np.ndarray, closest: int,
-) -> tuple[np.ndarray, np.ndarray, bool]:
-    """Candidates (owner, other) of a leaf between different parts, and whether any were left out.
-
-    Each owner, a text outside its group's largest part, keeps the ``closest`` of them.
-    """
-    queries = np.concatenate([members, visitors])
-    block = max(1, (1 << 18) // len(members))
-    owner, other, apart, more = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), False
-    for at in range(0, len(queries), block):
-        some = queries[at : at + block]
-        near = np.bitwise_count(codes[some][:, None] ^ codes[members][None, :]) <= radius
-        rows, columns = np.nonzero(near & (part[some][:, None] != part[members][None, :]))
-        once = (rows + at >= len(members)) | (columns < rows + at)
-        x, y = some[rows[once]], members[columns[once]]
-        gap = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64)
-        x, y, gap = x[gap <= unlike], y[gap <= unlike], gap[gap <= unlike]
-        if not len(x):
-            continue
-        owner = np.concatenate([owner, np.where(rest[x], x, y)])
-        other = np.concatenate([other, np.where(rest[x], y, x)])
-        apart = np.concatenate([apart, gap])
-        order = np.lexsort((other, apart, owner))
-        owner, other, apart = owner[order], other[order], apart[order]
-        kept = np.arange(len(owner)) - np.searchsorted(owner, owner) < closest
-        more = more or not kept.all()
-        owner, other, apart = owner[kept], other[kept], apart[kept]
-    return owner, other, more
-
-
 def _leaves(codes: np.ndarray, home: np.ndarray, radius: int):
     """(members, visitors) of every leaf of a shard's own tree."""
     stack = [(np.flatnonzero(home), np.flatnonzero(~home), 0)]
@@ -245,16 +190,11 @@ def _leaves(codes: np.ndarray, home: np.ndarray, radius: int):
         stack.append((members[near > edge], np.concatenate([visitors[far > edge - radius], crossing]), depth + 1))
 
 
-def shard_links(
-    codes: np.ndarray, home: np.ndarray, radius: int, bits: np.ndarray | None = None, unlike: int = 0
-) -> list[tuple[int, int]]:
-    """Links among a shard's fingerprints over their places: a forest of the closest pairs.
-
-    With ``bits``, signatures, a pair is linked only if they differ in at most ``unlike`` bits.
-    """
+def shard_links(codes: np.ndarray, home: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """Links among a shard's fingerprints over their places: a forest of the closest pairs."""
     found_links: list[tuple[int, int, int]] = []
     for members, visitors in _leaves(codes, home, radius):
-        found_links += _leaf_links(codes, bits, members, visitors, radius, unlike)
+        found_links += _leaf_links(codes, members, visitors, radius)
     parent: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -272,59 +212,46 @@ def shard_links(
     return forest
 
 
-def vp_links(
-    nodes: DataFrame, count: int, radius: int, marks: list[str] = (), unlike_bits: int = 0, closest: int = 0
-) -> DataFrame:
-    """Links (a, b) among ``nodes`` (family, code, node) of a family within ``radius``.
+def dealt(codes: DataFrame, count: int, radius: int) -> DataFrame:
+    """Rows (shard, i, j, code, home): which task (shard, i, j) gets which of ``codes`` (code).
 
-    ``count`` is the number of nodes of a family.  With ``marks``, 64-bit columns that make up a
-    signature, a pair is linked only if its signatures differ in at most ``unlike_bits`` bits.
-    With ``closest``, nodes have a ``part`` and ``rest`` (0 in their group's largest part, else 1):
-    instead of a forest come the ``closest`` pairs of each node that join two parts, and ``more``,
-    whether there are others.
+    ``count`` is their number.
     """
-    kept = ["family", "code", "node", *marks, *(["part", "rest"] if closest else [])]
-    # A sketch is bits of its signature, which travels anyway.
-    sent = [c for c in kept if c != "code"] if marks else kept
-    depth = max(0, math.ceil(math.log2(max(1, count / SHARD))))
-    few = nodes.orderBy(F.xxhash64("code", "family")).limit(SAMPLE).select("code").toPandas()
+    depth = min(DEPTH, max(0, math.ceil(math.log2(max(1, count / SHARD)))))
+    few = codes.orderBy(F.xxhash64("code")).limit(SAMPLE).select("code").toPandas()
     tree = _top_tree(np.unique(few["code"].to_numpy().view(np.uint64)), depth, [0])
-    routed = StructType.fromDDL(
-        "family int, shard int, home boolean, " + ", ".join(f"{c} bigint" for c in sent[1:])
-    )
 
     def route(batch: pa.RecordBatch) -> dict:
-        columns = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
-        codes = columns["code"].to_numpy().view(np.uint64)
+        codes = batch.column(0).to_numpy().view(np.uint64)
         parts = _route(tree, codes, radius)
-        places = np.concatenate([p for _, p, _ in parts]) if parts else np.zeros(0, np.int64)
-        taken = {n: columns[n].take(pa.array(places)) for n in sent}
-        return taken | {
+        return {
             "shard": np.concatenate([np.full(len(p), s) for s, p, _ in parts]) if parts else [],
+            "code": np.concatenate([codes[p] for _, p, _ in parts]).view(np.int64) if parts else [],
             "home": np.concatenate([h for _, _, h in parts]) if parts else [],
         }
 
-    def link(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        bits = frame[list(marks)].to_numpy().view(np.uint64) if marks else None
-        node = frame["node"].to_numpy()
-        codes, home = sketch(bits, int(key[0])) if marks else frame["code"].to_numpy().view(np.uint64), frame["home"].to_numpy()
-        if closest:
-            part, rest = frame["part"].to_numpy(), frame["rest"].to_numpy() > 0
-            leaves = [
-                _leaf_open(codes, bits, m, v, radius, unlike_bits, part, rest, closest)
-                for m, v in _leaves(codes, home, radius)
-            ]
-            a, b = (np.concatenate([np.zeros(0, np.int64), *(x[i] for x in leaves)]) for i in (0, 1))
-            more = np.repeat(np.array([x[2] for x in leaves], bool), [len(x[0]) for x in leaves])
-            return pd.DataFrame({"a": node[a], "b": node[b], "more": more})
-        found = shard_links(codes, home, radius, bits, unlike_bits)
-        pairs = np.array(found, np.int64).reshape(-1, 2)
-        return pd.DataFrame({"a": node[pairs[:, 0]], "b": node[pairs[:, 1]]})
-
-    spread = over_batches(nodes.select(*kept), route, routed, rows=20_000)
-    return spread.groupBy("family", "shard").applyInPandas(
-        link, "a bigint, b bigint" + (", more boolean" if closest else "")
-    )
+    schema = StructType.fromDDL("shard int, code bigint, home boolean")
+    routed = stored(over_batches(codes.select("code"), route, schema, rows=20_000), "routed")
+    # At most 2**DEPTH rows.
+    sizes = routed.groupBy("shard").agg(F.ceil(F.count("*") / SHARD).cast("int").alias("blocks"))
+    own, other = F.pmod(F.xxhash64("code"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    met = routed.join(F.broadcast(sizes), "shard").select("shard", "code", "home", own.alias("own"), other.alias("other"))
+    return met.select("shard", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "code", "home")
+
+
+def vp_links(codes: DataFrame, count: int, radius: int) -> DataFrame:
+    """Links (a, b) among ``codes`` (code), different fingerprints, within ``radius``.
+
+    ``count`` is their number.
+    """
+
+    def link(frame: pd.DataFrame) -> pd.DataFrame:
+        codes = frame["code"].to_numpy()
+        pairs = np.array(shard_links(codes.view(np.uint64), frame["home"].to_numpy(), radius), np.int64).reshape(-1, 2)
+        return pd.DataFrame({"a": codes[pairs[:, 0]], "b": codes[pairs[:, 1]]})
+
+    tasks = dealt(codes, count, radius).groupBy("shard", "i", "j")
+    return tasks.applyInPandas(link, "a bigint, b bigint")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -348,128 +275,50 @@ def components(links: DataFrame) -> DataFrame:
     return edges.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node").union(roots)
 
 
+def grouped(marked: DataFrame, first: Column) -> DataFrame:
+    """fp, root (its group's least fingerprint) and first, the least of ``first`` over the rows with
+    it, for every fingerprint of ``marked``."""
+    distinct = stored(marked.groupBy("fp").agg(F.min(first).alias("first")), "distinct-fingerprints")
+    found = components(vp_links(distinct.select(F.col("fp").alias("code")), distinct.count(), RADIUS))
+    named = distinct.join(found, distinct.fp == found.node, "left")
+    return stored(named.select("fp", F.coalesce("root", "fp").alias("root"), "first"), "named-fingerprints")
+
+
 def op3_simhash(docs: DataFrame) -> DataFrame:
+    """doc_id, fingerprint and component_id of every document."""
     marked = stored(fingerprints(docs), "fingerprints")
-    distinct = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
-    nodes = distinct.select(
-        F.lit(0).alias("family"), F.col("fp").alias("code"), F.col("fp").alias("node")
-    )
-    found = components(vp_links(nodes, distinct.count(), RADIUS))
-    named = distinct.join(found, distinct.fp == found.node, "left").select(
-        "fp", "least", F.coalesce("root", "fp").alias("root")
-    )
-    named = stored(named, "named-fingerprints")
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = grouped(marked, F.col("doc_id"))
+    least = named.groupBy("root").agg(F.min("first").alias("component_id"))
     component = named.join(least, "root").select("fp", "component_id")
     return marked.join(component, "fp").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
 
 
-def _texts(docs: DataFrame) -> DataFrame:
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.xxhash64(text).alias("node"), text.alias("text"))
-
-
-def _similar(pairs: DataFrame, least: float, words: int) -> DataFrame:
-    """The pairs (a, b, text_a, text_b) whose sets of shingles have at least that Jaccard likeness."""
-
-    def work(batch: pa.RecordBatch) -> dict:
-        good = []
-        for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-            x, y = np.unique(shingle_hashes(x, words)), np.unique(shingle_hashes(y, words))
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            good.append(both >= least * (len(x) + len(y) - both))
-        return {"a": batch.column(0).filter(pa.array(good)), "b": batch.column(1).filter(pa.array(good))}
-
-    return over_batches(pairs, work, StructType.fromDDL("a bigint, b bigint"), rows=64)
-
-
-def _checked(texts: DataFrame, pairs: DataFrame, likeness: float, words: int) -> DataFrame:
-    """The pairs (a, b) whose whole texts have at least that likeness."""
-    # Only the linked texts are shuffled, one row for each, to be compared whole.
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    held = stored(texts.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("text").alias("text")), "linked-texts")
-    both = pairs.join(held.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-    both = both.join(held.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-    return stored(_similar(both.select("a", "b", "text_a", "text_b"), likeness, words), "similar")
-
-
-def _open_nodes(grouped: DataFrame, links: DataFrame) -> DataFrame:
-    """node, part and rest of the nodes whose group of candidates is not one part by its links."""
-    named = grouped.join(components(links), "node", "left").select(
-        "node", "group", F.coalesce("root", "node").alias("part")
-    )
-    named = stored(named, "parts")
-    sizes = named.groupBy("group", "part").agg(F.count("*").alias("n"))
-    # The one pair of a group of two was compared already.
-    groups = sizes.groupBy("group").agg(
-        F.max(F.struct("n", "part")).alias("largest"), F.count("*").alias("parts"), F.sum("n").alias("n")
-    ).where("parts > 1 and n > 2")
-    rest = (F.col("part") != F.col("largest.part")).cast("bigint").alias("rest")
-    return stored(named.join(groups, "group").select("node", "part", rest), "open-nodes")
-
-
-def near_duplicates(docs: DataFrame, likeness: float = 0.8, words: int = 5, unlike: float = UNLIKE) -> DataFrame:
-    """For each distinct text that is linked to another: text_hash and root, its group's least hash.
-
-    Sketches find candidates; a link holds if the shingles of ``words`` words of the two texts have
-    at least that Jaccard likeness.  At the end each candidate was compared or lies in one group.
-    """
-    texts = _texts(docs)
-
-    def work(batch: pa.RecordBatch) -> dict:
-        found = [signature(shingle_hashes(t, WORDS)) for t in batch.column(1).to_pylist()]
-        columns = np.array(found, np.int64).reshape(-1, len(marks))
-        return {"node": batch.column(0)} | {m: columns[:, i] for i, m in enumerate(marks)}
-
-    marks = [f"mark{k}" for k in range(SKETCHES // 2)]
-    marked = over_batches(
-        texts, work, StructType.fromDDL("node bigint, " + ", ".join(f"{m} bigint" for m in marks))
-    )
-    distinct = stored(marked.groupBy("node").agg(*[F.min(m).alias(m) for m in marks]), "signatures")
-    mask = F.lit((1 << SKETCH_BITS) - 1)
-    codes = [F.shiftrightunsigned(m, shift).bitwiseAND(mask) for m in marks for shift in (0, 32)]
-    families = F.posexplode(F.array(*codes)).alias("family", "code")
-    most = int(unlike * 32 * SKETCHES)
-    ends = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
-    found = vp_links(distinct.select(families, "node", *marks), distinct.count(), RADIUS, marks, most)
-    pairs = stored(found.select(*ends).distinct(), "pairs")
-    links = _checked(texts, pairs, likeness, words)
-    grouped = stored(components(pairs).withColumnRenamed("root", "group"), "candidate-groups")
-    compared, closest, more = pairs, CLOSEST, True
-    while more:
-        still = _open_nodes(grouped, links)
-        if not (count := still.count()):
-            break
-        nodes = distinct.join(still, "node").select(families, "node", *marks, "part", "rest")
-        found = vp_links(nodes, count, RADIUS, marks, most, closest)
-        found = stored(found.select(*ends, "more").groupBy("a", "b").agg(F.max("more").alias("more")), "candidates")
-        more = found.where("more").limit(1).count() > 0
-        fresh = stored(found.select("a", "b").join(compared, ["a", "b"], "left_anti"), "pairs")
-        links = links.union(_checked(texts, fresh, likeness, words))
-        compared, closest = compared.union(fresh), closest * GROWTH
-    return components(links).withColumnRenamed("node", "text_hash")
-
-
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """One document of each group of near-duplicates: the one of the smallest id, then hash of text.
+    """One document of each group of linked fingerprints: that of the smallest id, then hash of row.
 
-    Copies count as near-duplicates, whatever their ids; null ids come last.  Texts are compared
-    whole.  Columns keep their names and order.
+    Null ids come last; rows alike in id and text are one document.  Columns keep their names and
+    order.
     """
     columns = docs.columns
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    key = [F.xxhash64(text).alias("text_hash"), F.xxhash64(F.col("doc_id").isNull(), "doc_id").alias("id_hash")]
-    slim = docs.select(*key, F.col("doc_id").isNull().alias("no_id"), "doc_id")
-    firsts = slim.groupBy("text_hash").agg(F.min(F.struct("no_id", "doc_id", "text_hash", "id_hash")).alias("first"))
-    named = firsts.join(near_duplicates(docs), "text_hash", "left").withColumn("root", F.coalesce("root", "text_hash"))
+    key = [F.xxhash64("doc_id", text).alias("key_a"), F.xxhash64(text, "doc_id", F.lit(1)).alias("key_b")]
+    source = docs.select(*key, "doc_id", text.alias("text"))
+
+    def work(batch: pa.RecordBatch) -> dict:
+        found = [majority_bits(shingle_hashes(t, WORDS)) for t in batch.column(3).to_pylist()]
+        own = {n: batch.column(i) for i, n in enumerate(("key_a", "key_b", "doc_id"))}
+        return own | {"fp": np.array(found, np.uint64).view(np.int64)}
+
+    schema = StructType([*source.schema[:3], *StructType.fromDDL("fp bigint")])
+    marked = stored(over_batches(source, work, schema), "fingerprints")
+    named = grouped(marked, F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key_a", "key_b"))
     kept = stored(
-        named.groupBy("root").agg(F.min("first").alias("first")).select("first.text_hash", "first.id_hash"),
-        "kept-documents",
+        named.groupBy("root").agg(F.min("first").alias("first")).select("first.key_a", "first.key_b"), "kept-documents"
     )
     rows = docs.select(*key, F.struct(*columns).alias("row"))
-    once = rows.join(kept.hint("shuffle_hash"), ["text_hash", "id_hash"], "left_semi")
-    # Rows alike in id and text are one document as well; they lie together already.
-    copy = Window.partitionBy("text_hash", "id_hash").orderBy("text_hash")
+    once = rows.join(kept.hint("shuffle_hash"), ["key_a", "key_b"], "left_semi")
+    # Rows alike in id and text lie together already.
+    copy = Window.partitionBy("key_a", "key_b").orderBy("key_a")
     return once.withColumn("copy", F.row_number().over(copy)).where("copy = 1").select("row.*")

@@ -100,88 +100,35 @@ def test_simhash_edges(odd):
     assert simhash.op3_simhash(odd.limit(0)).collect() == []
 
 
-def test_near_duplicates_of_five_words(spark):
-    random.seed(5)
-    word = lambda: "".join(random.choices("abcdefghij", k=6))
-    rows, expected = [], set()
-    for n in range(60):
-        base = [word() for _ in range(300)]
-        rows.append((10 * n, " ".join(base)))
-        near = list(base)
-        near[random.randrange(300)] = word()
-        rows += [(10 * n + 1, " ".join(near)), (10 * n + 2, " ".join(base)), (10 * n + 3, " ".join(base[:150] + [word() for _ in range(150)]))]
-        expected |= {10 * n, 10 * n + 3}
-    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
-    kept = {r.doc_id for r in simhash.drop_near_duplicates(docs).collect()}
-    assert kept == expected
-
-
-def test_near_duplicates_behind_a_closer_failing_text(spark):
-    """Phrases that repeat rule the sketches, not the sets of five words: 0 and 2 are alike in those,
-    and 1, which lies between them by its sketches, is like neither."""
-    random.seed(1)
-    word = lambda: "".join(random.choices("abcdefghij", k=6))
-    bits = lambda t: np.array(simhash.signature(simhash.shingle_hashes(t, 3)), np.int64).view(np.uint64)
-    rows, trapped = [], 0
-    for n in range(40):
-        core, p, q = [word() for _ in range(100)], [word() for _ in range(30)], [word() for _ in range(30)]
-        other = core[:40] + [word() for _ in range(22)] + core[62:]
-        a, b, c = core + p * 12 + q * 8, other + p * 10 + q * 10, core + p * 8 + q * 12
-        a, b, c = (" ".join(t) for t in (a, b, c))
-        rows += [(10 * n, a), (10 * n + 1, b), (10 * n + 2, c)]
-        ab, bc, ac = (int(np.bitwise_count(bits(x) ^ bits(y)).sum()) for x, y in ((a, b), (b, c), (a, c)))
-        trapped += max(ab, bc) < ac
-    assert trapped > 20
-    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
-    kept = {r.doc_id for r in simhash.drop_near_duplicates(docs).collect()}
-    assert kept == {i for i, _ in rows if i % 10 < 2}
-
-
-@pytest.mark.parametrize("closest", [1, 4])
-def test_near_duplicates_are_all_candidates_that_hold(spark, monkeypatch, closest):
-    """Groups of edited copies around 0.8: the result is that of comparing every candidate."""
-    monkeypatch.setattr(simhash, "CLOSEST", closest)
-    monkeypatch.setattr(simhash, "LEAF", 8)
-    random.seed(11)
-    word = lambda: "".join(random.choices("abcdefghij", k=6))
-    texts = []
-    for _ in range(12):
-        base = [word() for _ in range(300)]
-        for _ in range(10):
-            at, n = random.randrange(270), random.randrange(5, 30)
-            texts.append(" ".join(base[:at] + [word() for _ in range(n)] + base[at + n :]))
-    sets = [set(simhash.shingle_hashes(t, 5).tolist()) for t in texts]
-    marks = np.array([simhash.signature(simhash.shingle_hashes(t, 3)) for t in texts], np.int64).view(np.uint64)
-    unlike = np.unpackbits((marks[:, None] ^ marks[None]).view(np.uint8), axis=2).sum(axis=2, dtype=int)
-    mask = np.uint64((1 << simhash.SKETCH_BITS) - 1)
-    codes = np.stack([marks & mask, (marks >> np.uint64(32)) & mask], axis=2).reshape(len(texts), -1)
-    met = (np.bitwise_count(codes[:, None] ^ codes[None]) <= simhash.RADIUS).any(axis=2)
-    met &= unlike <= int(simhash.UNLIKE * 32 * simhash.SKETCHES)
-    parent = list(range(len(texts)))
+def test_random_codes_in_bounded_tasks(spark, monkeypatch):
+    """No task gets more than two blocks, however uneven the shards, and no link is lost."""
+    monkeypatch.setattr(simhash, "SHARD", 200)
+    monkeypatch.setattr(simhash, "DEPTH", 3)
+    rng = np.random.default_rng(11)
+    centres = rng.integers(0, 1 << 64, 2500, dtype=np.uint64)
+    flips = (np.uint64(1) << rng.integers(0, 64, 500).astype(np.uint64)) | (np.uint64(1) << rng.integers(0, 64, 500).astype(np.uint64))
+    crowd = centres[0] ^ (np.uint64(1) << rng.integers(0, 64, 500).astype(np.uint64))
+    codes = np.unique(np.concatenate([centres, centres[:500] ^ flips, crowd]))
+    df = spark.createDataFrame([(c,) for c in codes.view(np.int64).tolist()], "code bigint")
+    dealt = simhash.dealt(df, len(codes), 2)
+    largest = dealt.groupBy("shard", "i", "j").count().agg({"count": "max"}).first()[0]
+    assert largest <= 2.5 * simhash.SHARD
+    routed = dealt.select("shard", "code", "home").distinct()
+    assert routed.count() <= 2.5 * len(codes) and routed.where("home").count() == len(codes)
+    found = simhash.components(simhash.vp_links(df, len(codes), 2)).collect()
+    roots = {r.node: r.root for r in found}
+    mine = [roots.get(c, c) for c in codes.view(np.int64).tolist()]
+    want = groups(codes, list(range(len(codes))), 2)
+    assert len(set(zip(mine, want))) == len(set(mine)) == len(set(want))
 
-    def root(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
 
-    failed = 0
-    for i, j in np.argwhere(np.triu(met, 1)).tolist():
-        both = len(sets[i] & sets[j])
-        if both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
-            parent[max(root(i), root(j))] = min(root(i), root(j))
-        else:
-            failed += 1
-    assert failed
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
-    kept = {r.doc_id for r in simhash.drop_near_duplicates(docs).collect()}
-    assert kept == {root(i) for i in range(len(texts))}
-
-
-def test_signatures_hold_twelve_sketches():
-    marks = np.array([simhash.signature(simhash.shingle_hashes(f"a b c d {n}", 3)) for n in range(50)], np.int64).view(np.uint64)
-    codes = [simhash.sketch(marks, k) for k in range(simhash.SKETCHES)]
-    assert len(codes) == 12 and all(len(np.unique(c)) > 1 and c.max() < 1 << 28 for c in codes)
-    assert len(np.unique(np.stack(codes), axis=0)) == 12
+def test_one_document_of_each_group_stays(small, small_rows):
+    codes = np.array([simhash_of(t) for _, t in small_rows], np.uint64)
+    want = set(groups(codes, [i for i, _ in small_rows], 2))
+    kept = simhash.drop_near_duplicates(small).collect()
+    assert sorted(r.doc_id for r in kept) == sorted(want) and len(want) < len(small_rows)
+    texts = dict(small_rows)
+    assert all(r.text == texts[r.doc_id] for r in kept)
 
 
 def test_near_duplicate_edges(odd):
