@@ -13,7 +13,9 @@ allowing for its length, and the score is a softmax of the log likelihoods at th
 
 Null texts and texts without a letter are ``und`` with score 0 and are rejected.  Rows with a null
 language are not learned from.  A table without any labelled text leaves every text ``und``.
-Repeated rows each get their own result.
+Repeated rows each get their own result, and are learned from once.  Of languages equally likely the
+first by name wins.  Texts are scored whole, in memory of about 60 bytes a letter and language; a
+text's result does not depend on the rows around it.  An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -30,10 +32,8 @@ from evalmill.llm.common import over_batches
 
 #: Longest n-gram.
 ORDER = 4
-#: Bound of the sample that is learned from: texts per language (chosen by a hash of id and text),
-#: and n-grams per language (the most frequent), which bounds the arrays that are sent out.
+#: Bound of the sample that is learned from: different texts per language, chosen by a hash.
 SAMPLE_TEXTS = 1500
-SAMPLE_GRAMS = 400_000
 #: One in so many sample texts calibrates instead of being counted.
 CALIBRATION = 5
 #: Rejection: allowed multiple of the standardised cross-entropy that this share of the calibration
@@ -61,19 +61,16 @@ def symbols(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """
     lower = [(t or "").lower() for t in texts]
     sizes = np.fromiter(map(len, lower), np.int64, len(lower))
-    points = np.frombuffer(" ".join(lower).encode("utf-32-le", "surrogatepass"), np.uint32)
+    points = np.frombuffer("".join(t + " " for t in lower).encode("utf-32-le", "surrogatepass"), np.uint32)
     owner_end = np.cumsum(sizes + 1) - 1
     letter = letters()[np.minimum(points, 0x10FFFF)]
-    # A blank stays where a letter stands before it; the start of each text gets its own blank.
+    # A blank stays where a letter stands before it, at a text's end too.
     kept = letter.copy()
     kept[1:] |= letter[:-1]
     first = owner_end - sizes
-    if len(owner_end):
-        last = owner_end[:-1]
-        kept[last] = sizes[:-1] > 0
-        kept[last] &= letter[last - 1]
+    kept[owner_end] = (sizes > 0) & letter[owner_end - 1]
     count = np.concatenate([[0], np.cumsum(kept)])
-    begin, end = count[np.minimum(first, len(points))], count[np.minimum(owner_end + 1, len(points))]
+    begin, end = count[first], count[owner_end + 1]
     out = np.where(letter, points, BLANK)[kept].astype(np.uint64)
     return out, np.concatenate([begin, end[-1:]]) if len(begin) else np.zeros(1, np.int64)
 
@@ -95,14 +92,24 @@ def gram_hashes(symbol: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
     return hashes
 
 
+def blank_hashes() -> list[np.ndarray]:
+    """For each order, the hash of as many blanks: what stands before a text."""
+    symbol = np.array([BLANK], np.uint64)
+    return [h[0] for h in gram_hashes(symbol, np.array([0, 1]))]
+
+
 @dataclass
 class Model:
-    """Per order: sorted hashes, log probabilities and log back-off weights by language."""
+    """Per order: sorted hashes, log probabilities and log back-off weights by language.
+
+    ``start`` holds the weights of the blanks before a text, by order of the n-gram behind them less 2.
+    """
 
     languages: list[str]
     keys: list[np.ndarray]
     logp: list[np.ndarray]
     backoff: list[np.ndarray]
+    start: np.ndarray
     floor: np.ndarray
     mean: np.ndarray
     spread: np.ndarray
@@ -115,6 +122,8 @@ class Model:
         hashes = gram_hashes(symbol, starts)
         total = np.empty((len(symbol), len(self.languages)), np.float32)
         left = np.arange(len(symbol))
+        at_start = np.zeros(len(symbol), bool)
+        at_start[starts[:-1][np.diff(starts) > 0]] = True
         carry = None
         for order in range(ORDER, 0, -1):
             keys, wanted = self.keys[order - 1], hashes[order - 1][left]
@@ -127,13 +136,15 @@ class Model:
                 break
             carry = np.zeros((len(left), len(self.languages)), np.float32) if carry is None else carry[~found]
             if order > 1:
-                # The context is the (n-1)-gram that ends one symbol earlier.
+                # The context is the (n-1)-gram that ends one symbol earlier; blanks for a text's first.
+                first = at_start[left]
+                carry[first] += self.start[order - 2]
                 context = hashes[order - 2][left - 1]
                 context_keys = self.keys[order - 2]
                 at = np.minimum(np.searchsorted(context_keys, context), max(len(context_keys) - 1, 0))
                 known = context_keys[at] == context if len(context_keys) else np.zeros(len(left), bool)
-                inside = left > 0
-                carry[known & inside] += self.backoff[order - 2][at[known & inside]]
+                known &= ~first
+                carry[known] += self.backoff[order - 2][at[known]]
         if len(left):
             total[left] = self.floor + carry
         sizes = np.diff(starts)
@@ -240,8 +251,15 @@ def _model(counts: dict[str, dict[str, np.ndarray]]) -> Model:
         keys.append(key)
         logp.append(table)
         backoff.append(weights)
-    n = len(languages)
-    return Model(languages, keys, logp, backoff, floor, np.zeros(n), np.ones(n), np.full(n, np.inf), 1.0)
+    n, blanks = len(languages), blank_hashes()
+    start = np.zeros((ORDER - 1, n), np.float32)
+    for column, part in enumerate(parts):
+        for order in range(2, ORDER + 1):
+            _, _, contexts, weight = part[order - 1]
+            found = contexts == blanks[order - 2]
+            if found.any():
+                start[order - 2, column] = np.log(weight[found][0])
+    return Model(languages, keys, logp, backoff, start, floor, np.zeros(n), np.ones(n), np.full(n, np.inf), 1.0)
 
 
 def _gram_counts(texts: list[str | None]) -> dict[str, np.ndarray]:
@@ -251,11 +269,7 @@ def _gram_counts(texts: list[str | None]) -> dict[str, np.ndarray]:
     gram, first, count = np.unique(hashes[-1], return_index=True, return_counts=True)
     columns = {f"s{o}": hashes[o - 1][first] for o in range(1, ORDER + 1)}
     position = np.arange(len(symbol)) - np.repeat(starts[:-1], np.diff(starts))
-    blanks = [np.uint64((BLANK + 1) * int(_MIX) % 2**64)]
-    weight = 1
-    for _ in range(2, ORDER + 1):
-        weight = weight * _STEP % 2**64
-        blanks.append(np.uint64((int(blanks[-1]) + int(blanks[0]) * weight) % 2**64))
+    blanks = blank_hashes()
     for order in range(2, ORDER + 1):
         before = hashes[order - 2][np.maximum(first - 1, 0)]
         columns[f"c{order}"] = np.where(position[first] == 0, blanks[order - 2], before)
@@ -263,24 +277,26 @@ def _gram_counts(texts: list[str | None]) -> dict[str, np.ndarray]:
 
 
 def sample(labelled: DataFrame, texts: int = SAMPLE_TEXTS) -> DataFrame:
-    """About ``texts`` rows per language, chosen by hash: bounded whatever the table's size."""
-    labelled = labelled.where("lang is not null and text is not null")
-    sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
-    if not sizes:
-        return labelled.withColumn("calibrates", F.lit(False)).limit(0)
-    spot = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30))
-    share = F.element_at(
-        F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, texts / n))]), F.col("lang")
+    """lang, text and calibrates of at most ``texts`` different texts per language, chosen by hash."""
+    labelled = labelled.where("lang is not null and text is not null").select("lang", "text")
+    sizes = labelled.groupBy(F.col("lang").alias("_lang")).agg(F.count("*").alias("_n"))
+    spot = F.pmod(F.xxhash64("text"), F.lit(1 << 30))
+    # About twice as many as are wanted come by the hash alone, then a window cuts exactly.
+    # A row per language, of each of which the model holds whole arrays.
+    near = labelled.join(F.broadcast(sizes), F.col("lang") == F.col("_lang")).where(spot < 2.0 * texts / F.col("_n") * (1 << 30))
+    once = near.groupBy("lang", "text").agg(F.count("*").alias("_copies"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(spot, "text"))
+    calibrates = F.pmod(F.xxhash64("text", F.lit(1)), F.lit(CALIBRATION)) == 0
+    return once.withColumn("_place", place).where(F.col("_place") <= texts).select(
+        "lang", "text", calibrates.alias("calibrates")
     )
-    calibrates = F.pmod(F.xxhash64("text", "doc_id"), F.lit(CALIBRATION)) == 0
-    return labelled.where(spot < share * (1 << 30)).select("lang", "text", calibrates.alias("calibrates"))
 
 
-def train(labelled: DataFrame, texts: int = SAMPLE_TEXTS, grams: int = SAMPLE_GRAMS) -> Model:
-    """Learn from ``labelled`` (doc_id, text, lang): Spark counts n-grams, the driver smooths them.
+def train(labelled: DataFrame, texts: int = SAMPLE_TEXTS) -> Model:
+    """Learn from ``labelled`` (text, lang): Spark counts n-grams, the driver smooths them.
 
-    What reaches the driver is bounded by ``grams`` rows per language; the calibration texts are
-    scored in Spark and only their cross-entropies come back, ``texts`` numbers per language.
+    The driver gets the different n-grams of at most ``texts`` texts per language; the calibration
+    texts are scored in Spark and only their cross-entropies come back, a number each.
     """
     chosen = sample(labelled, texts).persist()
     columns = [f"s{o}" for o in range(1, ORDER + 1)] + [f"c{o}" for o in range(2, ORDER + 1)]
@@ -303,8 +319,7 @@ def train(labelled: DataFrame, texts: int = SAMPLE_TEXTS, grams: int = SAMPLE_GR
         .groupBy("lang", f"s{ORDER}")
         .agg(F.sum("count").alias("count"), *[F.first(c).alias(c) for c in same])
     )
-    frequent = Window.partitionBy("lang").orderBy(F.desc("count"), f"s{ORDER}")
-    table = counted.withColumn("rank", F.row_number().over(frequent)).where(F.col("rank") <= grams).toArrow()
+    table = counted.toArrow()
     langs = np.array(table.column("lang").to_pylist(), object)
     counts: dict[str, dict[str, np.ndarray]] = {}
     for lang in dict.fromkeys(langs.tolist()):

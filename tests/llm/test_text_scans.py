@@ -2,7 +2,9 @@
 
 import hashlib
 import html as references
+import math
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -61,6 +63,77 @@ def test_language_probabilities_add_up(spark, small):
     assert sure["rejected"] == [False, True]
 
 
+LEARNED = {
+    "en": ["the cat sat on the mat", "a cat and the hat", "that is the mat"],
+    "fr": ["le chat est là", "la chatte et le rat été", "été là là"],
+}
+
+
+def learned_model():
+    return langid._model({lang: langid._gram_counts(texts) for lang, texts in LEARNED.items()})
+
+
+def kneser_ney(lang):
+    """log p of a text by interpolated Kneser-Ney with plain dicts, over tuples of symbols."""
+    order = langid.ORDER
+
+    def spelled(text):
+        return [chr(c) for c in langid.symbols([text])[0].tolist()]
+
+    known = {c for texts in LEARNED.values() for t in texts for c in spelled(t)}
+    counts = [Counter() for _ in range(order + 1)]
+    for text in LEARNED[lang]:
+        padded = [" "] * (order - 1) + spelled(text)
+        counts[order].update(tuple(padded[i : i + order]) for i in range(len(padded) - order + 1))
+    for n in range(order - 1, 0, -1):
+        counts[n].update(gram[1:] for gram in counts[n + 1])
+
+    def discount(n):
+        once, twice = (sum(1 for c in counts[n].values() if c == k) for k in (1, 2))
+        return once / (once + 2 * twice) if once and twice else 0.5
+
+    def p(gram):
+        n = len(gram)
+        lower = p(gram[1:]) if n > 1 else 1 / (len(known) + 1)
+        same = [c for g, c in counts[n].items() if g[:-1] == gram[:-1]]
+        if not same:
+            return lower
+        d = discount(n)
+        return max(counts[n][gram] - d, 0) / sum(same) + d * len(same) / sum(same) * lower
+
+    def total(text):
+        padded = [" "] * (order - 1) + spelled(text)
+        return sum(math.log(p(tuple(padded[i : i + order]))) for i in range(len(padded) - order + 1))
+
+    return total
+
+
+TEXTS = ["the cat", "le chat", "", "zzz là", "x", "that hat sat", "1 2", "mat mat the", "rat était", None, "q the"]
+
+
+def test_language_likelihoods_equal_plain_kneser_ney():
+    model = learned_model()
+    _, sums = model.log_likelihood(TEXTS)
+    for column, lang in enumerate(model.languages):
+        total = kneser_ney(lang)
+        assert np.allclose(sums[:, column], [total(t) if t else 0.0 for t in TEXTS], rtol=1e-5, atol=1e-4)
+
+
+def test_language_likelihoods_do_not_depend_on_the_batch():
+    model = learned_model()
+    alone = [model.log_likelihood([t])[1][0].tolist() for t in TEXTS]
+    assert model.log_likelihood(TEXTS)[1].tolist() == alone
+    assert model.log_likelihood(TEXTS[::-1])[1].tolist() == alone[::-1]
+
+
+def test_language_sample_is_bounded(spark):
+    rows = [(i, "one text" if i % 2 else f"text {i}", "en") for i in range(1000)]
+    labelled = spark.createDataFrame(rows, "doc_id int, text string, lang string")
+    chosen = [r.text for r in langid.sample(labelled, 50).collect()]
+    assert len(chosen) == len(set(chosen)) <= 50 and len(chosen) > 30
+    assert langid.sample(labelled).count() == 501
+
+
 def test_license_words_and_phrases(small, odd):
     for docs in (small, odd):
         texts = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
