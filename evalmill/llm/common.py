@@ -16,6 +16,8 @@ from evalmill.session import session_conf, shared_folder
 
 #: Text rows in one Arrow batch. A batch is at least one whole text, however long.
 BATCH_ROWS = 512
+#: Bytes of a batch for work that takes many times its memory.
+BATCH_BYTES = 2 << 20
 
 
 def stored(df: DataFrame, purpose: str) -> DataFrame:
@@ -48,20 +50,36 @@ def row_key(*columns: str) -> list[Column]:
     return [F.xxhash64(*columns).alias("key_a"), F.xxhash64(*reversed(columns), F.lit(1)).alias("key_b")]
 
 
+def _pieces(batch: pa.RecordBatch, most: int | None) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of at most ``most`` bytes, or of one longer row."""
+    if most is None or batch.num_rows < 2 or batch.nbytes <= most:
+        yield batch
+    else:
+        half = batch.num_rows // 2
+        yield from _pieces(batch.slice(0, half), most)
+        yield from _pieces(batch.slice(half), most)
+
+
 def over_batches(
-    df: DataFrame, work: Callable[[pa.RecordBatch], dict], schema: StructType, rows: int = BATCH_ROWS
+    df: DataFrame,
+    work: Callable[[pa.RecordBatch], dict],
+    schema: StructType,
+    rows: int = BATCH_ROWS,
+    most: int | None = None,
 ) -> DataFrame:
-    """Apply ``work`` to Arrow batches of at most ``rows`` rows; it returns the result's columns."""
+    """Apply ``work`` to Arrow batches of at most ``rows`` rows and, if given, ``most`` bytes (or one
+    longer row); it returns the result's columns."""
     fields = to_arrow_schema(schema)
     found_by_workers(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, rows):
-                columns = work(batch.slice(start, rows))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(columns[f.name], f.type) for f in fields], schema=fields
-                )
+                for piece in _pieces(batch.slice(start, rows), most):
+                    columns = work(piece)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(columns[f.name], f.type) for f in fields], schema=fields
+                    )
 
     return df.mapInArrow(run, schema)
 

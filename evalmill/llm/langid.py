@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from evalmill.llm.common import over_batches
+from evalmill.llm.common import BATCH_BYTES, over_batches
 
 #: Longest n-gram.
 ORDER = 4
@@ -315,7 +315,7 @@ def train(labelled: DataFrame, texts: int = SAMPLE_TEXTS) -> Model:
     spread = chosen.where("not calibrates").select("lang", "text")
     same = [c for c in columns if c != f"s{ORDER}"]
     counted = (
-        over_batches(spread, count, schema)
+        over_batches(spread, count, schema, most=BATCH_BYTES)
         .groupBy("lang", f"s{ORDER}")
         .agg(F.sum("count").alias("count"), *[F.first(c).alias(c) for c in same])
     )
@@ -341,7 +341,7 @@ def _calibrate(model: Model, held_out: DataFrame) -> None:
         sizes, sums = shared.value.log_likelihood(batch.column(1).to_pylist())
         return {"lang": batch.column(0), "size": sizes, "sums": sums.tolist()}
 
-    rows = [r for r in over_batches(held_out, score, schema).collect() if r["size"]]
+    rows = [r for r in over_batches(held_out, score, schema, most=BATCH_BYTES).collect() if r["size"]]
     known = [r for r in rows if r["lang"] in model.languages]
     if not known:
         return
@@ -380,7 +380,7 @@ def identify(docs: DataFrame, model: Model, text_column: str = "text") -> DataFr
         own = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
         return own | shared.value.predict(batch.column(text_at).to_pylist())
 
-    return over_batches(source, work, StructType([*source.schema, *added]))
+    return over_batches(source, work, StructType([*source.schema, *added]), most=BATCH_BYTES)
 
 
 def held_out(doc_id: Column) -> Column:

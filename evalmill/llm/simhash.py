@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from evalmill.llm.common import over_batches, stored
+from evalmill.llm.common import BATCH_BYTES, over_batches, stored
 
 #: Contract: words of a shingle, and bits that linked fingerprints may differ in.
 WORDS, RADIUS = 3, 2
@@ -86,7 +86,8 @@ def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
         found = [majority_bits(shingle_hashes(t, words)) for t in batch.column(1).to_pylist()]
         return {"doc_id": batch.column(0), "fp": np.array(found, np.uint64).view(np.int64)}
 
-    return over_batches(source, work, StructType([source.schema["doc_id"], *StructType.fromDDL("fp bigint")]))
+    schema = StructType([source.schema["doc_id"], *StructType.fromDDL("fp bigint")])
+    return over_batches(source, work, schema, most=BATCH_BYTES)
 
 
 # A tree is a nested tuple (vantage point, border, inside, outside); a leaf is its shard's number.
@@ -312,7 +313,7 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
         return own | {"fp": np.array(found, np.uint64).view(np.int64)}
 
     schema = StructType([*source.schema[:3], *StructType.fromDDL("fp bigint")])
-    marked = stored(over_batches(source, work, schema), "fingerprints")
+    marked = stored(over_batches(source, work, schema, most=BATCH_BYTES), "fingerprints")
     named = grouped(marked, F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key_a", "key_b"))
     kept = stored(
         named.groupBy("root").agg(F.min("first").alias("first")).select("first.key_a", "first.key_b"), "kept-documents"
