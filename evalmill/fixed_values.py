@@ -188,3 +188,25 @@ TRAIN_CONTRACT = {
         "instruction": {"type": "string"},
     },
 }
+
+
+# File name endings of saved payloads by content type.
+SUFFIXES = {
+    "application/json": ".json",
+    "application/pdf": ".pdf",
+    "application/zip": ".zip",
+    "audio/mpeg": ".mp3",
+    "audio/x-wav": ".wav",
+    "image/bmp": ".bmp",
+    "image/gif": ".gif",
+    "image/jpeg": ".jpg",
+    "image/png": ".png",
+    "image/svg+xml": ".svg",
+    "image/webp": ".webp",
+    "text/css": ".css",
+    "text/csv": ".csv",
+    "text/html": ".html",
+    "text/plain": ".txt",
+    "text/xml": ".xml",
+    "video/mp4": ".mp4",
+}

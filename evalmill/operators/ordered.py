@@ -108,6 +108,30 @@ def _from_spots(rows: DataFrame, name: str) -> DataFrame:
     return numbered.withColumn(name, F.col("_before") + within).drop("_task", "_before", "_spot")
 
 
+def file_positions(df: DataFrame, name: str) -> DataFrame:
+    """A Parquet table as read, with ``name``, each row's number from 0 in the order it was written:
+    by file name, then by row of the file.
+
+    Every file gives its number of rows, one row each to add up; rows are neither sorted nor shuffled.
+    """
+    marked = df.select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    counts = marked.groupBy("_file").agg(F.count(F.lit(1)).alias("_rows"))
+    earlier = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select("_file", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"))
+    # One row per file, less than what the driver holds of each to plan the scan.
+    numbered = marked.join(F.broadcast(before), "_file")
+    return numbered.withColumn(name, F.col("_before") + F.col("_row")).drop("_file", "_row", "_before")
+
+
+def zip_by_position(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Rows of two Parquet tables side by side, by position; where one is longer, its rest stands
+    alone and ``alignment`` says which side is missing. Their columns must differ in name."""
+    first, second = file_positions(left, "position"), file_positions(right, "position")
+    joined = first.withColumn("_l", F.lit(True)).join(second.withColumn("_r", F.lit(True)), "position", "full")
+    missing = F.when(F.col("_l").isNull(), "no left").when(F.col("_r").isNull(), "no right").otherwise("matched")
+    return joined.withColumn("alignment", missing).drop("_l", "_r")
+
+
 def _nth_per_group(ids: DataFrame, keys: list[str], order: str, n: int, bits: int = RANGE_BITS) -> DataFrame:
     """Keys and ``_limit``, the ``n``-th smallest id, of every group that has as many.
 

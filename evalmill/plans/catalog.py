@@ -22,8 +22,8 @@ from evalmill.operators import chat, contracts, listing, lookups, ordered, reque
 from evalmill.operators.predict import batch_predict as predict_batches
 from evalmill.plans import evaluation, indexing, serving, training, views
 from evalmill.plans.views import table
-from evalmill.session import shared_folder
-from evalmill.sources import datasets, files, payloads
+from evalmill.session import shared_folder, written
+from evalmill.sources import datasets, files, payloads, stored_index
 from evalmill.streaming.run_status import read_rejects, stream_files
 from evalmill.streaming.run_status import run_status_stream as stream_status
 
@@ -133,11 +133,31 @@ def content_manifest(spark, sf_dir):
     return files.content_manifest(table(spark, sf_dir, "documents"), ["doc_id"], "text")
 
 
+@query
+def file_manifest(spark, sf_dir):
+    """Manifest of a nested folder that holds every document, empty files and hidden names too."""
+    folder = shared_folder(spark, "tree")
+    files.write_files(views.document_files(spark, sf_dir), folder, "name", "body")
+    return files.file_manifest(spark, folder).select(
+        F.substring_index("path", "/", -3).alias("name"), "sha256", "length", "error"
+    )
+
+
+@query
+def payload_files(spark, sf_dir):
+    """Every part of the payloads saved as a file of its own."""
+    routed = payloads.payload_route(views.payload_parts(spark, sf_dir))
+    saved = payloads.payload_files(routed, shared_folder(spark, "payload-files"), ["page_id"])
+    return saved.select(
+        "page_id", _long("part_no"), "kind", F.substring_index("path", "/", -2).alias("name"), "length", "sha256", "error"
+    )
+
+
 @query
 def payload_write(spark, sf_dir):
     routed = payloads.payload_route(views.payload_parts(spark, sf_dir))
-    written = payloads.payload_write(routed, shared_folder(spark, "payloads"))
-    return written.select(
+    parts = payloads.payload_write(routed, shared_folder(spark, "payloads"))
+    return parts.select(
         "page_id",
         _long("part_no"),
         "content_type",
@@ -150,8 +170,8 @@ def payload_write(spark, sf_dir):
 def report_write(spark, sf_dir):
     scored = _scored(spark, sf_dir)
     report = scoring.eval_report(scored, "item_id", {"split": "test", "max_items": 0})
-    written = payloads.report_write(report, shared_folder(spark, "report"))
-    return written.select(
+    rows = payloads.report_write(report, shared_folder(spark, "report"))
+    return rows.select(
         "section", "subject", "ok", "items", "correct", "accuracy",
         F.transform("samples", lambda s: s["item_id"]).cast("string").alias("samples"),
         F.col("config.split").alias("split"),
@@ -270,6 +290,25 @@ def aligned_score_join(spark, sf_dir):
     return _letters_only(spark, sf_dir).select("item_id", "subject", "pred", "gold")
 
 
+@query
+def aligned_score_full(spark, sf_dir):
+    """Predictions and golds of which either may lack the other."""
+    preds = evaluation.letters(views.raw_outputs(spark, sf_dir)).select("item_id", "pred")
+    golds = evaluation.golds(views.eval_items(spark, sf_dir))
+    joined = lookups.aligned_score_join(preds.where("item_id % 5 != 0"), golds.where("item_id % 7 != 0"), ["item_id"], "full")
+    return joined.select("item_id", "subject", "pred", "gold", "alignment")
+
+
+@query
+def zip_scores(spark, sf_dir):
+    """Predictions and golds written in item order, without their ids, put side by side by position."""
+    order = lambda df: df.repartitionByRange("item_id").sortWithinPartitions("item_id")
+    scored = _letters_only(spark, sf_dir).where("item_id % 9 != 4")
+    left = written(order(scored).select("pred"), "predictions")
+    right = written(order(scored.where("item_id < 900")).select("subject", "gold"), "golds")
+    return ordered.zip_by_position(left, right).select("position", "subject", "pred", "gold", "alignment")
+
+
 @query
 def coverage_listing(spark, sf_dir):
     documents = table(spark, sf_dir, "documents").select("doc_id", "lang")
@@ -504,6 +543,17 @@ def index_upsert(spark, sf_dir):
     return state.index_with_latest(index)
 
 
+@query
+def index_stored(spark, sf_dir):
+    """The same upserts, in three steps, to an index that is kept in buckets on disk."""
+    folder = shared_folder(spark, "index")
+    updates = views.index_updates(spark, sf_dir)
+    index = views.index_base(spark, sf_dir)
+    for part in (index, updates.where("seq % 2 = 1"), updates.where("seq % 2 = 0")):
+        stored_index.upsert_stored(part.select(index.columns), folder, buckets=16)
+    return state.index_with_latest(stored_index.read_stored(spark, folder, index.schema))
+
+
 def _status_rows(records: DataFrame) -> DataFrame:
     iso = lambda name: utc_iso(F.col(name), zoned=False).alias(name)
     return records.select(
@@ -666,6 +716,26 @@ def chat_predict(model: list[str], batch: pd.DataFrame) -> list[str]:
     ]
 
 
+def _run_path(spark, sf_dir):
+    return serving.run_path(
+        views.referred_params(spark, sf_dir), views.chat_index(spark, sf_dir), views.params_files(spark, sf_dir),
+        views.chat_overrides(spark, sf_dir), stub_load, chat_predict, shared_folder(spark, "run"),
+    )
+
+
+@query
+def run_path_files(spark, sf_dir):
+    """References, parameter files, YAML and overrides to the files that were saved."""
+    saved, _ = _run_path(spark, sf_dir)
+    return saved.select("req_id", "model", "version", F.substring_index("path", "/", -4).alias("name"), "length", "sha256", "error")
+
+
+@query
+def run_path_rejects(spark, sf_dir):
+    """The requests of the same run that were rejected."""
+    return _run_path(spark, sf_dir)[1].select("req_id", "version", "error")
+
+
 @query
 def run_to_payloads(spark, sf_dir):
     """Chat requests from parameters to the bytes that were written."""

@@ -80,6 +80,25 @@ scored AS (
 TALLY = """count(*) FILTER (WHERE pred = gold) AS correct, count(*) AS total,
   count(*) FILTER (WHERE pred = gold) / greatest(1, count(*)) AS accuracy"""
 
+RUN_PATH = """
+WITH run AS (
+  SELECT event_id AS req_id, event_type,
+    CASE WHEN event_id % 11 = 0 THEN 'nobody' WHEN event_id % 2 = 0 THEN 'gpt-oss-20b' ELSE 'gpt-oss-120b' END AS model,
+    CASE WHEN event_id % 4 <> 0 THEN 'v' || (event_id % 3) END AS asked,
+    CASE WHEN event_id % 3 = 0 THEN 'low' WHEN event_id % 2 = 1 THEN 'high' ELSE 'medium' END AS level
+  FROM events
+),
+shaped AS (
+  SELECT *, coalesce(asked, 'v1') AS version,
+    CASE WHEN model = 'nobody' THEN 'unknown name' WHEN asked = 'v2' THEN 'unknown version'
+         WHEN req_id % 7 = 0 THEN '$.temperature: above maximum 2'
+         WHEN req_id % 5 = 0 AND req_id % 2 = 0 THEN 'messages required' END AS problem,
+    '{' || chr(10) || '  "response": "' || event_type || '",' || chr(10) || '  "analysis": "' || req_id || '",'
+      || chr(10) || '  "commentary": null,' || chr(10) || '  "reasoning_level": "' || level || '"' || chr(10) || '}'
+      AS body
+  FROM run
+)"""
+
 KV_PARAMS = """
 kv_params AS (
   SELECT event_id AS req_id, unnest([0, 1, 2, 3, 4, 5, 6, 7]) AS pos,
@@ -194,6 +213,28 @@ ORACLE: dict[str, str] = {
                  THEN octet_length(encode('{{' || chr(10) || '  "page_id": ' || page_id || chr(10) || '}}'))
                ELSE octet_length(from_base64(data)) END AS n_bytes
         FROM payload_parts WHERE content_type IS NOT NULL AND data IS NOT NULL""",
+    "payload_files": f"""
+        WITH {PAYLOAD_PARTS},
+        shaped AS (
+          SELECT page_id, CAST(part_no AS BIGINT) AS part_no, content_type,
+            CASE WHEN content_type LIKE 'text/%' THEN encode(data)
+                 WHEN content_type = 'application/json'
+                   THEN encode('{{' || chr(10) || '  "page_id": ' || page_id || chr(10) || '}}')
+                 ELSE from_base64(data) END AS body
+          FROM payload_parts WHERE content_type IS NOT NULL AND data IS NOT NULL
+        )
+        SELECT page_id, part_no,
+          CASE part_no WHEN 0 THEN 'text' WHEN 1 THEN 'json' ELSE 'binary' END AS kind,
+          page_id || '/artifact-' || part_no || CASE part_no WHEN 0 THEN '.html' WHEN 1 THEN '.json' ELSE '.png' END
+            AS name,
+          octet_length(body) AS length, sha256(body) AS sha256, CAST(NULL AS VARCHAR) AS error
+        FROM shaped""",
+    "file_manifest": """
+        SELECT source || '/' || lang || '/' || doc_id || '.txt' AS name,
+          'sha256:' || sha256(CASE WHEN doc_id % 13 = 0 THEN '' ELSE text END) AS sha256,
+          CASE WHEN doc_id % 13 = 0 THEN 0 ELSE octet_length(encode(text)) END AS length,
+          CAST(NULL AS VARCHAR) AS error
+        FROM documents WHERE doc_id % 10 <> 0""",
     "request_defaults": f"""
         WITH {REQUESTS}
         SELECT req_id, model, prompt,
@@ -264,6 +305,29 @@ ORACLE: dict[str, str] = {
                ELSE '' END AS errors
         FROM (SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)""",
     "aligned_score_join": f"{SCORED} SELECT item_id, subject, pred, gold FROM scored",
+    "aligned_score_full": f"""
+        {SCORED},
+        p AS (SELECT item_id, pred FROM preds WHERE item_id % 5 <> 0),
+        g AS (
+          SELECT item_id, coalesce(subject, 'unknown') AS subject,
+            CASE WHEN answer_idx BETWEEN 0 AND 3 THEN substr('ABCD', CAST(answer_idx + 1 AS INT), 1) END AS gold
+          FROM eval_items WHERE item_id % 7 <> 0
+        )
+        SELECT item_id, subject, pred, gold,
+          CASE WHEN p.item_id IS NULL THEN 'no prediction' WHEN g.item_id IS NULL THEN 'no gold' ELSE 'matched' END
+            AS alignment
+        FROM p FULL JOIN g USING (item_id)""",
+    "zip_scores": f"""
+        {SCORED},
+        p AS (
+          SELECT row_number() OVER (ORDER BY item_id) - 1 AS position, pred FROM scored WHERE item_id % 9 <> 4
+        ),
+        g AS (
+          SELECT row_number() OVER (ORDER BY item_id) - 1 AS position, subject, gold
+          FROM scored WHERE item_id % 9 <> 4 AND item_id < 900
+        )
+        SELECT position, subject, pred, gold, CASE WHEN g.position IS NULL THEN 'no right' ELSE 'matched' END AS alignment
+        FROM p LEFT JOIN g USING (position)""",
     "coverage_listing": """
         SELECT d.doc_id, d.lang, l.doc_id IS NOT NULL AS built,
           CASE WHEN l.doc_id IS NOT NULL THEN 'built' ELSE 'not built yet' END AS status
@@ -443,6 +507,20 @@ ORACLE: dict[str, str] = {
         entries AS (SELECT name, version, path, sha256, seq FROM ranked WHERE n = 1)
         SELECT *, first_value(version) OVER (PARTITION BY name ORDER BY seq DESC) AS latest
         FROM entries""",
+    "index_stored": f"""
+        WITH {INDEX_UPDATES},
+        written AS (
+          SELECT * FROM index_updates
+          UNION ALL
+          SELECT 'u' || c_custkey, 'base', 'u' || c_custkey || '/base', sha256(c_name), -1
+          FROM customer
+        ),
+        ranked AS (
+          SELECT *, row_number() OVER (PARTITION BY name, version ORDER BY seq DESC) AS n FROM written
+        ),
+        entries AS (SELECT name, version, path, sha256, seq FROM ranked WHERE n = 1)
+        SELECT *, first_value(version) OVER (PARTITION BY name ORDER BY seq DESC) AS latest
+        FROM entries""",
     "run_status_fold": STATUS_FOLD,
     "run_status_stream": STATUS_FOLD,
     "run_status_rejects": """
@@ -616,6 +694,16 @@ ORACLE: dict[str, str] = {
           CASE WHEN req_id % 6 = 0 THEN 'primary' ELSE 'default' END AS provenance,
           CASE WHEN req_id % 4 = 3 THEN '$: image is required' WHEN body IS NULL THEN 'could not decode image' END AS error
         FROM read""",
+    "run_path_files": f"""
+        {RUN_PATH}
+        SELECT req_id, model, version, model || '/' || version || '/' || req_id || '/artifact-0.json' AS name,
+          octet_length(encode(body)) AS length, sha256(body) AS sha256, CAST(NULL AS VARCHAR) AS error
+        FROM shaped WHERE problem IS NULL""",
+    "run_path_rejects": f"""
+        {RUN_PATH}
+        SELECT req_id, CASE WHEN problem = 'unknown name' AND asked IS NULL THEN NULL ELSE version END AS version,
+          problem AS error
+        FROM shaped WHERE problem IS NOT NULL""",
     "run_to_payloads": """
         WITH chat AS (
           SELECT event_id AS req_id, event_type, CASE WHEN event_id % 2 = 0 THEN 'gpt-oss-20b' ELSE 'gpt-oss-120b' END AS model,

@@ -10,10 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evalmill import fixed_values as fixed
-from evalmill.functions.text import blank_to_null
+from evalmill.functions.text import blank_to_null, strip_text
 from evalmill.operators.chat import inject_level, vision_messages
 from evalmill.operators.contracts import TYPE_TESTS, Node, check_contract, kind_of, members_errors
-from evalmill.operators.lookups import lookup_with_fallback
+from evalmill.operators.lookups import lookup, lookup_with_fallback, version_resolve
 from evalmill.operators.once import computed_once
 from evalmill.operators.predict import batch_predict
 from evalmill.operators.requests import (
@@ -24,8 +24,10 @@ from evalmill.operators.requests import (
     required_filter,
 )
 from evalmill.plans.channels import CHANNELS, tagged_channels
-from evalmill.session import session_conf
-from evalmill.sources.payloads import image_payload_decode, payload_route, payload_write
+from evalmill.session import session_conf, written
+from evalmill.sources.files import file_payload_scan, local_path
+from evalmill.sources.params import params_json
+from evalmill.sources.payloads import image_payload_decode, payload_files, payload_route, payload_write
 
 
 def json_literal(kind: Column, text: Column, integer: Column, number: Column) -> Column:
@@ -277,3 +279,59 @@ def run_chat(
     )
     shaped = chat_envelope(results).withColumn("content_type", F.lit("application/json"))
     return payload_write(payload_route(shaped.drop("reasoning_level")), path)
+
+
+def override_files(overrides: DataFrame, files: DataFrame) -> DataFrame:
+    """Overrides whose file parameters that name one of ``files`` hold its base64 instead."""
+    at = F.locate("=", F.col("kv"))
+    split = overrides.withColumns(
+        {"_name": strip_text(F.substring_index("kv", "=", 1)), "_value": F.substr(F.col("kv"), at + 1)}
+    )
+    found = file_payload_scan(split.where(at > 0), files, "_name", "_value")
+    return found.select("req_id", "pos", F.concat_ws("=", "_name", "_value").alias("kv"))
+
+
+def referred_requests(requests: DataFrame, index: DataFrame, files: DataFrame) -> DataFrame:
+    """``(req_id, model, version, params, status)`` of requests ``(req_id, ref, params)``.
+
+    ``ref`` names a model and maybe a version in the index. ``params`` is JSON or YAML, or the path of
+    one of ``files`` (``path``, ``content``) that holds it.
+    """
+    resolved = version_resolve(requests, index, "ref").select(
+        "req_id", F.col("name").alias("model"), "version", "params", "status"
+    )
+    asked = resolved.withColumn("_path", F.when(F.col("params").startswith("/") | F.col("params").startswith("file:"), local_path(strip_text("params"))))
+    known = files.select(F.col("path").alias("_path"), F.decode("content", "UTF-8").alias("_file"))
+    read = computed_once(lookup(asked, known, ["_path"]), {"_text": params_json(F.coalesce("_file", "params"))})
+    return read.select("req_id", "model", "version", F.col("_text").alias("params"), "status")
+
+
+def run_path(
+    requests: DataFrame,
+    index: DataFrame,
+    files: DataFrame,
+    overrides: DataFrame | None,
+    load: Callable[[], Any],
+    predict: Callable[[Any, pd.DataFrame], Iterable[str | None]],
+    folder: str,
+    tasks: int | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """The whole path of chat requests: references resolved, parameter files and YAML read, overrides
+    layered, checked, predicted, parsed to their envelope and saved as files below ``folder``.
+
+    Returns what was saved (with the files' names, lengths and digests) and the rejected requests with
+    their ``error``. What was checked is written once, so neither the model nor the checks run twice.
+    """
+    referred = referred_requests(requests, index, files)
+    given = None if overrides is None else override_files(overrides, files)
+    checked = chat_requests(referred.select("req_id", "model", "params"), given)
+    known = referred.select("req_id", "version", F.when(F.col("status") != "ok", F.col("status")).alias("_status"))
+    checked = lookup(checked.drop("version"), known, ["req_id"])
+    ready = written(checked.withColumn("error", F.coalesce("_status", "error")).drop("_status"), "checked-requests")
+    results = batch_predict(
+        accepted(ready), load, predict, ["req_id", "messages"], ["req_id", "model", "version", "reasoning_level"], "data", tasks
+    )
+    parts = chat_envelope(results).withColumns({"content_type": F.lit("application/json"), "part_no": F.lit(0)})
+    routed = payload_route(parts.drop("reasoning_level"))
+    saved = payload_files(routed, folder, ["model", "version", "req_id"])
+    return saved, ready.where("error is not null").select("req_id", "model", "version", "error")

@@ -156,6 +156,48 @@ def chat_params(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def referred_params(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chat requests by reference: some to unknown models or versions; odd ones name a file."""
+    inline = chat_params(spark, sf_dir).withColumnRenamed("req_id", "event_id")
+    model = F.when(F.col("event_id") % 11 == 0, "nobody").otherwise(F.col("model"))
+    version = F.concat(F.lit(":v"), (F.col("event_id") % 3).cast("string"))
+    file = F.concat(F.lit("/params/"), F.col("event_type"), F.lit(".yaml"))
+    events = table(spark, sf_dir, "events").select("event_id", "event_type")
+    return inline.join(events, "event_id").select(
+        F.col("event_id").alias("req_id"),
+        F.concat(model, F.when(F.col("event_id") % 4 == 0, "").otherwise(version)).alias("ref"),
+        F.when(F.col("event_id") % 2 == 1, file).otherwise(F.col("params")).alias("params"),
+    )
+
+
+def params_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A YAML file of parameters per type of event."""
+    text = F.concat(F.lit("messages:\n- role: user\n  content: "), F.col("event_type"), F.lit("\nreasoning_level: high\n"))
+    kinds = table(spark, sf_dir, "events").select("event_type").distinct()
+    path = F.concat(F.lit("/params/"), F.col("event_type"), F.lit(".yaml"))
+    return kinds.select(path.alias("path"), F.encode(text, "UTF-8").alias("content"))
+
+
+def chat_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third request asks for another level, every seventh is too hot."""
+    given = F.array(
+        F.when(F.col("event_id") % 3 == 0, "reasoning_level= low "),
+        F.when(F.col("event_id") % 7 == 0, "temperature=3"),
+    )
+    events = table(spark, sf_dir, "events").select(F.col("event_id").alias("req_id"), F.posexplode(given).alias("pos", "kv"))
+    return events.where("kv is not null")
+
+
+def chat_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Versions v0 and v1 of each model that a request names; v1 was written last."""
+    models = chat_params(spark, sf_dir).select(F.col("model").alias("name")).distinct()
+    both = models.select("name", F.posexplode(F.array(F.lit("v0"), F.lit("v1"))).alias("seq", "version"))
+    return both.select(
+        "name", "version", F.concat_ws("/", "name", "version").alias("path"),
+        F.sha2(F.concat_ws(":", "name", "version"), 256).alias("sha256"), "seq",
+    )
+
+
 def vision_params(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vision requests per page: images as text, paths of files, and none; some name an adapter."""
     png = F.concat(F.unhex(F.lit("89504E470D0A1A0A")), F.encode("url", "UTF-8"))
@@ -274,6 +316,14 @@ def to_run_updates(events: DataFrame) -> DataFrame:
     )
 
 
+def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a file of a nested tree: ``name`` and ``body``; each tenth one's name hides it."""
+    hidden = F.when(F.col("doc_id") % 10 == 0, "_").otherwise("")
+    name = F.concat(F.col("source"), F.lit("/"), F.col("lang"), F.lit("/"), hidden, F.col("doc_id").cast("string"), F.lit(".txt"))
+    body = F.when(F.col("doc_id") % 13 == 0, F.lit("")).otherwise(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", name.alias("name"), F.encode(body, "UTF-8").alias("body"))
+
+
 def spoilt_updates(events: DataFrame) -> DataFrame:
     """The updates of :func:`to_run_updates`, some of them without a run, a time or a known status."""
     updates = to_run_updates(events)

@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: str = "*", partitions: int = 8, app: str = "evalmill") -> SparkSession:
@@ -43,6 +43,13 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     return f"{shared_root(spark)}/evalmill-{purpose}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, purpose: str) -> DataFrame:
+    """``df`` written once to the shared folder and read back."""
+    path = shared_folder(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 @contextmanager
 def session_conf(spark: SparkSession, **settings: str) -> Iterator[None]:
     """Set SQL options for a block (``__`` stands for ``.``), then restore them."""

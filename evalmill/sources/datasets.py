@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evalmill.sources.commits import commit, content, names, remove
+
 HUB_PREFIX = "hf:"
 
 
@@ -51,15 +54,9 @@ def dataset_scan(
     return df.select(*columns) if columns else df
 
 
-def path_exists(spark: SparkSession, path: str) -> bool:
-    """Does the path exist in whatever file system it names?"""
-    try:
-        spark.read.schema("value string").text(path)
-    except AnalysisException as error:
-        if error.getCondition() == "PATH_NOT_FOUND":
-            return False
-        raise
-    return True
+def cached_folder(spark: SparkSession, path: str) -> str | None:
+    """Folder of the finished copy below ``path``, if there is one."""
+    return content(spark, f"{path}/current") if "current" in names(spark, path) else None
 
 
 def dataset_materialise(
@@ -71,17 +68,24 @@ def dataset_materialise(
 ) -> DataFrame:
     """Persist a dataset once and return ``(ok, dataset, num_examples, cache_dir)``.
 
-    A finished copy is left alone; what an interrupted write left behind is written again. The
-    count comes from the Parquet footers of the copy.
+    A copy is written into a folder of its own and then named in ``path``; the first writer to do so
+    wins, others drop theirs and read that one, so nobody's copy changes under a reader. What an
+    interrupted write left behind is named nowhere. The count comes from the copy's Parquet footers.
     """
-    if not path_exists(spark, f"{path}/_SUCCESS"):
-        writer = df.write.mode("overwrite")
+    folder = cached_folder(spark, path)
+    if folder is None:
+        own = f"copy-{uuid.uuid4().hex}"
+        writer = df.write
         if partition_by:
             writer = writer.partitionBy(*partition_by)
-        writer.parquet(path)
-    return spark.read.parquet(path).agg(F.count(F.lit(1)).alias("num_examples")).select(
+        writer.parquet(f"{path}/{own}")
+        if not commit(spark, f"{path}/current", own):
+            remove(spark, f"{path}/{own}")
+        folder = cached_folder(spark, path)
+    cache = f"{path}/{folder}"
+    return spark.read.parquet(cache).agg(F.count(F.lit(1)).alias("num_examples")).select(
         F.lit(True).alias("ok"),
         F.lit(name).alias("dataset"),
         "num_examples",
-        F.lit(path).alias("cache_dir"),
+        F.lit(cache).alias("cache_dir"),
     )

@@ -66,6 +66,31 @@ def test_head_n(spark):
     assert sorted(r.id for r in ordered.head_n(holes, "id", 2).collect()) == [1, 2]
 
 
+@pytest.mark.parametrize("bits", [1, 3, 21])
+def test_nth_ids_from_range_counts(spark, bits):
+    ids = [(i % 3 if i % 5 else None, i * i - 50) for i in range(60)]
+    df = spark.createDataFrame(ids, "g int, id long")
+    for n in (1, 4, 17, 40, 100):
+        (want,) = [sorted(i for _, i in ids)[n - 1 : n]]
+        assert [r._limit for r in ordered._nth_per_group(df, [], "id", n, bits).collect()] == want
+        groups = {g: sorted(i for h, i in ids if h == g) for g in {g for g, _ in ids}}
+        got = {r.g: r._limit for r in ordered._nth_per_group(df, ["g"], "id", n, bits).collect()}
+        assert got == {g: v[n - 1] for g, v in groups.items() if len(v) >= n}
+
+
+def test_no_shuffle_of_all_ids_for_a_cap(spark):
+    """Every exchange below the cap holds counts by range, or the ids of one range."""
+    df = spark.range(100_000, numPartitions=4)
+    limits = ordered._nth_per_group(df, [], "id", 50_000, bits=10)
+    limits.collect()
+    written = [
+        int(line.split("shuffle records written:")[1].split(",")[0].strip().replace(",", ""))
+        for line in limits._jdf.queryExecution().executedPlan().toString().splitlines() if "shuffle records written:" in line
+    ]
+    assert all(n < 5_000 for n in written)
+    assert "hashpartitioning(_range" in limits._jdf.queryExecution().executedPlan().toString() or not written
+
+
 def test_head_per_group(spark):
     rows = [(g, i) for g in ("a", "b", None) for i in range(5)] + [("c", 7), ("a", None)]
     df = spark.createDataFrame(rows, "g string, id long")

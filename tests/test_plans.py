@@ -13,8 +13,9 @@ SF = "/root/testdata/sf0.01"
 # Queries whose functions already run jobs (they write); the rest only build a plan.
 WRITES = {"dataset_materialise", "payload_write", "report_write", "run_status_stream", "training_export", "training_export_capped",
           "benchmark_by_subject", "benchmark_running", "benchmark_samples", "benchmark_report",
-          "run_to_payloads"}
-PYTHON = {"batch_predict", "benchmark_eval", "payload_write", "file_payload_flags"}
+          "run_to_payloads", "run_path_files", "run_path_rejects", "run_status_rejects", "index_stored", "file_manifest",
+          "payload_files", "zip_scores", "file_payload_flags"}
+PYTHON = {"batch_predict", "benchmark_eval"}
 
 
 def plan_of(df):

@@ -8,10 +8,11 @@ import uuid
 import pytest
 from pyspark.sql import functions as F
 
-from evalmill.operators.state import run_status_fold, split_updates
+from evalmill.operators.ordered import file_positions, zip_by_position
+from evalmill.operators.state import index_upsert, run_status_fold, split_updates
 from evalmill.plans import training, views
 from evalmill.session import session_conf, shared_folder, shared_root
-from evalmill.sources import datasets, files, payloads
+from evalmill.sources import datasets, files, payloads, stored_index
 from evalmill.sources.commits import commit, content, names, remove
 from evalmill.streaming.run_status import (
     read_rejects,
@@ -54,15 +55,39 @@ def test_scan_prunes_partitions_and_columns(spark, folder):
 
 def test_materialise_once_and_again_after_a_broken_write(spark, folder):
     one = spark.range(10)
+    # What an interrupted write left behind has no name yet.
+    spark.range(7).write.parquet(f"{folder}/copy-lost")
     first = datasets.dataset_materialise(spark, "d", one, folder).first()
-    assert tuple(first) == (True, "d", 10, folder)
-    assert datasets.dataset_materialise(spark, "d", spark.range(3), folder).first().num_examples == 10
-    from pathlib import Path
-
-    (Path(folder) / "_SUCCESS").unlink()
+    assert first[:3] == (True, "d", 10) and first.cache_dir.startswith(f"{folder}/copy-")
+    assert datasets.dataset_materialise(spark, "d", spark.range(3), folder).first() == first
+    remove(spark, f"{folder}/current")
     assert datasets.dataset_materialise(spark, "d", spark.range(3), folder).first().num_examples == 3
 
 
+def test_materialise_with_two_writers_and_a_reader_between(spark, folder):
+    """The second writer starts before the first is done, and ends after a reader came."""
+    seen = []
+
+    def first_writer(rows):
+        seen.append(datasets.dataset_materialise(spark, "d", spark.range(10), folder).first())
+        return rows
+
+    class Late:
+        """A dataset whose write lets the other writer go first."""
+
+        def __init__(self, df):
+            self.df = df
+
+        @property
+        def write(self):
+            return first_writer(self.df).write
+
+    late = datasets.dataset_materialise(spark, "d", Late(spark.range(3)), folder).first()
+    assert late == seen[0] and late.num_examples == 10
+    assert len([n for n in names(spark, folder) if n.startswith("copy-")]) == 1
+    assert spark.read.parquet(late.cache_dir).count() == 10
+
+
 def test_uri_parts(spark):
     df = spark.createDataFrame([("hf:org/set",), ("/abs/set",), ("rel",), (None,)], "u string")
     rows = df.select(
@@ -278,3 +303,105 @@ def test_the_first_commit_wins(spark, folder):
     assert names(spark, f"{folder}/none") == []
     assert commit(spark, f"{folder}/m/one", {"a": [1, "é"]}) and not commit(spark, f"{folder}/m/one", 2)
     assert content(spark, f"{folder}/m/one") == {"a": [1, "é"]} and names(spark, f"{folder}/m") == ["one"]
+
+
+# --- stored index, sink, listing, zip --------------------------------------------------
+
+
+def index_rows(rows):
+    return [(f"n{n}", f"v{v}", f"p{n}", f"s{q}", q) for n, v, q in rows]
+
+
+INDEX = "name string, version string, path string, sha256 string, seq long"
+
+
+def test_stored_index_reads_and_writes_only_touched_buckets(spark, folder):
+    base = spark.createDataFrame(index_rows((n, v, n + v) for n in range(40) for v in range(2)), INDEX)
+    assert len(stored_index.upsert_stored(base, folder, buckets=8)) == 8
+    update = spark.createDataFrame(index_rows([(3, 0, 900), (3, 7, 901), (3, 1, 0)]), INDEX)
+    before = stored_index._state(spark, folder)[1]["folders"]
+    touched = stored_index.upsert_stored(update, folder)
+    after = stored_index._state(spark, folder)[1]["folders"]
+    assert len(touched) == 1 and [b for b in after if after[b] != before[b]] == [str(touched[0])]
+    now = stored_index.read_stored(spark, folder, base.schema)
+    assert rows_of(now) == rows_of(index_upsert(base, update))
+    some = stored_index.read_stored(spark, folder, base.schema, only=["n3"])
+    assert all(f"bucket={touched[0]}" in f for f in some.inputFiles())
+    assert rows_of(some) == rows_of(now.where("name = 'n3'"))
+
+
+def test_stored_index_loses_no_update_to_another_writer(spark, folder, monkeypatch):
+    schema = spark.createDataFrame([], INDEX).schema
+    update = lambda n: spark.createDataFrame(index_rows([(n, 0, n)]), INDEX)
+    real, rivals = stored_index.commit, [7, 8]
+
+    def late(*args):
+        if rivals:
+            n = rivals.pop()
+            stored_index.upsert_stored(update(n), folder)
+        return real(*args)
+
+    monkeypatch.setattr(stored_index, "commit", late)
+    stored_index.upsert_stored(update(1), folder, buckets=2)
+    assert {r.name for r in stored_index.read_stored(spark, folder, schema).collect()} == {"n1", "n7", "n8"}
+    assert stored_index.read_stored(spark, f"{folder}/none", schema).count() == 0
+
+
+def test_stored_index_forgets_old_states(spark, folder):
+    for n in range(8):
+        stored_index.upsert_stored(spark.createDataFrame(index_rows([(1, 0, n)]), INDEX), folder, buckets=1)
+    assert len(stored_index.stored_folders(spark, folder)) <= stored_index.KEPT_STATES + 1
+    (row,) = stored_index.read_stored(spark, folder, spark.createDataFrame([], INDEX).schema).collect()
+    assert row.seq == 7
+
+
+def test_write_files_leaves_one_whole_file_when_repeated(spark, folder):
+    rows = spark.createDataFrame([(1, "a/x.txt", b"one"), (2, "a/b/y", b""), (3, "z", None)], "id int, name string, body binary")
+    for _ in range(2):
+        saved = files.write_files(rows, folder, "name", "body")
+    found = {r.id: (r.path, r.length, r.sha256) for r in saved.collect()}
+    assert found == {
+        1: (f"{folder}/a/x.txt", 3, hashlib.sha256(b"one").hexdigest()),
+        2: (f"{folder}/a/b/y", 0, hashlib.sha256(b"").hexdigest()),
+        3: (None, None, None),
+    }
+    from pathlib import Path
+
+    assert sorted(str(p.relative_to(folder)) for p in Path(folder).rglob("*") if p.is_file()) == ["a/b/y", "a/x.txt"]
+    assert (Path(folder) / "a/x.txt").read_bytes() == b"one"
+
+
+def test_listing_level_by_level(spark, folder, monkeypatch):
+    from pathlib import Path
+
+    monkeypatch.setattr(files, "LISTED", 2)
+    made = ["1", "a/2", "a/3", "a/4", "a/b/c/5", "a/b/_no/6", "_no/7", "a/.no", "é ü/8"]
+    for name in made:
+        (Path(folder) / name).parent.mkdir(parents=True, exist_ok=True)
+        (Path(folder) / name).write_text("x" * (len(name) - 1))
+    (Path(folder) / "empty").mkdir()
+    found = {r.path.removeprefix(f"{folder}/"): r.length for r in files.list_files(spark, folder).collect()}
+    assert found == {n: len(n) - 1 for n in made if "no" not in n}
+    assert rows_of(files.list_files(spark, [f"{folder}/1", f"{folder}/a/b"]).select("length")) == [(0,), (6,)]
+    assert files.list_files(spark, f"{folder}/empty").count() == 0
+
+
+def test_saved_parts_have_names_by_content_type(spark, folder):
+    parts = [(1, 0, "text/plain", "é"), (1, 1, "application/json", '{"b":[1]}'), (1, 2, "x/unknown", "AAEC"), (2, 0, "application/json", "{")]
+    routed = payloads.payload_route(spark.createDataFrame(parts, "id int, part_no int, content_type string, data string"))
+    saved = {(r.id, r.part_no): r for r in payloads.payload_files(routed, folder, ["id"]).collect()}
+    assert [saved[1, n].path for n in range(3)] == [f"{folder}/1/artifact-{x}" for x in ("0.txt", "1.json", "2")]
+    assert open(saved[1, 1].path).read() == json.dumps({"b": [1]}, indent=2)
+    assert open(saved[1, 2].path, "rb").read() == b"\x00\x01\x02"
+    assert saved[2, 0].error == "bad json" and saved[2, 0].path is None
+
+
+def test_zip_by_position(spark, folder):
+    spark.range(100).selectExpr("id * 3 as l").repartitionByRange(4, "l").sortWithinPartitions("l").write.parquet(f"{folder}/l")
+    spark.range(90).selectExpr("id * 7 as r").repartitionByRange(3, "r").sortWithinPartitions("r").write.parquet(f"{folder}/r")
+    left, right = spark.read.parquet(f"{folder}/l"), spark.read.parquet(f"{folder}/r")
+    got = zip_by_position(left, right).orderBy("position").collect()
+    assert [(r.position, r.l, r.r) for r in got] == [(i, 3 * i, 7 * i if i < 90 else None) for i in range(100)]
+    assert {r.alignment for r in got[90:]} == {"no right"} and {r.alignment for r in got[:90]} == {"matched"}
+    plan = file_positions(left, "n")._jdf.queryExecution().executedPlan().toString()
+    assert "Sort [l" not in plan and "rangepartitioning" not in plan
