@@ -18,6 +18,7 @@ from evalmill.functions.text import (
     last_chars,
     normalise_level,
 )
+from evalmill.operators import contract_rules as rule_table
 from evalmill.operators import chat, contracts, listing, lookups, ordered, requests, scoring, state
 from evalmill.operators.predict import batch_predict as predict_batches
 from evalmill.plans import evaluation, indexing, serving, training, views
@@ -168,7 +169,7 @@ def payload_write(spark, sf_dir):
 
 @query
 def report_write(spark, sf_dir):
-    scored = _scored(spark, sf_dir)
+    scored = _scored_once(spark, sf_dir)
     report = scoring.eval_report(scored, "item_id", {"split": "test", "max_items": 0})
     rows = payloads.report_write(report, shared_folder(spark, "report"))
     return rows.select(
@@ -271,6 +272,17 @@ def contract_check(spark, sf_dir):
 # --- Joins ---------------------------------------------------------------------------
 
 
+@query
+def contract_rules(spark, sf_dir):
+    """Contracts that are rows of a table, a wide one and a narrow one, met by the same parameters."""
+    narrow = {**PROPS_CONTRACT, "properties": {"k": {"type": "integer", "minimum": 10, "maximum": 20}}}
+    rules = rule_table.contract_rules(spark, {"wide": PROPS_CONTRACT, "narrow": narrow})
+    model = F.when(F.col("event_id") % 3 == 0, "wide").when(F.col("event_id") % 3 == 1, "narrow").otherwise("none")
+    rows = table(spark, sf_dir, "events").select("event_id", model.alias("model"), "props")
+    checked = rule_table.check_rules(rows, "event_id", "model", "props", rules, depth=1)
+    return checked.select("event_id", "model", "ok", F.array_join("errors", "; ").alias("errors"))
+
+
 def _scored(spark, sf_dir):
     """Items, outputs and letters joined by id: what the scoring operators read."""
     preds = evaluation.letters(views.raw_outputs(spark, sf_dir))
@@ -278,6 +290,11 @@ def _scored(spark, sf_dir):
     return lookups.aligned_score_join(preds, golds, ["item_id"])
 
 
+def _scored_once(spark, sf_dir):
+    """The same as a table that was written once, for reports that read it several times."""
+    return written(_scored(spark, sf_dir), "scored")
+
+
 def _letters_only(spark, sf_dir):
     """The same without the long texts."""
     preds = evaluation.letters(views.raw_outputs(spark, sf_dir)).select("item_id", "pred")
@@ -381,7 +398,7 @@ def batch_plan(spark, sf_dir):
 @query
 def eval_report(spark, sf_dir):
     report = scoring.eval_report(
-        _scored(spark, sf_dir), "item_id", {"split": "test", "max_items": 0, "reasoning_level": "low"}
+        _scored_once(spark, sf_dir), "item_id", {"split": "test", "max_items": 0, "reasoning_level": "low"}
     )
     return report.select(
         "section", "subject", "ok", "items", "correct", "accuracy", F.size("samples").cast("bigint").alias("samples"),

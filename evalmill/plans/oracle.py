@@ -304,6 +304,22 @@ ORACLE: dict[str, str] = {
           CASE WHEN k < 0 THEN '$.k: below minimum 0' WHEN k > 50 THEN '$.k: above maximum 50'
                ELSE '' END AS errors
         FROM (SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)""",
+    "contract_rules": """
+        WITH given AS (
+          SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k,
+            CASE event_id % 3 WHEN 0 THEN 'wide' WHEN 1 THEN 'narrow' ELSE 'none' END AS model
+          FROM events
+        ),
+        judged AS (
+          SELECT event_id, model,
+            CASE WHEN model = 'none' THEN '$: no contract'
+                 WHEN model = 'wide' AND k < 0 THEN '$.k: below minimum 0'
+                 WHEN model = 'wide' AND k > 50 THEN '$.k: above maximum 50'
+                 WHEN model = 'narrow' AND k < 10 THEN '$.k: below minimum 10'
+                 WHEN model = 'narrow' AND k > 20 THEN '$.k: above maximum 20' ELSE '' END AS errors
+          FROM given
+        )
+        SELECT event_id, model, errors = '' AS ok, errors FROM judged""",
     "aligned_score_join": f"{SCORED} SELECT item_id, subject, pred, gold FROM scored",
     "aligned_score_full": f"""
         {SCORED},

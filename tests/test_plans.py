@@ -14,7 +14,7 @@ SF = "/root/testdata/sf0.01"
 WRITES = {"dataset_materialise", "payload_write", "report_write", "run_status_stream", "training_export", "training_export_capped",
           "benchmark_by_subject", "benchmark_running", "benchmark_samples", "benchmark_report",
           "run_to_payloads", "run_path_files", "run_path_rejects", "run_status_rejects", "index_stored", "file_manifest",
-          "payload_files", "zip_scores", "file_payload_flags"}
+          "payload_files", "zip_scores", "file_payload_flags", "eval_report"}
 PYTHON = {"batch_predict", "benchmark_eval"}
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from evalmill import fixed_values as fixed
 from evalmill.operators import requests
+from evalmill.operators.contract_rules import check_rules, contract_rules, rule_depth
 from evalmill.operators.contracts import check_contract, contract_check
 
 
@@ -173,6 +174,23 @@ def test_contracts(spark):
         assert [r.ok for r in rows] == [not e for _, e in mine]
 
 
+def test_rule_rows_find_the_same_errors(spark):
+    """All contracts at once, from a table, in one join."""
+    contracts = {str(id(c)): c for c, _, _ in CASES}
+    rules = contract_rules(spark, contracts)
+    rows = [(i, str(id(c)), json.dumps(v)) for i, (c, v, _) in enumerate(CASES)]
+    rows += [(100, rows[0][1], "{broken"), (101, "none", "{}"), (102, rows[-1][1], None), (103, None, "{}"), (104, rows[-1][1], "null")]
+    df = spark.createDataFrame(rows, "i int, m string, params string")
+    assert rule_depth(rules) == 3
+    found = {r.i: r for r in check_rules(df, "i", "m", "params", rules, rule_depth(rules)).collect()}
+    assert len(found) == len(rows)
+    for i, (_, _, errors) in enumerate(CASES):
+        assert found[i].errors == sorted(errors) and found[i].ok == (not errors)
+    assert [found[i].errors for i in range(100, 105)] == [
+        ["$: not JSON"], ["$: no contract"], [], ["$: no contract"], ["$: not of type object"]
+    ]
+
+
 def test_contract_on_text_that_is_not_json(spark):
     df = spark.createDataFrame([("{broken",), (None,), ("null",)], "params string")
     rows = contract_check(df, "params", fixed.CACHE_CONTRACT).collect()
