@@ -2,11 +2,13 @@
 
 Items are sets of five-word shingles; an item counts as leaked into a document that holds at least
 ``containment`` of its shingles.  Items are partitioned by size.  A partition's items share the
-length of their MinHash sketch, the bottom k hashes of the shingles with k = n - ceil(c * n) + 1 for
+length of their MinHash sketch, the bottom k of the shingles with k = n - ceil(c * n) + 1 for
 the largest n of the partition, never more than a given item needs: a document with that containment
 misses at most n - ceil(c * n) shingles, so it holds one of any k of them, and the search loses
-nothing.  The sketch's shingles are looked for in the documents, whatever the documents' length, and
-the documents found are verified by counting the item's shingles exactly, as text.
+nothing.  The order that makes a bottom is how many documents hold a shingle, then its hash, so that
+a passage everybody shares is in the sketch of no item that has others.  The sketch's shingles are
+looked for in the documents, whatever the documents' length, and only the documents found meet all
+shingles of the item, which are counted exactly, as text.
 
 Documents are scanned once.  A bitmap of fixed size holds the hashes of all items' shingles; it is
 all that is sent to the tasks.  What passes it is joined with the items' shingles by text, so an
@@ -22,7 +24,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -168,16 +170,18 @@ def contaminated(
     k = F.least(widest - F.ceil(widest * containment - 1e-9) + 1, F.col("n_item") - F.col("least") + 1)
     sizes = stored(sizes.withColumn("k", k.cast("bigint")), "item-sizes")
     by_item = known.join(sizes, "item")
-    bottom = (
-        by_item.groupBy("item", "k")
-        .agg(F.array_sort(F.collect_set(F.struct(F.xxhash64("shingle").alias("hash"), "shingle"))).alias("all"))
-        .select("item", F.explode(F.slice("all", F.lit(1), F.col("k").cast("int"))).alias("low"))
-        .select("item", "low.shingle")
+    # The rarest k in the documents, equally rare ones by their hash; what no document holds finds none.
+    rarity = hits.groupBy("shingle").agg(F.count("*").alias("n_rows"))
+    order = Window.partitionBy("item").orderBy(F.coalesce("n_rows", F.lit(0)), F.xxhash64("shingle"), "shingle")
+    ranked = by_item.select("item", "shingle", "k").distinct().join(rarity, "shingle", "left")
+    bottom = ranked.withColumn("rank", F.row_number().over(order)).where(
+        (F.col("rank") <= F.col("k")) & F.col("n_rows").isNotNull()
     )
-    candidates = hits.join(bottom, "shingle").select("row_id", "item").distinct()
+    candidates = stored(hits.join(bottom, "shingle").select("row_id", "item").distinct(), "candidates")
+    # Only candidates meet all shingles of their item, and then the same row's hits.
+    asked = candidates.join(by_item.select("item", "item_id", "shingle", "n_item", "least"), "item")
     shared = (
-        hits.join(by_item.select("item", "item_id", "shingle", "n_item", "least"), "shingle")
-        .join(candidates, ["row_id", "item"], "left_semi")
+        asked.join(hits, ["row_id", "shingle"])
         .groupBy("row_id", "doc_id", "item", "item_id", "n_item", "least")
         .agg(F.count_distinct("shingle").alias("n_shared"))
         .where("n_shared >= least")

@@ -149,6 +149,25 @@ def test_contamination_against_sql(spark):
     assert got
 
 
+def test_a_shared_shingle_makes_no_pairs(spark, monkeypatch):
+    """2,000 documents and 2,000 items that share one shingle and nothing else."""
+    common = "all of them share this"
+    docs = spark.createDataFrame([(i, f"{common} d{i} " + " ".join(f"w{i}x{j}" for j in range(8))) for i in range(2000)], "doc_id int, text string")
+    items = spark.createDataFrame([(i, f"{common} " + " ".join(f"v{i}x{j}" for j in range(8))) for i in range(2000)], "item_id int, text string")
+    sizes, real = {}, decontam.stored
+
+    def counted(df, purpose):
+        sizes[purpose] = (out := real(df, purpose)).count()
+        return out
+
+    monkeypatch.setattr(decontam, "stored", counted)
+    assert decontam.contaminated(docs, items).collect() == []
+    # Everything behind the candidates is a row per candidate and shingle.
+    assert sizes["candidates"] == 0 and 2000 <= sizes["shingle-hits"] < 2100  # the bitmap lets a few more pass
+    leaked = decontam.contaminated(docs.union(items.select("item_id", "text").where("item_id < 5")), items)
+    assert sorted(r.item_id for r in leaked.collect()) == list(range(5))
+
+
 def test_contamination_at_the_border(spark):
     item = " ".join(f"w{i}" for i in range(44))  # 40 shingles, 32 are needed
     enough = "x y " + " ".join(f"W{i}," for i in range(36)) + " end"
