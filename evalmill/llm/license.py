@@ -11,6 +11,7 @@ Columns of the input other than the id and the text are not read, so names canno
 
 from __future__ import annotations
 
+import functools
 import re
 
 import numpy as np
@@ -69,7 +70,7 @@ _FOLD = bytes(
 RESULT = (
     "n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, "
     "labels string, score double, phrases array<struct<label:string,word:bigint,base:boolean>>, "
-    "expressions array<struct<expression:string,labels:array<string>,permissive:boolean>>"
+    "expressions array<struct<expression:string,labels:array<string>,permissive:boolean,exceptions:array<string>>>"
 )
 
 
@@ -83,6 +84,15 @@ def family(identifier: str) -> str:
     return name
 
 
+def identifies(token: str) -> bool:
+    """Whether a token can stand for a licence: a known family, one of its own, or a name with a version.
+
+    Prose behind a tag has none of these.
+    """
+    low = token.lower()
+    return family(token) in PERMISSIVE | set(FAMILIES.values()) or low.startswith("licenseref-") or any(map(str.isdigit, low))
+
+
 def postfix(text: str) -> list[str]:
     """Shunting yard: the expression at the start of ``text`` in postfix order, [] if there is none.
 
@@ -114,7 +124,8 @@ def postfix(text: str) -> list[str]:
             operand = True
             continue
         else:
-            if not operand:
+            exception = bool(stack) and stack[-1] == "with"
+            if not operand or not (exception or identifies(token)):
                 break
             output.append(token)
             operand = False
@@ -148,7 +159,15 @@ def evaluate(expression: str) -> tuple[list[str], bool] | None:
     return sorted(labels), free
 
 
+def exceptions(expression: str) -> list[str]:
+    """What ``WITH`` adds to licences of an expression, in lower case."""
+    tokens = postfix(expression)
+    return [name.lower() for name, operator in zip(tokens, tokens[1:]) if operator == "with"]
+
+
+@functools.cache
 def _automaton():
+    """Built once in a worker."""
     import ahocorasick
 
     automaton = ahocorasick.Automaton()
@@ -175,7 +194,12 @@ def scan_text(text: str | None, automaton) -> dict:
         elif not expressions:
             for tag in TAG.finditer(text or ""):
                 if (value := evaluate(tag[1])) is not None:
-                    expressions.append({"expression": tag[1].strip(), "labels": value[0], "permissive": value[1]})
+                    expressions.append(
+                        {
+                            "expression": tag[1].strip(), "labels": value[0], "permissive": value[1],
+                            "exceptions": exceptions(tag[1]),
+                        }
+                    )
     base = sorted(word for word, _, is_base in found if is_base)
     labels = {label for _, label, _ in found} | {x for e in expressions for x in e["labels"]}
     # Each notice and each tag halves the doubt; a tag says more than a notice.

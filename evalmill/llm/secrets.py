@@ -38,7 +38,7 @@ PATTERNS = {
     "hex": r"[0-9a-f]{16,}",
     "account": r"(?i)(?<![a-z0-9])(?:access_?key(?:_?id)?|client_?id|account|user(?:_?name)?|login)"
     r"[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9._@+-]{3,}",
-    "mixed": r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,200}[0-9])[A-Za-z0-9+/_-]{32,}={0,2}",
+    "mixed": r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32,}={0,2}",
     "endpoint": r"(?i)(?:https?|ftp|amqps?|postgres(?:ql)?|mysql|mongodb|redis)://[^\s\"'<>]+",
 }
 KINDS = ["assign", "access", "hex", "account", "mixed", "short", "endpoint"]
@@ -55,7 +55,8 @@ def _choose(column: Column, values: dict) -> Column:
 
 
 def _hits(text: Column) -> Column:
-    """All matches in a text: kind, length of the gap before, length, length of an assigned value."""
+    """All matches in a text: kind, length of the gap before, length, and as value the length of an
+    assigned value or the number of digits of a mixed string."""
 
     def of_kind(kind: str, pattern: str) -> Column:
         p = F.lit(pattern)
@@ -71,7 +72,7 @@ def _hits(text: Column) -> Column:
                 F.lit(kind).alias("kind"),
                 F.length(x["gap"]).alias("gap"),
                 F.length(x["found"]).alias("size"),
-                F.length(x["value"]).alias("value"),
+                (F.length(F.regexp_replace(x["found"], "[^0-9]", "")) if kind == "mixed" else F.length(x["value"])).alias("value"),
             ),
         )
         none = F.array().cast("array<struct<kind:string,gap:int,size:int,value:int>>")
@@ -106,6 +107,7 @@ def find_spans(rows: DataFrame, reach: int = REACH) -> tuple[DataFrame, DataFram
             ),
         )
         .where((F.col("kind") != "short") | (F.col("value") >= WEAK_VALUE))
+        .where((F.col("kind") != "mixed") | (F.col("value") > 0))
         .select("row_id", "start", "end", "kind", _choose(F.col("kind"), ROLES).alias("role"))
     )
     before = Window.partitionBy("row_id").orderBy("start").rangeBetween(Window.unboundedPreceding, 0)

@@ -182,6 +182,14 @@ def test_license_broken_expressions(text):
     assert license.evaluate(text) is None
 
 
+def test_license_tag_of_prose_adds_none():
+    scan = lambda tail: license.scan_text(f"SPDX-License-Identifier: {tail}", license._automaton())
+    assert scan("see the LICENSE file")["labels"] == "" == scan("unknown-thing AND MIT")["labels"]
+    assert scan("LicenseRef-Acme-1 OR mit")["labels"] == "licenseref-acme-1,mit"
+    (found,) = scan("GPL-2.0-only WITH Classpath-exception-2.0")["expressions"]
+    assert found["labels"] == ["gpl"] and found["exceptions"] == ["classpath-exception-2.0"]
+
+
 def test_license_tag_adds_labels(spark):
     text = "// SPDX-License-Identifier: (MPL-2.0 OR MIT)\nThe MIT License"
     row = license.op4_license_scan(spark.createDataFrame([(1, text)], "doc_id bigint, text string")).first()
@@ -225,6 +233,12 @@ def test_secret_linking(spark):
     }
 
 
+def test_mixed_secret_with_a_late_digit(spark):
+    text = f"login: bob key {'k' * 250}7{'q' * 20} and {'w' * 60} end"
+    (row,) = secrets.op9_secret_scan(spark.createDataFrame([(1, text)], "doc_id int, text string")).collect()
+    assert f"mixed:{text.index('kkk')}:{text.index('kkk') + 271}" in row.spans and row.spans.count("mixed") == 1
+
+
 def test_redaction(spark, odd):
     kept = secrets.redact(odd)
     assert kept.columns == odd.columns
