@@ -284,3 +284,45 @@ def rebuilt(turns: DataFrame, convs: DataFrame) -> tuple[DataFrame, DataFrame]:
 def op13_conversation_trie(conversations: DataFrame) -> DataFrame:
     """Nodes of the trie of the rebuilt conversations."""
     return prefix_trie(*rebuilt(*numbered_turns(conversations)))
+
+
+ORACLE = """
+WITH turns AS (
+    SELECT conv_id, list(struct_pack(id := md5(octet_length(encode(coalesce(role, ''))) || ':' || coalesce(role, '') || coalesce(text, '')),
+                                     size := octet_length(encode(coalesce(text, '')))) ORDER BY turn NULLS FIRST) AS own
+    FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+), headed AS (
+    -- CRC-32 of the decimal id, bit by bit.
+    SELECT conv_id, own, conv_id - conv_id % 5 AS base,
+        xor(list_reduce(
+            list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+            lambda crc, c: list_reduce(
+                list_prepend(xor(crc, c), CAST([0, 0, 0, 0, 0, 0, 0, 0] AS BIGINT[])),
+                lambda a, b: xor(a >> 1, CAST(3988292384 AS BIGINT) * (a & 1)))
+        ), CAST(4294967295 AS BIGINT)) % 9 AS h
+    FROM turns
+), rebuilt AS (
+    SELECT c.conv_id, list_concat(coalesce(list_slice(b.own, 1, c.h), []), coalesce(list_slice(c.own, c.h + 1, len(c.own)), [])) AS path
+    FROM headed c LEFT JOIN turns b ON b.conv_id = c.base
+), prefixes AS (
+    SELECT conv_id, len(path) AS n, d AS depth, list_slice(path, 1, d) AS path
+    FROM rebuilt, LATERAL (SELECT unnest(range(0, len(path) + 1)) AS d)
+), nodes AS (
+    SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+        coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE n = depth), '') AS ends
+    FROM prefixes GROUP BY path, depth
+), families AS (
+    SELECT list_slice(path, 1, depth - 1) AS path, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1
+), counted AS (
+    SELECT n.*, coalesce(f.n_children, 0) AS n_children,
+        CASE WHEN depth > 0 THEN (n_convs - 1) * n.path[depth].size ELSE 0 END AS saved
+    FROM nodes n LEFT JOIN families f ON f.path = n.path
+), subtrees AS (
+    SELECT list_slice(path, 1, d) AS path, sum(saved) AS saved_tokens, count(*) FILTER (WHERE n_children = 0) AS n_leaves
+    FROM counted, LATERAL (SELECT unnest(range(0, depth + 1)) AS d) GROUP BY 1
+)
+SELECT c.conv_id, CAST(c.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, c.n_convs, c.n_children, s.n_leaves,
+    CAST(s.saved_tokens AS BIGINT) AS saved_tokens, sha256(c.ends) AS ends_sha256
+FROM counted c JOIN subtrees s ON s.path = c.path
+LEFT JOIN nodes p ON c.depth > 0 AND p.path = list_slice(c.path, 1, c.depth - 1)
+"""

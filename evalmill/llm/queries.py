@@ -41,4 +41,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     ),
 }
 
-ORACLE: dict[str, str] = {"op2_decontamination": decontam.ORACLE}
+ORACLE: dict[str, str] = {"op2_decontamination": decontam.ORACLE, "op13_conversation_trie": convtrie.ORACLE}
