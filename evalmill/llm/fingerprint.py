@@ -13,7 +13,9 @@ itself (1.0) and unlike any other (0.0).
 
 For the query, documents are ordered by descending id; ties are ordered by hashes of id and text,
 and null ids come last.  Rows alike in id and text follow each other, so the next document of such a
-row is its copy.  A single document is its own next one.
+row is its copy.  A single document is its own next one.  Texts of any length are hashed whole, in memory
+of some 100 bytes a word; an empty table gives an empty one.  Columns other than id and text are never
+read, so their names cannot clash.
 """
 
 from __future__ import annotations

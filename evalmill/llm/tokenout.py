@@ -18,7 +18,9 @@ Encoding goes word by word: a text is cut into the pieces that the tokenizer's p
 for the worker's life, up to ``MEMO`` pieces.  Texts with characters beyond Latin letters, or with
 the end marker in them, are encoded by the library as a whole.
 
-Null and empty texts have the end id only.  Null ids come first; equal ids are ordered by text.
+Null and empty texts have the end id only.  Null ids come first; equal ids are ordered by text, and
+rows alike in both are documents of their own.  Texts of any length are encoded whole, in memory of some
+50 bytes a character; an empty table gives an empty one.  Columns other than id and text are never read.
 The written files are read back by Spark as binary files, so any file system that Spark and
 pyarrow reach can hold them.
 """
