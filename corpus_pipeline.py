@@ -2,6 +2,13 @@
 
 Every stage works on all that the one before it kept.  The first four return the columns of the
 documents; the last one returns the packed pieces.
+
+Edge cases, by stage: null, empty and letterless texts go with language ID, as texts that no language
+explains; of rows that share or nearly share a fingerprint (copies, repeated rows, texts too short to
+differ) the smallest id stays in near-dedup, null ids last; texts of fewer than five words hold no
+benchmark item; secrets of a text are masked in place; a text longer than the largest sequence is
+packed in pieces. Texts are whole throughout. Other columns are handed on as they are, whatever their
+names. An empty table leaves every stage empty.
 """
 
 from __future__ import annotations
@@ -21,7 +28,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of copies and near-duplicates stays."""
+    """One document of each group of copies and near-duplicates stays: fingerprints of three-word
+    shingles that differ in two bits at most are linked, by the SimHash operator."""
     return simhash.drop_near_duplicates(docs)
 
 
