@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from evalmill.session import session_conf
+from evalmill.session import session_conf, written
 from evalmill.operators import chat, listing, lookups, ordered, scoring, state
 from evalmill.operators.predict import batch_predict
 from evalmill.plans import evaluation
@@ -91,6 +91,13 @@ def test_no_shuffle_of_all_ids_for_a_cap(spark):
     assert "hashpartitioning(_range" in limits._jdf.queryExecution().executedPlan().toString() or not written
 
 
+def test_numbered_rows(spark):
+    df = spark.createDataFrame([(i * 7 % 50, None if i == 3 else i) for i in range(50)], "k int, v int")
+    rows = ordered.numbered_rows(df, [F.col("k").desc()], "n", lambda d: written(d, "numbered")).collect()
+    assert [r.n for r in sorted(rows, key=lambda r: -r.k)] == list(range(50)) and rows[0].__fields__ == ["k", "v", "n"]
+    assert ordered.numbered_rows(df.limit(0), [F.col("k")], "n", lambda d: written(d, "numbered")).count() == 0
+
+
 def test_head_per_group(spark):
     rows = [(g, i) for g in ("a", "b", None) for i in range(5)] + [("c", 7), ("a", None)]
     df = spark.createDataFrame(rows, "g string, id long")
