@@ -9,6 +9,7 @@ from collections import Counter
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from evalmill.llm import html, langid, license, secrets
 
@@ -303,6 +304,50 @@ def test_copies_and_shared_passages_are_no_template(spark):
     assert {r.page_id: r.text for r in found.collect()} == {i: "\n\n".join(b) for i, b in bodies.items()}
 
 
+def test_page_tokens_get_roles_by_slot(spark):
+    """A text that is twice on every page: by the slots of the class around it, it is two template tokens."""
+    def page(i):
+        return f"<div>Menu</div><div>lead {i}</div><h2>title {i}</h2><div>text {i}</div><div>Menu</div>"
+    rows = [(i, f"http://h.x/{i}", page(i) + "<div>last</div><h3>End</h3>") for i in range(12)]
+    found = html.op7_html_extraction(spark.createDataFrame(rows, "page_id bigint, url string, html string"))
+    assert {r.page_id: r.text for r in found.collect()} == {i: f"lead {i}\n\ntitle {i}\n\ntext {i}" for i in range(12)}
+
+
+def test_page_classes_are_ordered_and_nested(spark):
+    """Tokens with one occurrence vector whose order differs are no class; others nest by slots."""
+    block = StructType.fromDDL("host string, page bigint, tokens array<struct<path:bigint,text:bigint>>")
+    rows = []
+    for i in range(20):
+        swap = [(3, 31), (4, 41)] if i % 2 else [(4, 41), (3, 31)]
+        inner = [(5, 51), (6, 61)] if i < 8 else []
+        rows.append(("h", i, [(1, 11), *swap, (9, 1000 + i), *inner, (9, 2000 + i), (2, 21)]))
+    hosts = spark.createDataFrame([("h", 20)], "host string, n_pages bigint")
+    marks = html.templates(spark.createDataFrame(rows, block), hosts).first().marks
+    by_role = {m.role: m for m in marks}
+    # Path and text of a block, and what encloses the page, keep their order; the swapped ones cannot all stay.
+    assert {1, 11, 2, 21} < set(by_role) and len({by_role[r]["class"] for r in (1, 11, 2, 21)}) == 1
+    assert 1 <= len({3, 31, 4, 41} & set(by_role)) <= 2
+    levels = {}
+    for m in sorted(marks, key=lambda m: m.rank):
+        levels.setdefault((m.level, m["class"]), []).append(m.role)
+    # On every page each class stands in order, and what lies between two of its tokens is one context.
+    steps = html._steps([m.asDict() for m in marks])
+    for _, i, tokens in rows:
+        roles, wrong = html.page_roles(tokens, steps)
+        assert not wrong
+        place = {role: k for k, _, role, _, _ in roles}
+        for level in levels.values():
+            there = [place[r] for r in level if r in place]
+            assert len(there) in (0, len(level))
+        own = {token: (role, inside) for _, token, role, _, inside in roles}
+        if i < 8:
+            # 5, 51, 6 and 61 are on fewer pages: a class of their own inside a slot of the outer one.
+            assert all(own[t][0] in by_role and own[t][0] != t for t in (5, 51, 6, 61))
+            assert len({by_role[own[t][0]]["class"] for t in (5, 51, 6, 61)}) == 1
+            assert by_role[own[5][0]]["class"] != by_role[1]["class"]
+            assert by_role[own[5][0]].level > by_role[1].level
+
+
 def test_page_edges(spark):
     rows = [(None, None, None, 1), (1, "u", "", 2), (1, "u", "", 2), (2, "http://a.b", "<p>x" + " y" * 100_000, 3)]
     pages = spark.createDataFrame(rows, "page_id bigint, url string, html string, host int")
