@@ -98,3 +98,15 @@ def test_requests_are_checked_once(spark):
 def test_vision_requests_are_decoded_once(spark):
     plan = plan_of(QUERIES["vision_requests"](spark, SF))
     assert len(re.findall("FileScan parquet", plan)) <= 3  # requests, files, and nothing twice
+
+
+@pytest.mark.parametrize("name", ["param_layering", "training_recipe"])
+def test_layers_are_dealt_out_before_they_are_sorted(spark, name):
+    """A task that makes rows from a whole file of requests does not sort and combine them as well."""
+    lines = plan_of(QUERIES[name](spark, SF)).splitlines()
+    partial = [k for k, line in enumerate(lines) if "partial_max_by" in line]
+    assert partial
+    for k in partial:
+        below = [re.sub(r"^[\s:+*()\d-]*", "", line) for line in lines[k + 1 : k + 4]]
+        first = next(line for line in below if not line.startswith(("Sort ", "Project ")))
+        assert first.startswith("Exchange hashpartitioning"), below
